@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.common import table
 from granary.llm.packing import pack_documents
+from granary.llm.token_counts import token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,5 +19,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
-QUERIES = {"op10_packing": op10_packing}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), budget=512)
+
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
