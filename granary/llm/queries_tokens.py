@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from granary.llm.common import table
 from granary.llm.packing import pack_documents
 from granary.llm.token_counts import token_counts
+from granary.llm.token_files import token_files
 
 
 def tokenizer_file(name: str) -> str:
@@ -15,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
@@ -23,5 +28,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), budget=512)
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op10_packing": op10_packing}
+QUERIES = {"op5_token_counts": op5_token_counts, "op9_token_files": op9_token_files, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
