@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from granary.llm.common import slices
+from granary.llm.tokens import byte_letters
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,13 +32,6 @@ CACHE_ENTRIES = 600_000
 _LOADED: dict[str, "PrefixCounter"] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others for code points from 256 on."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class _Totals(dict):
     """Token count of each whole pre-token."""
 

@@ -45,7 +45,7 @@ def test_documents_round_trip(spark):
     texts = ["", None, "a b c", "x" * 9000, "hello <|endoftext|> world", "word " * 3000, "a b c"]
     df = spark.createDataFrame([(k if k != 2 else None, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, sequence_id int").coalesce(1)
     rows = pack_documents(df, PATH, with_ids=True, block_tokens=2000).collect()
-    want = {k if k != 2 else None: [*tokenizer(PATH).encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    want = {k if k != 2 else None: [*tokenizer(PATH).library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
     got = {k: [None] * len(v) for k, v in want.items()}
     for r in rows:
         assert r.doc_tokens == len(want[r.doc_id])

@@ -11,7 +11,7 @@ PATH = tokenizer_file("byte_bpe_50k.json")
 
 
 def library(text):
-    return len(tokenizer(PATH).encode(text, add_special_tokens=False).ids)
+    return len(tokenizer(PATH).library.encode(text, add_special_tokens=False).ids)
 
 
 def check(text):
@@ -59,5 +59,5 @@ def test_whole_documents_table_against_the_library(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = op5_token_counts(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == len(docs)
-    ids = [e.ids for e in tokenizer(PATH).encode_batch([docs[r.doc_id] or "" for r in rows], add_special_tokens=False)]
+    ids = [e.ids for e in tokenizer(PATH).library.encode_batch([docs[r.doc_id] or "" for r in rows], add_special_tokens=False)]
     assert [r.n_tokens for r in rows] == [len(x) for x in ids]
