@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items_sha256 is the hex digest of the sorted item ids joined by commas (of the empty string without any).
     """
     marked = mark(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), benchmark, "__text", **options).drop("__text")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("longest_match", "int").add("longest_at", "int")
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("longest_match", "integer").add("longest_at", "integer")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
