@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from granary.llm.common import table
 from granary.llm.decontamination import contamination
 from granary.llm.language_id import fit_language_model, predict_languages
+from granary.llm.sharding import shard_documents
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +52,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 }
-QUERIES = {"op4_language_id": op4_language_id, "op2_decontamination": op2_decontamination}
+QUERIES = {"op1_sharding": op1_sharding, "op4_language_id": op4_language_id, "op2_decontamination": op2_decontamination}

@@ -53,10 +53,17 @@ def encode_blocks(ids: list[np.ndarray], percentile: float = PERCENTILE) -> tupl
     grid = np.full((n, BLOCK), 0xFFFFFFFF, dtype=np.uint32)
     grid[valid] = np.concatenate(ids)
     low = grid.min(axis=1)
-    diff = np.where(valid, grid - low[:, None], 0).astype(np.uint32)
-    rank = np.clip((BLOCK - counts) + np.ceil(percentile * counts).astype(np.int64) - 1, 0, BLOCK - 1)  # padding sorts first
-    width = _bit_length(np.sort(diff, axis=1)[np.arange(n), rank])
-    over = _bit_length(diff) > width[:, None]
+    diff = grid - low[:, None]
+    part = np.flatnonzero(counts < BLOCK)
+    diff[part] *= valid[part]
+    small = int(diff.max()) < 1 << 16
+    diff = diff.astype(np.uint16) if small else diff
+    full = int(np.ceil(percentile * BLOCK)) - 1
+    bound = np.partition(diff, full, axis=1)[:, full]
+    rank = np.clip((BLOCK - counts[part]) + np.ceil(percentile * counts[part]).astype(np.int64) - 1, 0, BLOCK - 1)  # padding sorts first
+    bound[part] = np.sort(diff[part], axis=1)[np.arange(len(part)), rank]
+    width = _bit_length(bound)
+    over = diff > ((1 << width) - 1).astype(diff.dtype)[:, None]
     outs = over.sum(axis=1)
     packed = -(-counts * width // 8)
     start = np.concatenate([[0], np.cumsum(HEAD + packed + 5 * outs)])
@@ -64,15 +71,19 @@ def encode_blocks(ids: list[np.ndarray], percentile: float = PERCENTILE) -> tupl
     at = start[:-1]
     out[at[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(n, 4)
     out[at + 4], out[at + 5] = width, outs
-    diff_low = np.where(over, 0, diff).astype("<u4")
+    diff_low = np.where(over, diff.dtype.type(0), diff)
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = np.unpackbits(diff_low[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            bits = np.unpackbits(diff_low[rows].view(np.uint8).reshape(len(rows), BLOCK, diff.itemsize), axis=2, bitorder="little")[:, :, :w]
             data = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
             cols = np.arange(data.shape[1])
             kept = cols < packed[rows][:, None]
-            out[(at[rows][:, None] + HEAD + cols)[kept]] = data[kept]
+            to = at[rows][:, None] + HEAD + cols
+            if kept.all():
+                out[to] = data
+            else:
+                out[to[kept]] = data[kept]
     row, pos = np.nonzero(over)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(outs) - outs, outs)
     tail = at[row] + HEAD + packed[row]
@@ -106,7 +117,8 @@ def decode_blocks(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> n
     nth = np.arange(len(row)) - np.repeat(np.cumsum(outs) - outs, outs)
     tail = at[row] + HEAD + packed[row]
     values[row, data[tail + nth]] = np.ascontiguousarray(data[(tail + outs[row] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
-    return (values + low[:, None])[np.arange(BLOCK) < counts[:, None]].astype("<u4")
+    values += low[:, None]
+    return values[np.arange(BLOCK) < counts[:, None]].astype("<u4", copy=False)
 
 
 FILE_SCHEMA = "part int, segment int, doc_ids array<long>, doc_tokens array<int>, n_tokens long, block_starts array<int>, blocks binary"
@@ -131,7 +143,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         end, turn = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
         for part in slices(batches, "__text"):
             keys = part.column("__id")
-            ids = [np.append(x, end) for x in encode(tokenizer_path, part.column("__text").to_pylist())]
+            ids = [np.concatenate([x, end]) for x in encode(tokenizer_path, part.column("__text").to_pylist())]
             data, start, blocks = encode_blocks(ids)
             ends = np.cumsum(blocks)
             payload = [data[start[e - b] : start[e]].tobytes() for b, e in zip(blocks, ends, strict=True)]
