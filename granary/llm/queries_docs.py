@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from granary.llm.common import table
 from granary.llm.decontamination import contamination
 from granary.llm.language_id import fit_language_model, predict_languages
+from granary.llm.ngram_jaccard import ngram_jaccard
 from granary.llm.sharding import shard_documents
 
 
@@ -29,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
@@ -50,6 +55,24 @@ named AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
-"""
+""",
+    "op6_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, trim(coalesce(text, ''), E' \\t\\n\\r') AS t, {_WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(w) = 0 AND t = '' THEN CAST([] AS VARCHAR[])
+    WHEN len(w) = 0 THEN ['! ' || t]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS g
+  FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON x = sx.doc_id JOIN sizes sy ON y = sy.doc_id WHERE 5 * c >= 4 * (sx.n + sy.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(y, doc_id)) AS class_id, (SELECT count(*) FROM links WHERE links.x = doc_id) AS n_links
+FROM w LEFT JOIN least ON doc_id = x
+""",
 }
-QUERIES = {"op1_sharding": op1_sharding, "op4_language_id": op4_language_id, "op2_decontamination": op2_decontamination}
+QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard, "op1_sharding": op1_sharding, "op4_language_id": op4_language_id, "op2_decontamination": op2_decontamination}
