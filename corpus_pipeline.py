@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.common import table, written
+from granary.llm.decontamination import decontaminate
+from granary.llm.language_id import fit_language_model, keep_known_languages
+from granary.llm.ngram_jaccard import keep_one_of_each
 from granary.llm.packing import pack_documents
+from granary.llm.queries_docs import held_out
 from granary.llm.queries_tokens import tokenizer_file
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every remaining document into sequences of 1,024 tokens."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents and drops those whose language the model rejects."""
+    return keep_known_languages(docs, fit_language_model(docs, learn=~held_out()))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each class of near copies."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1,024 tokens."""
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 #: Language ID is a trained model, so SQL can't express the rows; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage before it is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
