@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_tokens", "queries_pages", "queries_chat", "queries_docs")
+MODULES = ("queries_docs", "queries_tokens", "queries_pages", "queries_chat", "queries_vectors")
 
 
 def _all(name: str) -> dict:
