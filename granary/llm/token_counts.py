@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -165,23 +163,33 @@ class PrefixCounter:
                 at += len(part)
         return out
 
-    def longest_within(self, text: str, budget: int) -> int:
-        """The characters of the longest prefix of at most `budget` tokens."""
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """The token count of a text, and the characters of its longest prefix of at most `budget` tokens."""
         if any(x in text for x in self.special):
-            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+            counts = self.prefixes(text)
+            return int(counts[-1]), int(np.flatnonzero(counts <= budget)[-1])
+        if len(self.totals) > CACHE_ENTRIES:
+            self.totals.clear()
         pieces = self.split(text)
-        before = [0, *accumulate(map(self.totals.__getitem__, pieces))]
-        if before[-1] <= budget:
-            return len(text)
+        each = list(map(self.totals.__getitem__, pieces))
+        total = sum(each)
+        if total <= budget:
+            return total, len(text)
         # no prefix past the piece after the last one that starts within the budget can be within it
-        last = bisect_right(before, budget) - 1
+        last = before = 0
+        while before + each[last] <= budget:
+            before += each[last]
+            last += 1
         first = last
         while first and pieces[first - 1].isspace():
             first -= 1
         at = best = sum(map(len, pieces[:first]))
-        for start, b, counts in self._piece_prefixes(pieces[first : last + 2], at, before[first]):
+        for start, b, counts in self._piece_prefixes(pieces[first : last + 2], at, before - sum(each[first:last])):
             best = max([best, *(start + k for k, c in enumerate(counts) if k and b + c <= budget)])
-        return best
+        return total, best
+
+    def longest_within(self, text: str, budget: int) -> int:
+        return self.measure(text, budget)[1]
 
 
 def counter(path: str) -> PrefixCounter:
@@ -210,9 +218,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, budget: int = 512, id_col:
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fit_chars", T.LongType())])
 
     def columns(texts: list[str]) -> list[pa.Array]:
-        count = counter(tokenizer_path)
-        n = [count.total(t) for t in texts]
-        fit = [len(t) if k <= budget else count.longest_within(t, budget) for t, k in zip(texts, n, strict=True)]
+        n, fit = zip(*(counter(tokenizer_path).measure(t, budget) for t in texts), strict=True)
         return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > budget for k in n], pa.bool_()), pa.array(fit, pa.int64())]
 
     return _mapped(df, id_col, text_col, schema, columns)
