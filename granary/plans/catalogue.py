@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("retrieval",)
+MODULES: tuple[str, ...] = ("retrieval", "figures")
 
 
 def _all(name: str) -> dict:
