@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("retrieval", "figures", "news")
+MODULES: tuple[str, ...] = ("retrieval", "figures", "news", "answers", "filings")
 
 
 def _all(name: str) -> dict:
