@@ -108,11 +108,22 @@ def decode_blocks(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> n
             rows = np.flatnonzero(width == w)
             cols = np.arange(BLOCK * w // 8)
             kept = cols < packed[rows][:, None]
-            got = np.zeros((len(rows), len(cols)), dtype=np.uint8)
-            got[kept] = data[(at[rows][:, None] + HEAD + cols)[kept]]
-            bits = np.zeros((len(rows) * BLOCK, 16 if w <= 16 else 32), dtype=np.uint8)
-            bits[:, :w] = np.unpackbits(got, axis=1, bitorder="little").reshape(-1, w)
-            values[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u2" if w <= 16 else "<u4").reshape(len(rows), BLOCK)
+            got = np.zeros((len(rows), len(cols) + 4), dtype=np.uint8)  # a value of 25 bits or less lies in 4 bytes
+            if kept.all():
+                got[:, : len(cols)] = data[at[rows][:, None] + HEAD + cols]
+            else:
+                got[:, : len(cols)][kept] = data[(at[rows][:, None] + HEAD + cols)[kept]]
+            if w <= 25:
+                bit = np.arange(BLOCK) * w
+                byte, shift = bit >> 3, (bit & 7).astype(np.uint32)
+                value = got[:, byte].astype(np.uint32)
+                for k in range(1, 3 if w <= 17 else 4):
+                    value |= got[:, byte + k].astype(np.uint32) << np.uint32(8 * k)
+                values[rows] = (value >> shift) & np.uint32((1 << int(w)) - 1)
+            else:
+                bits = np.zeros((len(rows) * BLOCK, 32), dtype=np.uint8)
+                bits[:, :w] = np.unpackbits(got[:, : len(cols)], axis=1, bitorder="little").reshape(-1, w)
+                values[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
     row = np.repeat(np.arange(n), outs)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(outs) - outs, outs)
     tail = at[row] + HEAD + packed[row]
