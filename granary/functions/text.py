@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -74,16 +75,27 @@ def slug(section: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(section), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+_ENTITY = "&(#?[A-Za-z0-9]+);"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named entities of HTML 4 and numeric ones as their characters, in one pass; others stay as they are."""
+    pieces = F.split(text, _ENTITY, -1)
+    names = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    known = F.map_from_arrays(F.array(*map(F.lit, name2codepoint)), F.array(*(F.lit(chr(c)) for c in name2codepoint.values())))
+    number = lambda x: F.when(F.startswith(F.lower(x), F.lit("#x")), F.conv(F.substring(x, 3, 8), 16, 10)).when(F.startswith(x, F.lit("#")), F.substring(x, 2, 8))
+    point = lambda x: number(x).try_cast("int")
+    valid = lambda x: point(x).between(1, 0xD7FF) | point(x).between(0xE000, 0x10FFFF)
+    char = lambda x: F.when(valid(x), F.decode(F.unhex(F.lpad(F.hex(point(x)), 8, "0")), "UTF-32"))
+    shown = F.transform(names, lambda x: F.coalesce(F.try_element_at(known, x), char(x), F.concat(F.lit("&"), x, F.lit(";"))))
+    return F.array_join(F.transform(pieces, lambda piece, k: F.concat(piece, F.coalesce(F.get(shown, k), F.lit("")))), "")
 
 
 def html_lines(html: Column) -> Column:
     """Text lines of a page: scripts, styles and comments gone, a break at every tag, blank lines dropped."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(out, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    out = decode_entities(F.regexp_replace(out, r"(?s)<[^>]*>", "\n"))
+    lines = F.transform(F.split(out, "\n"), lambda x: F.regexp_replace(x, "^[\\s\u00a0]+|[\\s\u00a0]+$", ""))
     return F.filter(lines, lambda x: x != "")
 
 

@@ -178,7 +178,7 @@ def lines(points: DataFrame) -> DataFrame:
     """Points as one text: 'FY2026Q3: $57.01B' a line, newest first; with growth where there is a pct column."""
     head = F.concat(period_label(F.col("fiscal_year"), F.col("fiscal_qtr")), F.lit(": "), format_value(F.col("value"), F.col("unit")))
     if "pct" in points.columns:
-        head = F.concat(head, F.lit(" ("), F.coalesce(F.format_string("%+.1f%%", F.col("pct")), F.lit("n/a — no prior period")), F.lit(")"))
+        head = F.concat(head, F.lit(" ("), F.coalesce(F.when(F.col("pct").isNotNull(), F.format_string("%+.1f%%", F.col("pct"))), F.lit("n/a — no prior period")), F.lit(")"))
     rows = points.select("fiscal_year", "fiscal_qtr", head.alias("line"))
     return rows.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("fiscal_year", "fiscal_qtr", "line")))), lambda x: x["line"]), "\n").alias("text"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Window, functions as F
 
 from granary.functions.text import guided_period, html_to_text, outlook_block
@@ -83,12 +85,21 @@ r AS (
 g AS (
   SELECT o_orderkey, doc_id, CASE k WHEN 0 THEN 'FY' || y || 'Q' || q WHEN 1 THEN 'FY' || y END AS period,
     CASE k WHEN 0 THEN length('Outlook for the ' || w || ' quarter of fiscal 2000 is as follows') + CASE WHEN x > 0 THEN 1 + x ELSE 0 END WHEN 1 THEN length('Guidance Full-year 2000') WHEN 2 THEN NULL ELSE 26 END AS chars FROM r)"""
+
+
+def _decoded(column: str) -> str:
+    """Named entities replaced one after another, the ampersand last."""
+    for name, point in sorted(name2codepoint.items(), key=lambda x: x[0] == "amp"):
+        column = f"replace({column}, '&{name};', chr({point}))"
+    return column.replace("replace(t, ", "replace(replace(t, '&#39;', chr(39)), ", 1)
+
+
 QUERIES = {f.__name__: f for f in (html_text, section_spans, chunked_documents, guidance_period, guidance_longest, top_n_per_type, earnings_releases, exhibits)}
 ORACLES = {
-    "html_text": r"""
+    "html_text": rf"""
 WITH s AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g') AS t FROM pages),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM s)
-SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM e""",
+e AS (SELECT page_id, {_decoded('t')} AS t FROM s)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM e""",
     "guidance_period": f"WITH {_R} SELECT o_orderkey, period, CAST(chars AS INT) AS chars FROM g",
     "guidance_longest": f"WITH {_R} SELECT doc_id, period, o_orderkey FROM g WHERE period IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, period ORDER BY chars DESC, o_orderkey) = 1",
     "top_n_per_type": "SELECT o_custkey AS ticker, o_orderstatus AS form, o_orderkey, CAST(row_number() OVER w AS INT) AS nth FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) QUALIFY row_number() OVER w <= CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 4 WHEN 'P' THEN 8 END",
