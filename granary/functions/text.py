@@ -15,8 +15,7 @@ TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 def tokens(text: Column) -> Column:
     """Lower-case tokens without stop words and single letters; 10-k, 1.5 and u.s stay whole. Null has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def count_words(text: Column) -> Column:
@@ -79,16 +78,18 @@ _ENTITY = "&(#?[A-Za-z0-9]+);"
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities of HTML 4 and numeric ones as their characters, in one pass; others stay as they are."""
-    pieces = F.split(text, _ENTITY, -1)
-    names = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    """Named entities of HTML 4 and numeric ones as their characters; others stay as they are.
+
+    Each different entity of a text is looked up and replaced once, the ampersand last, so nothing is decoded twice.
+    """
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)))
     known = F.map_from_arrays(F.array(*map(F.lit, name2codepoint)), F.array(*(F.lit(chr(c)) for c in name2codepoint.values())))
     number = lambda x: F.when(F.startswith(F.lower(x), F.lit("#x")), F.conv(F.substring(x, 3, 8), 16, 10)).when(F.startswith(x, F.lit("#")), F.substring(x, 2, 8))
     point = lambda x: number(x).try_cast("int")
     valid = lambda x: point(x).between(1, 0xD7FF) | point(x).between(0xE000, 0x10FFFF)
     char = lambda x: F.when(valid(x), F.decode(F.unhex(F.lpad(F.hex(point(x)), 8, "0")), "UTF-32"))
-    shown = F.transform(names, lambda x: F.coalesce(F.try_element_at(known, x), char(x), F.concat(F.lit("&"), x, F.lit(";"))))
-    return F.array_join(F.transform(pieces, lambda piece, k: F.concat(piece, F.coalesce(F.get(shown, k), F.lit("")))), "")
+    shown = F.transform(names, lambda x: F.struct((x == "amp").alias("last"), F.concat(F.lit("&"), x, F.lit(";")).alias("e"), F.coalesce(F.try_element_at(known, x), char(x)).alias("c")))
+    return F.aggregate(F.array_sort(F.filter(shown, lambda x: x["c"].isNotNull())), text, lambda t, x: F.replace(t, x["e"], x["c"]))
 
 
 def html_lines(html: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
 from granary.functions.text import occurrences, tokens
+from granary.sources.landing import landed, spread
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,14 @@ def ranked(hits: DataFrame, top: int, *ties: str, score: str = "score") -> DataF
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl) of every term of every text; texts without tokens have no row."""
-    words = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    words = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokens(F.col("text")).alias("t"))
     return words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def corpus_size(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_size(corpus: DataFrame, index: DataFrame) -> DataFrame:
     """One row: n texts and their average length in tokens, empty texts counted."""
-    return corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
+    n, total = corpus.agg(F.count("*").alias("n")), index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("total"), F.col("n")).alias("avgdl"))  # one row each
 
 
 def term_weights(index: DataFrame, size: DataFrame) -> DataFrame:
@@ -80,8 +82,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, top: int = SPARSE_TOP, keep: Col
     """(query_id, rank, id, score): Okapi scores over whole-corpus statistics, filtered before the cut, above 0 only.
 
     queries: (query_id, text). A query's repeated terms count each time. `keep` is a condition on the corpus' columns.
+    The postings are landed once: their sums, weights and matches read them again.
     """
-    index, size = postings(corpus, id_col, text_col), corpus_size(corpus, text_col)
+    index = landed(postings(corpus, id_col, text_col))
+    size = corpus_size(corpus, index)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.join(term_weights(index, size), "term")
     if keep is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.config import STOPWORDS
 from granary.operators import retrieval as R
+from granary.sources.landing import landed
 from granary.sources.tables import table
 
 NARROW = R.Filters(tickers=("en",), doc_types=("src1", "src2", "src3"), columns={"tickers": "lang", "doc_types": "source", "sections": "section", "date": "filing_date"})
@@ -39,7 +40,8 @@ def bm25_filtered_topk(spark, d):
 
 def corpus_stats_idf(spark, d):
     docs = corpus(spark, d)
-    return R.term_weights(R.postings(docs), R.corpus_size(docs)).withColumn("idf", F.round("idf", 6))
+    index = landed(R.postings(docs))
+    return R.term_weights(index, R.corpus_size(docs, index)).withColumn("idf", F.round("idf", 6))
 
 
 def dense_topk(spark, d):
@@ -62,21 +64,25 @@ def reranked(spark, d):
     return R.rerank(R.hydrate(hybrid_rrf_anchored(spark, d), corpus(spark, d)).where("trim(text) != ''"), asked(spark, d))
 
 
+def _arms(spark, d):
+    found = {"dense": landed(dense_topk(spark, d)), "bm25": landed(bm25_topk(spark, d))}
+    return found | {"hybrid": R.rrf(found["dense"], found["bm25"])}
+
+
 def retrieval_pool(spark, d):
-    return R.pool({"dense": dense_topk(spark, d), "bm25": bm25_topk(spark, d), "hybrid": hybrid_rrf_anchored(spark, d)})
+    return R.pool(_arms(spark, d))
 
 
 def judgements(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("current")).distinct()
-    found = corpus(spark, d).join(F.broadcast(items), F.contains(F.col("text"), F.col("head")))  # the stated query set
+    found = corpus(spark, d).join(items, F.contains(F.col("text"), F.col("head")))  # the stated query set
     return found.select("query_id", "id").join(labels, "id", "left").select("query_id", "id", F.coalesce("current", F.lit(False)).alias("current"))
 
 
 def _scores(spark, d):
-    arms = {"dense": dense_topk(spark, d), "bm25": bm25_topk(spark, d), "hybrid": hybrid_rrf_anchored(spark, d)}
     rows = None
-    for name, hits in arms.items():
+    for name, hits in _arms(spark, d).items():
         one = hits.withColumn("mode", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return R.evaluate(rows, judgements(spark, d), ["mode"])

@@ -13,3 +13,9 @@ def landed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it has fewer partitions than that: a small file that is one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
