@@ -124,3 +124,46 @@ FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, row_number() OVER (P
 GROUP BY l_orderkey""",
     "routing_log": "SELECT event_id AS id, ts, event_type AS route FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
 }
+
+
+def headline_gate(spark, d):
+    """Summaries composed of orders: one in four invents a figure, one in three names a cause, one in five doesn't decline."""
+    from granary.operators.headlines import DECLINE, gate
+
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("Chip maker opens plant in Texas [1]. "),
+        F.when(k % 4 == 0, F.lit("Sales rose 4711 percent. ")).otherwise(F.lit("")),
+        F.when(k % 3 == 0, F.lit("Rivals suffered because of tariffs elsewhere. ")).otherwise(F.lit("")),
+        F.when(k % 5 != 0, F.lit(DECLINE)).otherwise(F.lit("")),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("summary"), F.array(F.lit("Chip maker opens plant in Texas")).alias("headlines"), F.array(F.to_date("o_orderdate")).alias("days"))
+    return gate(rows).select("o_orderkey", F.array_join("violations", ",").alias("violations"), "declined")
+
+
+def validation_ab(spark, d):
+    """Two arms over the orders: without the chain, and with it, which withholds what it fails."""
+    from granary.operators.headlines import arms, compare_arms
+
+    rows = _answers(spark, d).withColumn("id", F.col("o_orderkey")).withColumn("category", F.when(F.col("id") % 6 == 0, "insufficient_evidence").otherwise("numeric"))
+    good = F.col("id") % 4 != 0
+    off = rows.select("id", "category", good.alias("compliant"), (F.col("id") % 12 == 0).alias("refused"), F.lit(None).cast("string").alias("withheld_by"))
+    by = F.when(F.col("id") % 8 == 0, "numeric_consistency").when(F.col("id") % 8 == 4, "citation_coverage")
+    on = rows.where("id % 10 != 3").select("id", "category", F.lit(True).alias("compliant"), ((F.col("id") % 12 == 0) | by.isNotNull()).alias("refused"), by.alias("withheld_by"))
+    return compare_arms(arms(off, on))
+
+
+QUERIES |= {f.__name__: f for f in (headline_gate, validation_ab)}
+ORACLES |= {
+    "headline_gate": """
+SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'invented figure' END, CASE WHEN o_orderkey % 3 = 0 THEN 'asserted cause' END, CASE WHEN o_orderkey % 5 = 0 THEN 'does not decline' END) AS violations,
+  CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS INT) AS declined FROM orders""",
+    "validation_ab": """
+WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 <> 3),
+r AS (
+  SELECT 'off' AS arm, id, id % 4 <> 0 AS compliant, id % 12 = 0 AS refused, CAST(NULL AS VARCHAR) AS w FROM p
+  UNION ALL SELECT 'on', id, true, id % 12 = 0 OR id % 4 = 0, CASE id % 8 WHEN 0 THEN 'numeric_consistency' WHEN 4 THEN 'citation_coverage' END FROM p)
+SELECT arm, count(*) AS n, count(*) FILTER (compliant) AS compliant, count(*) FILTER (refused) AS refused, count(*) FILTER (refused AND id % 6 <> 0) AS refused_answerable, count(w) AS withheld,
+  count(*) FILTER (w = 'numeric_consistency') AS numeric_consistency, count(*) FILTER (w = 'citation_coverage') AS citation_coverage, count(*) FILTER (w = 'grounding') AS grounding
+FROM r GROUP BY arm""",
+}
