@@ -5,7 +5,8 @@ BUCKETS rows of an embedding. A text is the average over all subwords of all its
 classes weigh the same, so a text of unknown subwords gets an even distribution: that is what rejection relies on.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE of them, by a hash of the id and the text), a fifth of
-which calibrates: a temperature fitted to it, and a threshold below which only REJECT of its right answers fall.
+which calibrates: a temperature fitted to it, and a threshold below which only REJECT of its right answers fall, at
+most MARGIN above an even distribution.
 Prediction is linear in subword counts, so each word's sum of class scores is computed once and cached.
 """
 
@@ -24,6 +25,7 @@ from granary.llm.common import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
 SAMPLE, REJECT, UNKNOWN = 4000, 0.001, "und"
+SMOOTHING, MARGIN = 0.02, 0.15
 CACHE_ENTRIES = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -97,11 +99,16 @@ def calibrate(model: LanguageModel, samples: list, labels: np.ndarray, reject: f
     """Fits the temperature by likelihood on a grid, then the threshold of rejection."""
     logits = model.logits(samples)
     right = np.arange(len(labels))
-    model.scale = float(min(np.geomspace(0.05, 20, 121), key=lambda s: -np.log(softmax(logits * s)[right, labels] + 1e-12).sum()))
+    even = 1 / len(model.languages)
+
+    def loss(scale: float) -> float:  # smoothed targets: without them, separable languages would ask for any scale
+        logs = np.log(softmax(logits * scale) + 1e-12)
+        return -((1 - SMOOTHING) * logs[right, labels] + SMOOTHING * logs.mean(axis=1)).sum()
+
+    model.scale = float(min(np.geomspace(0.02, 20, 161), key=loss))
     p = softmax(logits * model.scale)
     sure = p.max(axis=1)[p.argmax(axis=1) == labels]
-    even = 1 / len(model.languages)
-    model.threshold = float(np.clip(np.quantile(sure, reject) if len(sure) else 0, min(1.2 * even, 0.5), 0.5))
+    model.threshold = float(np.clip(np.quantile(sure, reject) if len(sure) else 0, min(1.2 * even, 0.5), min(even + MARGIN, 0.5)))
 
 
 def fit_language_model(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, reject: float = REJECT, seed: int = 0) -> LanguageModel:
