@@ -39,14 +39,38 @@ def first_of_each(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
 
 
-def near_pairs(vectors: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
-    """(a, b, sim) of pairs of one group that are at least this similar, a < b. vectors: id, vector (unit length)."""
-    keys = [group] if group else []
-    a = vectors.select(*keys, F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = vectors.select(*keys, F.col("id").alias("b"), F.col("vector").alias("vb"))
-    sim = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = a.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))).join(b, keys or None, "inner" if keys else "cross")
-    return both.where("a < b").select(*keys, "a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") >= threshold)
+def near_pairs(vectors: DataFrame, threshold: float, group: str | None = None, block: int = 1500) -> DataFrame:
+    """(a, b, sim) of pairs of one group that are at least this similar, a < b. vectors: id, vector (unit length).
+
+    Each group is cut into blocks of about `block` rows by hash, and every two blocks of a group meet once, so a task holds
+    two blocks however large the group is. A matrix product finds candidates; their sums are taken again in element order.
+    """
+    spark = vectors.sparkSession
+    key = F.col(group) if group else F.lit(0)
+    rows = vectors.select(key.alias("__g"), "id", F.col("vector").cast("array<double>").alias("v")).where(F.col("__g").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    rows = rows.withColumn("__d", F.size("v")).where("__d > 0")
+    sizes = rows.groupBy("__g", "__d").agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    rows = rows.join(sizes, ["__g", "__d"]).withColumn("__k", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"__i": F.least("__k", "__o"), "__j": F.greatest("__k", "__o")})
+    id_type, group_type = vectors.schema["id"].dataType.simpleString(), rows.schema["__g"].dataType.simpleString()
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["__k"] == pdf["__i"]], pdf[pdf["__k"] == pdf["__j"]]
+        same = pdf["__i"].iat[0] == pdf["__j"].iat[0]
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        v, w = (np.stack(side["v"].to_list()) if len(side) else np.zeros((0, int(pdf["__d"].iat[0]))) for side in (left, right))
+        found = ~(v @ w.T < threshold - 1e-5)  # not a number is no reason to drop a pair
+        a, b = np.nonzero(np.triu(found, 1) if same else found)
+        sim = np.zeros(len(a))
+        for k in range(v.shape[1]):
+            sim += v[a, k] * w[b, k]
+        return pd.DataFrame({"__g": np.repeat(pdf["__g"].iat[0], len(a)), "x": ids[a], "y": others[b], "sim": sim})
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select("__g", "__d", "__i", "__j", "__k", "id", "v").repartition(partitions, "__g", "__d", "__i", "__j")
+    pairs = met.groupBy("__g", "__d", "__i", "__j").applyInPandas(meet, f"__g {group_type}, x {id_type}, y {id_type}, sim double")
+    keys = [F.col("__g").alias(group)] if group else []
+    return pairs.where("x <> y").select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("sim", 6).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def greedy_leaders(vectors: np.ndarray, redirects: list[bool], threshold: float) -> list[int]:

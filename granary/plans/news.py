@@ -65,7 +65,7 @@ def exact_dedup_first(spark, d):
 
 
 def near_dup_edges(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 100000").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return N.near_pairs(v, 0.35, "label")
 
 
