@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from granary.operators import news as N
-from granary.plans import news
+from granary.plans import answers, news
 
 
 def brute_pairs(ids, vectors, labels, threshold):
@@ -36,3 +36,10 @@ def test_near_pairs_in_blocks(spark, group, block):
     got = {(r.a, r.b): r.sim for r in rows}
     want = brute_pairs(ids, v, labels, 0.5)
     assert len(rows) == len(got) and got.keys() == want.keys() and got == pytest.approx(want, abs=1.1e-6)
+
+
+def test_numbered_context_covers_every_order(spark, tmp_path):
+    rows = [(order, line, 100 * order + line) for order in range(1, 25) for line in range(1, order % 4 + 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.context for r in answers.numbered_context(spark, str(tmp_path)).collect()}
+    assert got == {order: "\n\n".join(f"[{n}] (line {n})\npart {100 * order + n}" for n in range(1, order % 4 + 2)) for order in range(1, 25)}
