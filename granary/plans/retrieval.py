@@ -65,8 +65,11 @@ def reranked(spark, d):
 
 
 def _arms(spark, d):
+    """The hits of each of R.MODES, all as deep as the widest: the rerank arm orders every hybrid hit that has a text."""
     found = {"dense": landed(dense_topk(spark, d)), "bm25": landed(bm25_topk(spark, d))}
-    return found | {"hybrid": R.rrf(found["dense"], found["bm25"])}
+    found["hybrid"] = landed(R.rrf(found["dense"], found["bm25"]))
+    texts = R.hydrate(found["hybrid"], corpus(spark, d)).where("trim(text) != ''")
+    return found | {"rerank": R.rerank(texts, asked(spark, d), top=R.DENSE_TOP)}
 
 
 def retrieval_pool(spark, d):

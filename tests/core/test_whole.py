@@ -1,10 +1,13 @@
 """Queries cover whole tables."""
 
+import re
+
 import numpy as np
 import pytest
 
-from granary.operators import news as N
-from granary.plans import answers, news
+from granary.config import STOPWORDS
+from granary.operators import news as N, retrieval as R
+from granary.plans import answers, news, retrieval
 
 
 def brute_pairs(ids, vectors, labels, threshold):
@@ -43,3 +46,24 @@ def test_numbered_context_covers_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: r.context for r in answers.numbered_context(spark, str(tmp_path)).collect()}
     assert got == {order: "\n\n".join(f"[{n}] (line {n})\npart {100 * order + n}" for n in range(1, order % 4 + 2)) for order in range(1, 25)}
+
+
+def test_pool_and_evaluation_have_all_arms(spark):
+    d = "/root/testdata/sf0.001"
+    rows = retrieval.retrieval_pool(spark, d).collect()
+    assert rows[0].__fields__[2:] == [*R.MODES, "best"]
+    texts = {r.id: r.text for r in retrieval.corpus(spark, d).collect()}
+    asked = {r.query_id: r.text for r in retrieval.asked(spark, d).collect()}
+    words = lambda t: {w for w in re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", t.lower()) if len(w) > 1 and w not in STOPWORDS}
+    order = {}
+    for r in rows:
+        assert r.best == min(x for x in r[2:6] if x is not None)
+        if r.hybrid is not None and (texts.get(r.id) or "").strip():
+            q = words(asked[r.query_id])
+            order.setdefault(r.query_id, []).append((-round(len(q & words(texts[r.id])) / len(q), 6), r.hybrid, r.id))
+        else:
+            assert r.rerank is None
+    ranks = {(r.query_id, r.id): r.rerank for r in rows if r.rerank is not None}
+    assert ranks == {(q, h[2]): k for q, hits in order.items() for k, h in enumerate(sorted(hits), 1)} and max(ranks.values()) > R.FINAL_TOP
+    scores = retrieval.retrieval_eval_by_mode(spark, d).collect()
+    assert {(r.mode, r.category) for r in scores} == {(m, c) for m in R.MODES for c in (None, "even", "odd")}
