@@ -114,30 +114,52 @@ def mark_copies(articles: DataFrame, threshold: float = DUPLICATE_SIMILARITY) ->
     return articles.drop("is_duplicate", "duplicate_of").join(marks, ["ticker", "article_id"])
 
 
-def average_linkage(vectors: np.ndarray, threshold: float, most: int = 5000) -> list[int]:
+def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
     """Cluster numbers: the two clusters of the smallest mean cosine distance merge while it is below 1 - threshold.
 
-    Quadratic in memory, so more than `most` items are an error rather than a wrong answer.
+    By chains of nearest neighbours over sums of unit vectors, so memory is linear in the items: the mean distance of two
+    clusters is 1 - (sum . sum) / (size * size). No merge brings a cluster nearer to others than its parts were, so two
+    that are nearest to each other may merge at once, and one whose nearest is at the cut or beyond is done. The clusters
+    are those of the greedy order, but for exactly equal distances.
     """
-    n = len(vectors)
-    if n > most:
-        raise ValueError(f"{n} items in one group; at most {most} can be clustered")
+    cut = 1 - threshold
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    dist = 1 - unit @ unit.T
-    np.fill_diagonal(dist, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        a, b = sorted(np.unravel_index(dist.argmin(), dist.shape))
-        if dist[a, b] >= 1 - threshold:
-            break
-        dist[a] = (size[a] * dist[a] + size[b] * dist[b]) / (size[a] + size[b])
-        dist[:, a] = dist[a]
-        dist[a, a] = np.inf
-        dist[b], dist[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        label[label == b] = a
-        n -= 1
-    return label.tolist()
+    n = len(unit)
+    total, size, parent = unit.astype(float).copy(), np.ones(n), np.arange(n)
+    names, at = np.arange(n), np.arange(n)  # the cluster of each kept row, and the row of each cluster
+    mean, open_ = total.copy(), np.ones(n, dtype=bool)
+    left, chain = n, []
+    while left > 1:
+        if 2 * left < len(names):  # leave out rows that are done
+            names, mean, open_ = names[open_], mean[open_], np.ones(left, dtype=bool)
+            at[names] = np.arange(left)
+        tip = chain[-1] if chain else names[int(open_.argmax())]
+        if not chain:
+            chain.append(tip)
+        dist = 1 - mean @ mean[at[tip]]
+        last = dist[at[chain[-2]]] if len(chain) > 1 else np.inf
+        dist[~open_] = np.inf
+        dist[at[chain]] = np.inf  # so rounding can't turn a chain into a ring
+        near = names[int(dist.argmin())]
+        nearest = min(last, dist[at[near]])
+        if last <= dist[at[near]] and len(chain) > 1:
+            near = chain[-2]
+        if nearest >= cut:
+            open_[at[tip]] = False
+            left -= 1
+            chain.pop()
+        elif len(chain) > 1 and near == chain[-2]:
+            a, b = sorted((tip, near))
+            total[a] += total[b]
+            size[a] += size[b]
+            parent[b], mean[at[a]], open_[at[b]] = a, total[a] / size[a], False
+            left -= 1
+            del chain[-2:]
+        else:
+            chain.append(near)
+    for k in range(n):  # parents come before their parts
+        parent[k] = parent[parent[k]]
+    return parent.tolist()
 
 
 def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY) -> DataFrame:

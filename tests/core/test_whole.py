@@ -67,3 +67,15 @@ def test_pool_and_evaluation_have_all_arms(spark):
     assert ranks == {(q, h[2]): k for q, hits in order.items() for k, h in enumerate(sorted(hits), 1)} and max(ranks.values()) > R.FINAL_TOP
     scores = retrieval.retrieval_eval_by_mode(spark, d).collect()
     assert {(r.mode, r.category) for r in scores} == {(m, c) for m in R.MODES for c in (None, "even", "odd")}
+
+
+def parts(labels):
+    return {frozenset(k for k, x in enumerate(labels) if x == y) for y in labels}
+
+
+def test_average_linkage_of_a_large_group():
+    rnd = np.random.default_rng(5)
+    centres = np.linalg.qr(rnd.normal(size=(32, 32)))[0]
+    label = rnd.integers(0, 32, 5200)
+    v = centres[label] + 0.02 * rnd.normal(size=(5200, 32))
+    assert parts(N.average_linkage(v, 0.7)) == parts(label.tolist())
