@@ -138,8 +138,8 @@ def fit_graph(rows: DataFrame, sample: int = SAMPLE, most_lists: int = MOST_LIST
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row where `queries` holds, its k nearest other rows: query_id, rank (from 1), vec_id, score.
 
-    Nearest first; equal scores go by the smaller vec_id; fewer rows where there are fewer candidates in the lists that
-    a query visits. Null ids, and vectors that are null, zero, of another length than most, or hold null or non-finite
+    Nearest first; equal scores go by the smaller vec_id. A query that finds fewer than k in the lists it visits is asked
+    again over all lists, so it has fewer rows only where the table has fewer candidates. Null ids, and vectors that are null, zero, of another length than most, or hold null or non-finite
     components, take no part. Rows of one id count as one candidate, with their best score. An empty table, or one
     without usable vectors, gives no rows. Other columns are only read for `queries`.
     """
@@ -168,13 +168,11 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     vectors = rows.repartition(parts)  # a small file is one partition
     index = written(vectors.mapInArrow(assign(0), schema), "postings")
     asked = rows.join(df.where(queries).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-    asked = asked.repartition(parts).mapInArrow(assign(1), schema)
     # counts of at most MOST_LISTS lists
     subs = {r["list"]: -(-r["count"] // CAP) for r in index.groupBy("list").count().collect()}
     many = F.create_map(*[F.lit(x) for pair in subs.items() if pair[1] > 1 for x in pair]) if any(n > 1 for n in subs.values()) else None
     pieces = F.coalesce(many[F.col("list")], F.lit(1)) if many is not None else F.lit(1)
     members = index.withColumn("sub", F.pmod(F.xxhash64("id"), pieces).cast("int"))
-    visits = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), pieces - 1)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, block = None, [], [], None
@@ -212,9 +210,20 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                 held += zip(i, s, strict=True)
         yield flush()
 
-    dealt = members.unionByName(visits).repartition("list", "sub").sortWithinPartitions("list", "sub", "kind", "id")
-    found = dealt.mapInArrow(scan, "query_id long, ids array<long>, scores array<double>")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, out)
+    def answered(visits: DataFrame) -> DataFrame:
+        visits = visits.withColumn("sub", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        dealt = members.unionByName(visits).repartition("list", "sub").sortWithinPartitions("list", "sub", "kind", "id")
+        found = dealt.mapInArrow(scan, "query_id long, ids array<long>, scores array<double>")
+        return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, out)
+
+    near = written(answered(asked.repartition(parts).mapInArrow(assign(1), schema)), "nearest")
+    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = written(asked.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    every = F.explode(F.array(*map(F.lit, sorted(subs))))  # at most MOST_LISTS lists
+    again = answered(short.select(every.alias("list"), F.lit(1).alias("kind"), "id", "v"))
+    return near.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(*near.columns).unionByName(again)
 
 
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
