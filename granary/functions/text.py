@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from html.entities import name2codepoint
+from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +14,16 @@ from granary.config import COMPANIES, REDIRECT_HOST, STOPWORDS, TOPICS
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where body uses it in lambdas, which compute anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens without stop words and single letters; 10-k, 1.5 and u.s stay whole. Null has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -43,6 +55,11 @@ def names_company(headline: Column, ticker: Column) -> Column:
     return out
 
 
+def date_of(value: Column) -> Column:
+    """The day of a date, a timestamp or an ISO text; null where there is none."""
+    return F.substring(value.cast("string"), 1, 10).try_cast("date")
+
+
 def is_redirect(url: Column) -> Column:
     return F.contains(F.coalesce(url, F.lit("")), F.lit(REDIRECT_HOST))
 
@@ -75,27 +92,43 @@ def slug(section: Column) -> Column:
 
 
 _ENTITY = "&(#?[A-Za-z0-9]+);"
+#: Names of HTML 5 that end in a semicolon, with what they stand for.
+ENTITIES = {name[:-1]: shown for name, shown in html5.items() if name.endswith(";")}
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities of HTML 4 and numeric ones as their characters; others stay as they are.
+    """Named entities of HTML 5 and numeric ones as their characters; unknown ones, and ones without ; stay as they are.
 
-    Each different entity of a text is looked up and replaced once, the ampersand last, so nothing is decoded twice.
+    Each different entity of a text is looked up and replaced once, those of ampersands last, so nothing is decoded twice.
     """
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)))
-    known = F.map_from_arrays(F.array(*map(F.lit, name2codepoint)), F.array(*(F.lit(chr(c)) for c in name2codepoint.values())))
+    known = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
     number = lambda x: F.when(F.startswith(F.lower(x), F.lit("#x")), F.conv(F.substring(x, 3, 8), 16, 10)).when(F.startswith(x, F.lit("#")), F.substring(x, 2, 8))
     point = lambda x: number(x).try_cast("int")
     valid = lambda x: point(x).between(1, 0xD7FF) | point(x).between(0xE000, 0x10FFFF)
     char = lambda x: F.when(valid(x), F.decode(F.unhex(F.lpad(F.hex(point(x)), 8, "0")), "UTF-32"))
-    shown = F.transform(names, lambda x: F.struct((x == "amp").alias("last"), F.concat(F.lit("&"), x, F.lit(";")).alias("e"), F.coalesce(F.try_element_at(known, x), char(x)).alias("c")))
-    return F.aggregate(F.array_sort(F.filter(shown, lambda x: x["c"].isNotNull())), text, lambda t, x: F.replace(t, x["e"], x["c"]))
+    pair = lambda x: F.struct(F.concat(F.lit("&"), x, F.lit(";")).alias("e"), F.coalesce(F.try_element_at(known, x), char(x)).alias("c"))
+    ordered = lambda shown: F.concat(F.filter(shown, lambda x: x["c"] != "&"), F.filter(shown, lambda x: x["c"] == "&"))
+
+    def decoded(t: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1)))
+        shown = F.filter(F.transform(names, pair), lambda x: x["c"].isNotNull())
+        return F.aggregate(bound(shown, ordered), t, lambda t, x: F.replace(t, x["e"], x["c"]))
+
+    return bound(text, decoded)
+
+
+#: A tag: quoted attributes may hold >; where quotes don't pair, it ends at the first >.
+TAG = r"""<[/!?A-Za-z][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|<[/!?A-Za-z][^>]*+>"""
+UNSEEN = r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->"
 
 
 def html_lines(html: Column) -> Column:
-    """Text lines of a page: scripts, styles and comments gone, a break at every tag, blank lines dropped."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", "")
-    out = decode_entities(F.regexp_replace(out, r"(?s)<[^>]*>", "\n"))
+    """Text lines of a page: scripts, styles and comments gone, a break at every tag, blank lines dropped.
+
+    A < that starts no tag stays as it is. Null pages have no lines.
+    """
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "")
+    out = decode_entities(F.regexp_replace(out, TAG, "\n"))
     lines = F.transform(F.split(out, "\n"), lambda x: F.regexp_replace(x, "^[\\s\u00a0]+|[\\s\u00a0]+$", ""))
     return F.filter(lines, lambda x: x != "")
 
