@@ -34,3 +34,8 @@ def period_label(year: Column, quarter: Column) -> Column:
 def pct_change(now: Column, before: Column) -> Column:
     """Null where there is nothing before, or zero."""
     return F.try_divide(F.lit(100.0) * (now - before), F.abs(F.nullif(before, F.lit(0.0))))
+
+
+def epoch_seconds(day: Column) -> Column:
+    """Midnight UTC of a date in seconds since 1970."""
+    return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400

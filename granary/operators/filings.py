@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.config import OVERLAP_TOKENS, TARGET_TOKENS
-from granary.functions.text import count_words, html_lines, slug
+from granary.functions.text import count_words, date_of, guided_period, html_lines, outlook_block, slug
 
 #: Items of interest by form, and the part they must stand in.
 SECTIONS = {
@@ -37,6 +38,19 @@ def exhibit_or_primary(cells: DataFrame, filings: DataFrame) -> DataFrame:
     return filings.join(first, "filing", "left").select("filing", F.coalesce(F.element_at(F.split("href", "/"), -1), "primary").alias("document"))
 
 
+def index_cells(pages: DataFrame, id_col: str = "filing", html_col: str = "html") -> DataFrame:
+    """(filing, pos, cells, href) of the rows of a filing index page's first table of class tableFile.
+
+    cells are the texts of the row's td elements, href is the link in the third of them (null without one). Pages that
+    are null or have no such table give no rows.
+    """
+    table = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"""(?is)<table\b(?:[^>"']|"[^"]*"|'[^']*')*?\bclass\s*=\s*["']?[^"'>]*\btableFile\b[^>]*>(.*?)(?:</table|$)""", 1)
+    rows = pages.select(F.col(id_col).alias("filing"), F.posexplode(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr|$)"), F.lit(1))).alias("pos", "row"))
+    rows = rows.withColumn("cell", F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)(?=<td\b|</td|$)"), F.lit(1)))
+    link = F.regexp_extract(F.get("cell", F.lit(2)), r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)""", 1)
+    return rows.select("filing", "pos", F.transform("cell", lambda c: F.array_join(html_lines(c), "")).alias("cells"), F.nullif(link, F.lit("")).alias("href"))
+
+
 def sections(pages: DataFrame, id_col: str = "id", html_col: str = "html", form_col: str = "form") -> DataFrame:
     """(id, n, section, text): the items of interest of each page, from their longest occurrence to the next of them.
 
@@ -64,28 +78,28 @@ def sections(pages: DataFrame, id_col: str = "id", html_col: str = "html", form_
 
 
 def pack(units: list[tuple[str, int]], target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[list[int]]:
-    """Indices of the units of each chunk: filled up to `target`, started with the last units of the one before.
+    """Indices of the units of each chunk, at most `target` tokens each; a unit holds `target` tokens at most.
 
-    What is carried over leaves out the first unit of the chunk before, ends once it has `overlap` tokens, holds at most
-    the larger of overlap and half a target, and gives way from the front to the unit that comes next.
+    A chunk takes as many units as fit. The next one begins with a repeat: the shortest end of the chunk, its last unit
+    left out, that has `overlap` tokens or else all of it, as far as that is within max(overlap, target // 2) and within
+    what the next unit leaves of `target`.
     """
-    out: list[list[int]] = []
-    held, size, most = [], 0, max(overlap, target // 2)
-    for k, (_, n) in enumerate(units):
-        if held and size + n > target:
-            out.append(held)
-            carried, size = [], 0
-            for j in held[:0:-1]:
-                if size >= overlap or size + units[j][1] > most:
-                    break
-                carried.append(j)
-                size += units[j][1]
-            carried.reverse()
-            while carried and size + n > target:
-                size -= units[carried.pop(0)][1]
-            held = carried
-        held, size = [*held, k], size + n
-    return [*out, held] if held else out
+    sizes = np.array([n for _, n in units], dtype=np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    repeat, at, out = np.zeros(0, dtype=np.int64), 0, []
+    while at < len(sizes):
+        room = target - int(sizes[repeat].sum())
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + room, "right")) - 1)
+        chunk = np.concatenate([repeat, np.arange(at, end)])
+        out.append(chunk.tolist())
+        if end < len(sizes):
+            most = min(max(overlap, target // 2), target - int(sizes[end]))
+            ends = np.cumsum(sizes[chunk[:-1]][::-1])  # tokens of the last 1, 2, ... units before the last
+            wanted, allowed = int(np.searchsorted(ends, overlap, "left")) + 1, int(np.searchsorted(ends, most, "right"))
+            n = min(wanted, allowed) if overlap > 0 else 0
+            repeat = chunk[:-1][len(ends) - n :] if n else chunk[:0]
+        at = end
+    return out
 
 
 def units_of(text: str, target: int) -> list[tuple[str, int]]:
@@ -101,24 +115,73 @@ def units_of(text: str, target: int) -> list[tuple[str, int]]:
 
 
 def chunk(texts: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """(id, section, text) -> (chunk_id, id, section, chunk_index in the section, n_tokens, text).
+    """(id, section, text) and, if there, n -> (chunk_id, id, section, chunk_index, n_tokens, text).
 
-    A fold over lines, so it runs in Arrow batches; a text is never split over tasks. Token counts are of words.
+    The number in chunk_id counts within a section, chunk_index over all sections of the document in order of n (without
+    n: of the section's name). A fold over lines, so it runs in Arrow batches; a text is never split over tasks. Token
+    counts are of words. Null and blank texts have no chunk; an empty table gives none; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, section, text in zip(*(b.column(c).to_pylist() for c in ("id", "section", "text")), strict=True):
+            for key, n, section, text in zip(*(b.column(c).to_pylist() for c in ("id", "n", "section", "text")), strict=True):
                 units = units_of(text, target)
-                rows += [(key, section, k, sum(units[j][1] for j in c), "\n".join(units[j][0] for j in c)) for k, c in enumerate(pack(units, target, overlap))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["id", "section", "chunk_index", "n_tokens", "text"])
+                rows += [(key, n, section, k, sum(units[j][1] for j in c), "\n".join(units[j][0] for j in c)) for k, c in enumerate(pack(units, target, overlap))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["id", "n", "section", "k", "n_tokens", "text"])
 
-    done = texts.select(F.col("id").cast("string").alias("id"), "section", "text").mapInArrow(run, "id string, section string, chunk_index int, n_tokens int, text string")
+    nth = F.col("n").cast("int") if "n" in texts.columns else F.lit(None).cast("int")
+    done = texts.select(F.col("id").cast("string").alias("id"), nth.alias("n"), "section", "text").mapInArrow(run, "id string, n int, section string, k int, n_tokens int, text string")
     name = F.coalesce(F.nullif(slug(F.col("section")), F.lit("")), F.lit("body"))
-    return done.select(F.concat_ws("::", "id", name, F.lpad(F.col("chunk_index").cast("string"), 4, "0")).alias("chunk_id"), "id", "section", "chunk_index", "n_tokens", "text")
+    index = (F.row_number().over(Window.partitionBy("id").orderBy("n", "section", "k")) - 1).cast("int")
+    done = done.withColumn("chunk_index", index)
+    return done.select(F.concat_ws("::", "id", name, F.format_string("%04d", "k")).alias("chunk_id"), "id", "section", "chunk_index", "n_tokens", "text")
+
+
+def documents(manifest: DataFrame, tickers: list[str] | None = None) -> DataFrame:
+    """The manifest of all companies or of some, oldest filing first, with the filing date as a date."""
+    rows = manifest if tickers is None else manifest.where(F.col("ticker").isin(*tickers))
+    return rows.withColumn("filing_date", date_of(F.col("filing_date"))).orderBy("filing_date", "doc_id")
+
+
+def chunk_metadata(chunks: DataFrame, manifest: DataFrame, chunk_ids: DataFrame | None = None, doc_id: str | None = None) -> DataFrame:
+    """Chunks with the columns of their documents, in order of document and chunk: all, those of a table of chunk_id,
+    or those of one document. chunks: as chunk() gives them; documents without chunks, and the reverse, are left out."""
+    rows = chunks.withColumnRenamed("id", "doc_id")
+    if chunk_ids is not None:
+        rows = rows.join(chunk_ids.select("chunk_id"), "chunk_id", "left_semi")
+    elif doc_id is not None:
+        rows = rows.where(F.col("doc_id") == doc_id)
+    return rows.join(manifest, "doc_id").withColumn("n_words", count_words(F.col("text"))).orderBy("doc_id", "chunk_index")
+
+
+def section_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks by section, for the report of a build."""
+    return chunks.groupBy("section").agg(F.count("*").alias("n"))
+
+
+# --- guidance -----------------------------------------------------------------
+
+
+def guidance_candidates(chunks: DataFrame, manifest: DataFrame, ticker: str | None = None) -> DataFrame:
+    """Chunks of 8-K filings, which may hold an outlook: the newest filing first, chunks in order."""
+    rows = chunks.join(manifest.select("doc_id", "ticker", "filing_date", "doc_type").where("doc_type = '8-K'"), "doc_id")
+    rows = rows if ticker is None else rows.where(F.col("ticker") == ticker)
+    return rows.select("chunk_id", "text", "doc_id", "ticker", date_of(F.col("filing_date")).alias("filing_date"), "chunk_index").orderBy(F.desc("filing_date"), "chunk_index", "chunk_id")
+
+
+def guidance(candidates: DataFrame) -> DataFrame:
+    """(ticker, fiscal_period, given_on, text, source_doc_id): the longest outlook of each filing and guided period.
+
+    Chunks overlap, so an outlook may stand in several; of equally long ones the first chunk's is taken. Chunks without
+    an outlook, or whose outlook names no period, give nothing.
+    """
+    found = candidates.withColumn("block", outlook_block(F.col("text"))).withColumn("fiscal_period", guided_period(F.col("block"))).where("fiscal_period is not null")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "fiscal_period").orderBy(F.desc(F.length("block")), "chunk_index", "chunk_id"))
+    return found.withColumn("nth", nth).where("nth = 1").select("ticker", "fiscal_period", F.col("filing_date").alias("given_on"), F.col("block").alias("text"), F.col("doc_id").alias("source_doc_id"))
 
 
-def chunk_metadata(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with the columns of their documents, in order of document and chunk."""
-    return chunks.withColumnRenamed("id", "doc_id").join(documents, "doc_id").withColumn("n_words", count_words(F.col("text")))
+def latest_guidance(rows: DataFrame, limit: int = 3) -> DataFrame:
+    """The `limit` most recently given rows of each company, newest first; ties go by period and document."""
+    nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("given_on"), "fiscal_period", "source_doc_id"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth").orderBy("ticker", F.desc("given_on"), "fiscal_period", "source_doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The seven tables' columns.
@@ -50,7 +52,35 @@ def recent_filings(raw: DataFrame) -> DataFrame:
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole HTML files as text; bytes that are no UTF-8 become replacement characters."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("html"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+
+
+def table_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """(table, n) of each table; null for one that isn't there, so a missing store shows as missing, not as empty."""
+    spark = next(t.sparkSession for t in tables.values() if t is not None)
+    rows = None
+    for name, found in tables.items():
+        one = (spark.range(1).select(F.lit(None).cast("long").alias("n")) if found is None else found.agg(F.count("*").alias("n"))).select(F.lit(name).alias("table"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def cached_facts(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """Company facts as they were landed under `path`; fetched and landed where there are none yet, or on refresh.
+
+    fetch returns the rows (see facts_rows) of a source outside the engine. What it gives replaces what was landed only
+    once it is written whole.
+    """
+    jvm = spark.sparkContext._jvm
+    fs_path = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if refresh or not fs.exists(fs_path(f"{path}/_SUCCESS")):
+        fresh = f"{path}.fresh"
+        fetch().write.mode("overwrite").parquet(fresh)
+        fs.delete(fs_path(path), True)
+        if not fs.rename(fs_path(fresh), fs_path(path)):
+            raise OSError(f"{fresh} can't take the place of {path}")
+    return spark.read.parquet(path)
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

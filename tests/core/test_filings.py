@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.dates import fiscal_quarter, fiscal_year, period_kind
 from granary.functions.text import guided_period, html_to_text, outlook_block, tokens
-from granary.operators.filings import chunk, pack, sections
+from granary.operators.filings import chunk, exhibit_or_primary, guidance, guidance_candidates, index_cells, latest_guidance, pack, sections
+from granary.sources.tables import html_files
 
 
 @settings(max_examples=300, deadline=None)
@@ -13,12 +14,18 @@ from granary.operators.filings import chunk, pack, sections
 def test_pack_keeps_its_promises(sizes, overlap):
     target = 40
     chunks = pack([("x", n) for n in sizes], target, overlap)
-    assert sorted({k for c in chunks for k in c}) == list(range(len(sizes)))
-    for c in chunks:
-        assert c == list(range(c[0], c[-1] + 1)) and sum(sizes[k] for k in c) <= target
-    for a, b in zip(chunks, chunks[1:], strict=False):
-        assert a[0] < b[0] <= a[-1] + 1 and b[-1] > a[-1]
-        assert sum(sizes[k] for k in b if k <= a[-1]) <= max(overlap, target // 2)
+    tokens_of = lambda units: sum(sizes[k] for k in units)
+    new = [[k for k in c if not before or k > before[-1]] for before, c in zip([[], *chunks], chunks, strict=False)]
+    assert [k for run in new for k in run] == list(range(len(sizes))) and all(new)
+    for c, run, after in zip(chunks, new, [*new[1:], []], strict=False):
+        assert tokens_of(c) <= target
+        assert not after or tokens_of(c) + sizes[after[0]] > target  # as many as fit
+    for before, c, run in zip(chunks, chunks[1:], new[1:], strict=False):
+        repeat = c[: len(c) - len(run)]
+        ends = [before[len(before) - 1 - n : -1] for n in range(len(before))]  # of the chunk before, its last unit left out
+        room = min(max(overlap, target // 2), target - sizes[run[0]])
+        allowed = [e for e in ends if tokens_of(e) <= room]
+        assert repeat == next((e for e in allowed if tokens_of(e) >= overlap), allowed[-1])
 
 
 def test_chunks(spark):
@@ -55,6 +62,46 @@ def test_html_against_a_parser(spark):
     assert same >= 0.9 * len(rows)
     odd = spark.createDataFrame([(None,), ("<p>Cost</p><td>$<td>71&amp;&nbsp;x &#8211; &#xD800; &nope;<!-- no --><script>bad()</script>",)], "html string")
     assert [r[0] for r in odd.select(html_to_text(F.col("html"))).collect()] == ["", "Cost\n$\n71&\xa0x – &#xD800; &nope;"]
+    more = ["<a title=\"a > b\" href='x>y'>It&apos;s</a> 3 < 4 &check; &AMP;lt; &amp;gt; &#38;lt;", "<p title=don't>stray</p><!-- > --><STYLE>p > a {}</style >x", "&lang;&nGt;&NotEqualTilde; a&b;c &copy 2"]
+    got = [r[0] for r in spark.createDataFrame([(k, h) for k, h in enumerate(more)], "k int, html string").orderBy("k").select(html_to_text(F.col("html"))).collect()]
+    assert got == ["It's\n3 < 4 ✓ &lt; &gt; &lt;", "stray\nx", "⟨≫⃒≂̸ a&b;c &copy 2"]
+
+
+def test_files_that_are_no_utf8(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<p>caf\xe9</p>")
+    (tmp_path / "b.html").write_bytes("<p>café</p>".encode())
+    rows = html_files(spark, str(tmp_path)).orderBy("path").select(html_to_text(F.col("html"))).collect()
+    assert [r[0] for r in rows] == ["caf\ufffd", "café"]
+
+
+def test_index_pages(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    pages = [
+        ("a", "<table class=tableFile>" + row(1, "x", "<a href='/q/main.htm'>m</a>", "8-K") + row(2, "x", '<a href="/q/r.htm">r</a>', " EX-99.1 ") + row(3, "x", "<a href='/q/late.htm'>l</a>", "EX-99.1") + "</table>"),
+        ("b", "<table class='tableFile'>" + row(1, "<a href='/q/other.htm'>o</a>", "no link", "EX-99.1") + row(2, "x", "<a href='/q/late.htm'>l</a>", "EX-99.1") + "</table>"),
+        ("c", "<table class='blue'>" + row(1, "x", "<a href='/q/no.htm'>n</a>", "EX-99.1") + "</table>"),
+        ("d", "<table class='tableFile'>" + row(1, "x", "EX-99.1") + "</table>"),
+        ("e", None),
+    ]
+    df = spark.createDataFrame(pages, "filing string, html string")
+    got = exhibit_or_primary(index_cells(df), df.select("filing", F.lit("p.htm").alias("primary")))
+    assert {r.filing: r.document for r in got.collect()} == {"a": "r.htm", "b": "p.htm", "c": "p.htm", "d": "p.htm", "e": "p.htm"}
+
+
+def test_chunk_index_runs_over_the_document(spark):
+    rows = [("d", 2, "MD&A", "one two\nthree four"), ("d", 1, "Business", "a b\nc d\ne f"), ("d", 3, None, " "), ("e", 1, "x", "q")]
+    got = chunk(spark.createDataFrame(rows, "id string, n int, section string, text string"), 2, 0).orderBy("id", "chunk_index").collect()
+    assert [(r.chunk_id, r.chunk_index) for r in got] == [("d::business::0000", 0), ("d::business::0001", 1), ("d::business::0002", 2), ("d::md-a::0000", 3), ("d::md-a::0001", 4), ("e::x::0000", 0)]
+
+
+def test_guidance(spark):
+    chunks = [("c1", "d1", 0, "Outlook\nfiscal year 2030 short"), ("c2", "d1", 1, "Outlook\nfiscal year 2030 and longer"), ("c3", "d1", 2, "x"), ("c4", "d2", 0, "Guidance: second quarter of fiscal 2031"), ("c5", "d3", 0, "Outlook fiscal year 2032"), ("c6", "d4", 0, None)]
+    manifest = [("d1", "T", "8-K", "2030-05-01T10:00"), ("d2", "T", "8-K", "2031-02-01"), ("d3", "T", "10-Q", "2032-01-01"), ("d4", "U", "8-K", None)]
+    rows = guidance_candidates(spark.createDataFrame(chunks, "chunk_id string, doc_id string, chunk_index int, text string"), spark.createDataFrame(manifest, "doc_id string, ticker string, doc_type string, filing_date string"))
+    assert [r.chunk_id for r in rows.collect()] == ["c4", "c1", "c2", "c3", "c6"]
+    got = [(r.fiscal_period, str(r.given_on), r.text) for r in latest_guidance(guidance(rows), 1).collect()]
+    assert got == [("FY2031Q2", "2031-02-01", "Guidance: second quarter of fiscal 2031")]
+    assert sorted(r.text for r in guidance(rows).collect()) == ["Guidance: second quarter of fiscal 2031", "Outlook\nfiscal year 2030 and longer"]
 
 
 def test_sections(spark):
