@@ -1,20 +1,29 @@
 """Search over a corpus of chunks: filters, BM25, exact cosine, fusion, reranking and evaluation.
 
 Every operator takes all queries at once: (query_id, text) or (query_id, vector) rows against the whole corpus, with
-ranks per query. Query sides are small and are only broadcast by Spark itself, after its own check of their size.
+ranks per query. Query terms are only broadcast by Spark itself, after its own check of their size; query vectors go to
+the tasks in blocks of bounded bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
-from granary.functions.text import occurrences, tokens
-from granary.sources.landing import landed, spread
+from granary.functions.text import bound, occurrences, tokens
+from granary.sources.landing import landed, shared_dir, spread
+
+QUERY_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -59,41 +68,87 @@ def ranked(hits: DataFrame, top: int, *ties: str, score: str = "score") -> DataF
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl) of every term of every text; texts without tokens have no row."""
-    words = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokens(F.col("text")).alias("t"))
-    return words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    """(id, term, tf, dl) of every term of every text; texts without tokens have no row.
+
+    A text is one row, so its terms are counted there, as runs of its sorted tokens: nothing is exchanged.
+    """
+    def counted(t: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: (k == 0) | (F.get(t, k) != F.get(t, k - 1)))
+        run = lambda starts: F.transform(starts, lambda k, n: F.struct(F.get(t, k).alias("term"), (F.coalesce(F.get(starts, n + 1), F.size(t)) - k).alias("tf"), F.size(t).alias("dl")))
+        return F.when(F.size(t) > 0, bound(first, run))
+
+    rows = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return rows.select("id", F.inline(bound(F.array_sort(tokens(F.col("text"))), counted))).select("id", "term", "tf", "dl")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A corpus ready for BM25: postings (id, term, tf, dl), size (n, avgdl; one row) and weights (term, df, idf)."""
+
+    postings: DataFrame
+    size: DataFrame
+    weights: DataFrame
+
+
+PARTS = ("postings", "size", "weights")
+
+
+def write_index(corpus: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
+    """Builds the index of a corpus under `path`, in place of one that is there."""
+    spark = corpus.sparkSession
+    postings(corpus, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
+    index = spark.read.parquet(f"{path}/postings")
+    corpus_size(corpus, index).write.mode("overwrite").parquet(f"{path}/size")
+    term_weights(index, spark.read.parquet(f"{path}/size")).write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """The index that write_index() left under `path`; without one, FileNotFoundError."""
+    jvm = spark.sparkContext._jvm
+    for part in PARTS:
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            raise FileNotFoundError(f"no complete BM25 index at {path}: build it with write_index()")
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in PARTS))
+
+
+def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
+    """The index of a corpus for this application, in the shared folder."""
+    path = f"{shared_dir(corpus.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    write_index(corpus, path, id_col, text_col)
+    return load_index(corpus.sparkSession, path)
 
 
 def corpus_size(corpus: DataFrame, index: DataFrame) -> DataFrame:
     """One row: n texts and their average length in tokens, empty texts counted."""
-    n, total = corpus.agg(F.count("*").alias("n")), index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("total"), F.col("n")).alias("avgdl"))  # one row each
+    total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).scalar()
+    return corpus.agg(F.count("*").alias("n")).select("n", F.try_divide(total, F.col("n")).alias("avgdl"))
 
 
 def term_weights(index: DataFrame, size: DataFrame) -> DataFrame:
     """(term, df, idf): negative weights become a share of the mean over all terms before that."""
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size.select("n")))  # one row
+    n = size.select("n").scalar()
+    df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", n)
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    floor = raw.agg((F.avg("raw") * BM25_EPSILON).alias("floor"))
-    return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
+    floor = raw.agg((F.avg("raw") * BM25_EPSILON).alias("floor")).scalar()
+    return raw.withColumn("floor", floor).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, top: int = SPARSE_TOP, keep: Column | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, top: int = SPARSE_TOP, keep: Column | None = None, id_col: str = "id", text_col: str = "text", index: Index | None = None) -> DataFrame:
     """(query_id, rank, id, score): Okapi scores over whole-corpus statistics, filtered before the cut, above 0 only.
 
     queries: (query_id, text). A query's repeated terms count each time. `keep` is a condition on the corpus' columns.
-    The postings are landed once: their sums, weights and matches read them again.
+    Without an index one is built. Postings of other terms than the queries' end at the join with the few query terms.
     """
-    index = landed(postings(corpus, id_col, text_col))
-    size = corpus_size(corpus, index)
+    index = index or build_index(corpus, id_col, text_col)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.join(term_weights(index, size), "term")
-    if keep is not None:
-        index = index.join(corpus.where(keep).select(F.col(id_col).alias("id")), "id", "left_semi")
+    weighted = asked.join(index.weights.join(asked.select("term").distinct(), "term", "left_semi"), "term")
+    rows = index.postings if keep is None else index.postings.join(corpus.where(keep).select(F.col(id_col).alias("id")), "id", "left_semi")
+    hits = rows.join(weighted, "term").withColumn("avgdl", index.size.select("avgdl").scalar())
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm
-    hits = index.join(terms, "term").crossJoin(F.broadcast(size.select("avgdl"))).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))  # one row
-    return ranked(hits.where("score > 0"), top, "id").select("query_id", "rank", "id", "score")
+    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return ranked(scored.where("score > 0"), top, "id").select("query_id", "rank", "id", "score")
 
 
 # --- dense --------------------------------------------------------------------
@@ -107,22 +162,78 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, top: int = DENSE_TOP, keep: Column | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row inner products, summed in element order, as SQL engines sum them."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _blocks(asked: DataFrame, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Query ids and vectors of one length, in blocks of bounded bytes that come to the driver one after another."""
+    ids, rows, held = [], [], 0
+    for r in asked.orderBy(F.size("q"), "query_id").toLocalIterator():
+        if rows and (held >= block_bytes or len(r["q"]) != len(rows[0])):
+            yield ids, np.array(rows, dtype=float)
+            ids, rows, held = [], [], 0
+        ids.append(r["query_id"])
+        rows.append(r["q"])
+        held += 8 * len(r["q"])
+    if rows:
+        yield ids, np.array(rows, dtype=float)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, top: int = DENSE_TOP, keep: Column | None = None, id_col: str = "id", vector_col: str = "vector", block_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id, score): exact cosine, filtered before the cut. queries: (query_id, vector).
 
-    A stated set of queries meets every vector once; only ids and scores leave the comparison.
+    The stated queries go to the tasks in blocks of at most about block_bytes; each batch of vectors meets a block in one
+    matrix product and only its best `top` of each query leave the task. Queries and vectors that are null or hold a
+    null, and vectors of another length than a query's, take no part; a zero vector has no cosine and ranks last.
     """
     rows = vectors if keep is None else vectors.where(keep)
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("vn")).repartition(partitions)
-    asked = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
-    cosine = F.try_divide(dot(F.col("v"), F.col("q")), F.col("vn") * F.col("qn"))
-    hits = rows.join(asked, how="cross").select("query_id", "id", F.round(cosine, 6).alias("score"))
-    return ranked(hits, top, "id").select("query_id", "rank", "id", "score")
+    whole = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())
+    rows = spread(rows.where(whole(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    asked = queries.where(whole("vector")).select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    found, kind = vectors.sparkSession.createDataFrame([], schema), to_arrow_type(schema["query_id"].dataType)
+    for ids, q in _blocks(asked, block_bytes):
+        found = found.unionByName(rows.mapInArrow(_meet(vectors.sparkSession.sparkContext.broadcast((pa.array(ids, kind), q)), top, schema.names), schema))
+    return ranked(found, top, "id").select("query_id", "rank", "id", "score")
+
+
+def _meet(shared, top: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        qn = np.sqrt(_in_order(q, q))
+        for batch in batches:
+            lists = batch.column("v")
+            batch = batch.filter(pc.equal(pc.list_value_length(lists), q.shape[1]))
+            if not batch.num_rows:
+                continue
+            v = np.asarray(batch.column("v").flatten()).reshape(-1, q.shape[1])
+            vn = np.sqrt(_in_order(v, v))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rough = (q @ v.T) / (qn[:, None] * vn)
+            rough = np.where(np.isfinite(rough), rough, -2.0)
+            n = min(top, len(v))
+            least = np.partition(rough, len(v) - n, axis=1)[:, len(v) - n]
+            asked, at = np.nonzero(rough >= least[:, None] - 1e-5)  # ties after rounding stay in
+            scale = qn[asked] * vn[at]
+            score = np.divide(_in_order(v[at], q[asked]), scale, out=np.full(len(at), np.nan), where=scale > 0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), batch.column("id").take(pa.array(at)), pa.array(_rounded(score), pa.float64(), from_pandas=True)], names=names)
+
+    return run
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six decimals, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5), x) / 1e6
 
 
 def normalized(v: Column) -> Column:
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm(v)))
+    """v by its length, which is computed once."""
+    return bound(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 # --- fusion -------------------------------------------------------------------
@@ -177,22 +288,64 @@ def rerank(hits: DataFrame, queries: DataFrame, top: int = FINAL_TOP, scorer: Ca
 MODES = ("dense", "bm25", "hybrid", "rerank")
 
 
+@dataclass(frozen=True)
+class Searcher:
+    """A corpus (id, text, ...), its vectors (id, vector, ...) and its index, searched in any of the modes.
+
+    keep is a condition on the columns of corpus and vectors alike; prefix is put before a query's text where a model
+    encodes it (encode: a column function from text to vector), not before passages. Queries: (query_id, text, vector);
+    the vector column isn't read where there is an encoder.
+    """
+
+    corpus: DataFrame
+    vectors: DataFrame
+    index: Index | None = None
+    keep: Column | None = None
+    encode: Callable[[Column], Column] | None = None
+    prefix: str = ""
+    scorer: Callable[[Column, Column], Column] = lexical_score
+
+    def dense(self, queries: DataFrame) -> DataFrame:
+        asked = queries if self.encode is None else queries.withColumn("vector", self.encode(F.concat(F.lit(self.prefix), F.col("text"))))
+        return dense(self.vectors, asked, keep=self.keep)
+
+    def bm25(self, queries: DataFrame) -> DataFrame:
+        return bm25(self.corpus, queries, keep=self.keep, index=self.index)
+
+    def hybrid(self, queries: DataFrame) -> DataFrame:
+        return rrf(landed(self.dense(queries)), landed(self.bm25(queries)))
+
+    def rerank(self, queries: DataFrame, top: int = FINAL_TOP) -> DataFrame:
+        """The hybrid hits that have a text, scored anew."""
+        return rerank(hydrate(self.hybrid(queries), self.corpus).where("trim(text) != ''"), queries, top, self.scorer)
+
+    def search(self, mode: str, queries: DataFrame, top: int | None = None) -> DataFrame:
+        """One mode with candidate widths of the configuration; top only trims what is returned."""
+        if mode not in MODES:
+            raise ValueError(f"no such mode: {mode}; known: {', '.join(MODES)}")
+        return getattr(self, mode)(queries).where(F.col("rank") <= (top or (FINAL_TOP if mode == "rerank" else DENSE_TOP)))
+
+
 def search(mode: str, corpus: DataFrame, vectors: DataFrame, queries: DataFrame, keep: Column | None = None, top: int | None = None) -> DataFrame:
-    """One of the modes, with candidate widths of the configuration; top only trims what is returned.
+    """One search of a corpus without a standing index."""
+    return Searcher(corpus, vectors, keep=keep).search(mode, queries, top)
+
+
+def compare_modes(searcher: Searcher, queries: DataFrame, top: int | None = None, modes: tuple[str, ...] = MODES) -> tuple[DataFrame | None, list[dict]]:
+    """The same queries through every mode: (mode, query_id, rank, id, score) rows, and for each mode its time.
 
-    queries: (query_id, text, vector). corpus: (id, text, ...), vectors: (id, vector, ...), both with keep's columns.
+    The list holds mode, latency_ms and error; a mode that fails has its error there, and the others still run.
     """
-    if mode not in MODES:
-        raise ValueError(f"no such mode: {mode}; known: {', '.join(MODES)}")
-    if mode == "bm25":
-        out = bm25(corpus, queries, keep=keep)
-    else:
-        out = dense(vectors, queries, keep=keep)
-        if mode != "dense":
-            out = rrf(out, bm25(corpus, queries, keep=keep))
-        if mode == "rerank":
-            out = rerank(hydrate(out, corpus), queries)
-    return out.where(F.col("rank") <= (top or (FINAL_TOP if mode == "rerank" else DENSE_TOP)))
+    rows, said = None, []
+    for mode in modes:
+        start = time.perf_counter()
+        try:
+            hits, error = landed(searcher.search(mode, queries, top).withColumn("mode", F.lit(mode))), None
+            rows = hits if rows is None else rows.unionByName(hits)
+        except Exception as failure:  # one arm's failure is reported beside the others' results
+            error = f"{type(failure).__name__}: {str(failure).splitlines()[0] if str(failure) else ''}"
+        said.append({"mode": mode, "latency_ms": int((time.perf_counter() - start) * 1000), "error": error})
+    return rows, said
 
 
 # --- evaluation ---------------------------------------------------------------
@@ -206,8 +359,8 @@ def evaluate(hits: DataFrame, judgements: DataFrame, keys: list[str], k: int = 5
     list of keys, also without a hit.
     """
     relevant = judgements.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    lists = hits.select(*keys).distinct()
-    every = lists.join(relevant, how="cross")  # a few lists by the judged queries
+    lists = hits.select(*keys).distinct().agg(F.collect_list(F.struct(*keys)).alias("lists")).scalar()  # a few lists
+    every = relevant.withColumn("lists", lists).select("query_id", "n_relevant", F.inline("lists"))
     marked = hits.where(F.col("rank") <= k).join(judgements.select("query_id", "id", F.col("current").alias("c"), F.lit(1).alias("r")), ["query_id", "id"], "left")
     found = marked.groupBy(*keys, "query_id").agg(F.count("*").alias("n"), F.count("r").alias("h"), F.count(F.when(F.col("c"), 1)).alias("f"), F.min(F.when(F.col("r") == 1, F.col("rank"))).alias("first"))
     row = every.join(found, [*keys, "query_id"], "left").fillna(0, ["n", "h", "f"])
@@ -220,9 +373,10 @@ METRICS = ("recall", "precision", "mrr", "hit", "ceiling", "freshness")
 
 
 def aggregate_scores(scores: DataFrame, levels: list[tuple[str, ...]]) -> DataFrame:
-    """Means of all metrics at several levels of grouping in one pass."""
+    """Means of all metrics, and the median of latency_ms where there is one, at several levels of grouping in one pass."""
     keys = list(dict.fromkeys(c for level in levels for c in level))
-    return scores.groupingSets([[F.col(c) for c in level] for level in levels], *map(F.col, keys)).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
+    timed = [F.median("latency_ms").alias("latency_ms")] if "latency_ms" in scores.columns else []
+    return scores.groupingSets([[F.col(c) for c in level] for level in levels], *map(F.col, keys)).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS), *timed)
 
 
 def relevant_chunks(chunks: DataFrame, any_terms: list[str], all_terms: list[str] = (), without: list[str] = (), min_hits: int = 2, specific: int = 18, keep: Column | None = None, text_col: str = "text") -> DataFrame:

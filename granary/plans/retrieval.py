@@ -1,20 +1,23 @@
 """Retrieval queries over the driver's tables, with their SQL.
 
 The corpus is `documents`, the queries are all `benchmark` items. For the dense arm, the vector of vec_id stands for the
-document of that id and for the item of that id. A document is relevant to an item if it holds the item's first 60
-characters, and current if it has a label.
+document of that id and for the item of that id; an item without a vector is only asked for its words. A document is
+relevant to an item if it holds ten consecutive words of it anywhere (all of it, if it has fewer), whatever the case,
+and current if it has a label.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.config import STOPWORDS
 from granary.operators import retrieval as R
-from granary.sources.landing import landed
+from granary.sources.landing import fingerprint, landed
 from granary.sources.tables import table
 
 NARROW = R.Filters(tickers=("en",), doc_types=("src1", "src2", "src3"), columns={"tickers": "lang", "doc_types": "source", "sections": "section", "date": "filing_date"})
+WINDOW = 10
+_INDEXES: dict[tuple, R.Index] = {}
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -27,21 +30,31 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return items.join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id")
+    return items.join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id", "left")
+
+
+def index(spark: SparkSession, d: str) -> R.Index:
+    """The corpus' index, built once in an application for each state of the table's files."""
+    key = (spark.sparkContext.applicationId, *fingerprint(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = R.build_index(corpus(spark, d))
+    return _INDEXES[key]
+
+
+def searcher(spark: SparkSession, d: str) -> R.Searcher:
+    return R.Searcher(corpus(spark, d), vectors(spark, d), index(spark, d))
 
 
 def bm25_topk(spark, d):
-    return R.bm25(corpus(spark, d), asked(spark, d))
+    return R.bm25(corpus(spark, d), asked(spark, d), index=index(spark, d))
 
 
 def bm25_filtered_topk(spark, d):
-    return R.bm25(corpus(spark, d), asked(spark, d), keep=NARROW.column())
+    return R.bm25(corpus(spark, d), asked(spark, d), keep=NARROW.column(), index=index(spark, d))
 
 
 def corpus_stats_idf(spark, d):
-    docs = corpus(spark, d)
-    index = landed(R.postings(docs))
-    return R.term_weights(index, R.corpus_size(docs, index)).withColumn("idf", F.round("idf", 6))
+    return index(spark, d).weights.withColumn("idf", F.round("idf", 6))
 
 
 def dense_topk(spark, d):
@@ -61,7 +74,15 @@ def hybrid_rrf_anchored(spark, d):
 
 
 def reranked(spark, d):
-    return R.rerank(R.hydrate(hybrid_rrf_anchored(spark, d), corpus(spark, d)).where("trim(text) != ''"), asked(spark, d))
+    return searcher(spark, d).search("rerank", asked(spark, d))
+
+
+def compared_modes(spark, d):
+    """All four modes over the same queries; what a mode's failure says would be in the second result."""
+    rows, said = R.compare_modes(searcher(spark, d), asked(spark, d), top=5)
+    if failed := [x for x in said if x["error"]]:
+        raise RuntimeError(str(failed))
+    return rows.select("mode", "query_id", "rank", "id", "score")
 
 
 def _arms(spark, d):
@@ -76,11 +97,27 @@ def retrieval_pool(spark, d):
     return R.pool(_arms(spark, d))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
+
+
+def _runs(words: str, n: Column) -> Column:
+    """The different runs of n words; none where there are fewer."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+    return F.array_distinct(F.transform(at, lambda k: F.array_join(F.slice(words, k, n), " ")))
+
+
 def judgements(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
+    """(query_id, id, current). Runs of words meet by equality; a shorter item meets the documents' runs of its length."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = items.withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
+    items = landed(items.select("query_id", "n", F.explode(_runs("w", F.col("n"))).alias("run")))
+    lengths = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most WINDOW of them
+    docs = corpus(spark, d).select("id", _words(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, lengths or [WINDOW]))).alias("n"))
+    runs = docs.select("id", F.explode(_runs("w", F.col("n"))).alias("run"))
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("current")).distinct()
-    found = corpus(spark, d).join(items, F.contains(F.col("text"), F.col("head")))  # the stated query set
-    return found.select("query_id", "id").join(labels, "id", "left").select("query_id", "id", F.coalesce("current", F.lit(False)).alias("current"))
+    found = runs.join(items.select("run", "query_id"), "run").select("query_id", "id").distinct()
+    return found.join(labels, "id", "left").select("query_id", "id", F.coalesce("current", F.lit(False)).alias("current"))
 
 
 def _scores(spark, d):
@@ -88,11 +125,13 @@ def _scores(spark, d):
     for name, hits in _arms(spark, d).items():
         one = hits.withColumn("mode", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return R.evaluate(rows, judgements(spark, d), ["mode"])
+    return R.evaluate(rows, landed(judgements(spark, d)), ["mode"])
 
 
 def retrieval_eval_by_mode(spark, d):
-    scores = _scores(spark, d).withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+    """Scores by mode and by category. latency_ms stands for a measured time: 7 ms a position of the mode's name."""
+    took = F.length("mode") * 7 + F.col("query_id") % 3
+    scores = _scores(spark, d).withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")).withColumn("latency_ms", took.cast("double"))
     return R.aggregate_scores(scores, [("mode",), ("category", "mode")])
 
 
@@ -117,7 +156,7 @@ size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
 raw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, size GROUP BY term),
 weights AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT item_id AS query_id, text, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+asked AS (SELECT item_id AS query_id, text, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 qterms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS}) AS term FROM asked) GROUP BY ALL)"""
 
 
@@ -138,7 +177,7 @@ def _dense(keep: str = "true", name: str = "dense") -> str:
   SELECT * FROM (
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM (
       SELECT query_id, vec_id AS id, round(list_dot_product({v}, {q}) / (sqrt(list_dot_product({v}, {v})) * sqrt(list_dot_product({q}, {q}))), 6) AS score
-      FROM embeddings, asked WHERE {keep})) WHERE rank <= 30)"""
+      FROM embeddings, asked WHERE q IS NOT NULL AND {keep})) WHERE rank <= 30)"""
 
 
 def _rrf(anchor: bool, name: str = "hybrid") -> str:
@@ -153,47 +192,56 @@ def _rrf(anchor: bool, name: str = "hybrid") -> str:
 
 _NARROW = "lang = 'en' AND source IN ('src1', 'src2', 'src3')"
 _CONTENT = "SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM "
+_SHARE = "round(coalesce(len(list_intersect(list_distinct(qt), dt)) / nullif(len(list_distinct(qt)), 0), 0), 6)"
+_RERANK = f"""
+rr AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank, id, score FROM (
+    SELECT h.query_id, h.id, h.rank AS before, {_SHARE} AS score
+    FROM hybrid h JOIN (SELECT doc_id AS id, {_TOKENS} AS dt FROM documents WHERE trim(coalesce(text, '')) <> '') USING (id) JOIN (SELECT query_id, {_TOKENS} AS qt FROM asked) USING (query_id)))"""
+_RUN_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 _EVAL = f"""
 WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)},
-rel AS (
-  SELECT item_id AS query_id, doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS cur
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text[1:60])),
+{_RERANK},
+iw AS (
+  SELECT query_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' ')))) AS run
+  FROM (SELECT item_id AS query_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_RUN_WORDS} AS w FROM benchmark)) WHERE n > 0),
+dw AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' ')))) AS run
+  FROM (SELECT doc_id, {_RUN_WORDS} AS w FROM documents), (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+rel AS (SELECT query_id, doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS cur FROM (SELECT DISTINCT query_id, doc_id FROM dw JOIN iw USING (run))),
 judged AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id),
-hits AS (SELECT 'dense' AS mode, * FROM dense UNION ALL SELECT 'bm25', * FROM bm25 UNION ALL SELECT 'hybrid', * FROM hybrid),
+hits AS (SELECT 'dense' AS mode, * FROM dense UNION ALL SELECT 'bm25', * FROM bm25 UNION ALL SELECT 'hybrid', * FROM hybrid UNION ALL SELECT 'rerank', query_id, rank, id, score FROM rr),
 found AS (
   SELECT mode, h.query_id, count(*) AS n, count(r.id) AS h, count(*) FILTER (cur) AS f, min(rank) FILTER (r.id IS NOT NULL) AS first
   FROM hits h LEFT JOIN rel r ON h.query_id = r.query_id AND h.id = r.id WHERE rank <= 5 GROUP BY ALL),
 rows AS (
-  SELECT m.mode, CASE WHEN j.query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category,
+  SELECT m.mode, CASE WHEN j.query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, CAST(length(m.mode) * 7 + j.query_id % 3 AS DOUBLE) AS took,
     coalesce(h, 0) / n_rel AS recall, coalesce(h / nullif(n, 0), 0) AS precision, coalesce(1.0::DOUBLE / first, 0) AS mrr,
     CASE WHEN coalesce(h, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, least(5, n_rel) / n_rel AS ceiling, coalesce(f / nullif(h, 0), 0) AS freshness
   FROM (SELECT DISTINCT mode FROM hits) m CROSS JOIN judged j LEFT JOIN found USING (mode, query_id))
 SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr,
-  round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness
+  round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness, median(took) AS latency_ms
 FROM rows GROUP BY GROUPING SETS ((mode), (category, mode))"""
-_SHARE = "round(coalesce(len(list_intersect(list_distinct(qt), dt)) / nullif(len(list_distinct(qt)), 0), 0), 6)"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
 ORACLES = {
     "bm25_topk": f"WITH {_BASE}, {_bm25()} {_CONTENT} bm25",
     "bm25_filtered_topk": f"WITH {_BASE}, {_bm25(_NARROW)} {_CONTENT} bm25",
     "corpus_stats_idf": f"WITH {_BASE} SELECT term, df, round(idf, 6) AS idf FROM weights",
-    "dense_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id), {_dense()} {_CONTENT} dense",
-    "dense_filtered_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id), {_dense('label IN (1, 3, 5)')} {_CONTENT} dense",
+    "dense_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {_dense()} {_CONTENT} dense",
+    "dense_filtered_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {_dense('label IN (1, 3, 5)')} {_CONTENT} dense",
     "hybrid_rrf": f"WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(False)} {_CONTENT} hybrid",
     "hybrid_rrf_anchored": f"WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)} {_CONTENT} hybrid",
-    "reranked": f"""
-WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)},
-scored AS (
-  SELECT h.query_id, h.id, h.rank AS before, {_SHARE} AS score
-  FROM hybrid h JOIN (SELECT doc_id AS id, {_TOKENS} AS dt FROM documents WHERE trim(coalesce(text, '')) <> '') USING (id) JOIN (SELECT query_id, {_TOKENS} AS qt FROM asked) USING (query_id))
-SELECT query_id, CAST(rank AS INT) AS rank, id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM scored) WHERE rank <= 6""",
+    "reranked": f"WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)}, {_RERANK} {_CONTENT} rr WHERE rank <= 6",
+    "compared_modes": f"""
+WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)}, {_RERANK},
+hits AS (SELECT 'dense' AS mode, * FROM dense UNION ALL SELECT 'bm25', * FROM bm25 UNION ALL SELECT 'hybrid', * FROM hybrid UNION ALL SELECT 'rerank', query_id, rank, id, score FROM rr)
+SELECT mode, query_id, CAST(rank AS INT) AS rank, id, score FROM hits WHERE rank <= 5""",
     "retrieval_pool": f"""
-WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)},
-hits AS (SELECT 'dense' AS mode, * FROM dense UNION ALL SELECT 'bm25', * FROM bm25 UNION ALL SELECT 'hybrid', * FROM hybrid)
+WITH {_BASE}, {_bm25()}, {_dense()}, {_rrf(True)}, {_RERANK},
+hits AS (SELECT 'dense' AS mode, query_id, id, rank FROM dense UNION ALL SELECT 'bm25', query_id, id, rank FROM bm25 UNION ALL SELECT 'hybrid', query_id, id, rank FROM hybrid UNION ALL SELECT 'rerank', query_id, id, rank FROM rr)
 SELECT query_id, id, CAST(min(rank) FILTER (mode = 'dense') AS INT) AS dense, CAST(min(rank) FILTER (mode = 'bm25') AS INT) AS bm25,
-  CAST(min(rank) FILTER (mode = 'hybrid') AS INT) AS hybrid, CAST(min(rank) AS INT) AS best FROM hits GROUP BY query_id, id""",
+  CAST(min(rank) FILTER (mode = 'hybrid') AS INT) AS hybrid, CAST(min(rank) FILTER (mode = 'rerank') AS INT) AS rerank, CAST(min(rank) AS INT) AS best FROM hits GROUP BY query_id, id""",
     "retrieval_eval_by_mode": _EVAL,
     "relevance_rule": """
 WITH c AS (SELECT doc_id AS id, source, lower(text) AS t FROM documents

@@ -1,18 +1,50 @@
-"""Landing zone: results that several branches of a plan read are written once to the shared folder."""
+"""Landing zone: results that several branches of a plan read, or that later jobs read again, in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_LANDED: dict[str, list[str]] = {}
 
-def landed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: what spark.checkpoint.dir names. Unset, a temporary one, on a local master only."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-"))
+    return sc.getCheckpointDir()
+
+
+def landed(df: DataFrame, label: str = "landed") -> DataFrame:
+    """df, computed once, written to the shared folder and read again; it stays until purge()."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _LANDED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def purge(spark: SparkSession) -> int:
+    """Deletes what landed() wrote in this application; call it once nothing reads it any more. Returns how many."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for name in _LANDED.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
+    """What tells one state of a file or folder of files from another: its path, files, bytes and latest change."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    return path, len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
 
 
 def spread(df: DataFrame) -> DataFrame:
