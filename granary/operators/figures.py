@@ -75,14 +75,18 @@ def gross_margin(rows: DataFrame) -> DataFrame:
 
 
 def build_figures(facts: DataFrame) -> DataFrame:
-    """Facts are read and filed once each: what several branches need is landed.
+    """Company facts -> (ticker, metric, fiscal_year, fiscal_qtr, value, unit, period_end, source_accn, derived, tag).
 
-    Company facts -> (ticker, metric, fiscal_year, fiscal_qtr, value, unit, period_end, source_accn, derived, tag)."""
+    What several branches need is landed. A company with facts but without annual ones has no fiscal year end: an error.
+    """
     kept = landed(duration_facts(facts))
     chain = F.create_map(*[F.lit(x) for metric, tags in TAG_CHAINS.items() for k, tag in enumerate(tags) for x in (tag, f"{metric}:{k}")])
     named = kept.withColumn("c", F.split(chain[F.col("tag")], ":")).where("c is not null").select("*", F.col("c")[0].alias("metric"), F.col("c")[1].cast("int").alias("chain")).drop("c")
     by = ["ticker", "metric", "tag", "chain"]
-    series = landed(latest_filed(named.join(year_end_month(kept), "ticker"), by))
+    ended = named.join(year_end_month(kept), "ticker", "left")
+    missing = F.concat(F.lit("no annual revenue or income facts, so no fiscal year end, for "), F.col("ticker"))
+    ended = ended.withColumn("fye", F.when(F.col("fye").isNull(), F.raise_error(missing)).otherwise(F.col("fye")))
+    series = landed(latest_filed(ended, by))
     chosen = choose_tags(series.where("kind = 'Q'"))
     mine = series.join(chosen, ["ticker", "metric", "tag"]).drop("chain")
     by = ["ticker", "metric", "tag"]
@@ -120,11 +124,15 @@ def latest_metric(rows: DataFrame, ticker: str, metric: str) -> DataFrame:
 
 
 def _growth(rows: DataFrame, ticker: str, metric: str, n_quarters: int, back: int) -> DataFrame:
-    """Growth against the quarter `back` before by name: null where that is missing, whatever stands next in order."""
+    """Growth against the quarter `back` before by name: null where that is missing, whatever stands next in order.
+
+    Adds prior (its value), prior_period (its name), basis (QoQ or YoY) and pct.
+    """
     number = F.col("fiscal_year") * 4 + F.col("fiscal_qtr") - 1
-    before = rows.where((F.col("ticker") == ticker) & (F.col("metric") == metric) & (F.col("fiscal_qtr") > 0)).select((number + back).alias("__q"), F.col("value").alias("prior"))
-    now = metric_series(rows, ticker, metric, n_quarters).withColumn("__q", number)
-    return now.join(before, "__q", "left").withColumn("pct", pct_change(F.col("value").cast("double"), F.col("prior").cast("double"))).drop("__q")
+    before = rows.where((F.col("ticker") == ticker) & (F.col("metric") == metric) & (F.col("fiscal_qtr") > 0))
+    before = before.select((number + back).alias("quarter_number"), F.col("value").alias("prior"), period_label(F.col("fiscal_year"), F.col("fiscal_qtr")).alias("prior_period"))
+    now = metric_series(rows, ticker, metric, n_quarters).withColumn("quarter_number", number).withColumn("basis", F.lit({1: "QoQ", 4: "YoY"}[back]))
+    return now.join(before, "quarter_number", "left").withColumn("pct", pct_change(F.col("value").cast("double"), F.col("prior").cast("double"))).drop("quarter_number")
 
 
 def qoq_growth(rows: DataFrame, ticker: str, metric: str = "revenue", n_quarters: int = 4) -> DataFrame:
@@ -174,15 +182,50 @@ def run(rows: DataFrame, name: str, **params) -> DataFrame:
     return function(rows, **params)
 
 
-def lines(points: DataFrame) -> DataFrame:
-    """Points as one text: 'FY2026Q3: $57.01B' a line, newest first; with growth where there is a pct column."""
+def shown(points: DataFrame) -> Column:
+    """A point as text: 'FY2026Q3: $57.01B'; where there is growth, with it: '(YoY +12.0% vs FY2025Q3)'."""
     head = F.concat(period_label(F.col("fiscal_year"), F.col("fiscal_qtr")), F.lit(": "), format_value(F.col("value"), F.col("unit")))
-    if "pct" in points.columns:
-        head = F.concat(head, F.lit(" ("), F.coalesce(F.when(F.col("pct").isNotNull(), F.format_string("%+.1f%%", F.col("pct"))), F.lit("n/a — no prior period")), F.lit(")"))
-    rows = points.select("fiscal_year", "fiscal_qtr", head.alias("line"))
+    if "pct" not in points.columns:
+        return head
+    grown = F.concat(F.format_string("%+.1f%%", F.col("pct")), F.lit(" vs "), F.col("prior_period"))
+    return F.concat(head, F.lit(" ("), F.col("basis"), F.lit(" "), F.when(F.col("pct").isNotNull(), grown).otherwise(F.lit("n/a — no prior period")), F.lit(")"))
+
+
+def lines(points: DataFrame) -> DataFrame:
+    """Points as one text, a line each, newest first."""
+    rows = points.select("fiscal_year", "fiscal_qtr", shown(points).alias("line"))
     return rows.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("fiscal_year", "fiscal_qtr", "line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def truth(rows: DataFrame, plans: dict[str, tuple[str, dict]]) -> DataFrame:
-    """Several canned plans evaluated to texts: (id, text)."""
+def evidence_item(rows: DataFrame, name: str, params: dict) -> DataFrame | None:
+    """The result of a canned plan as one evidence item (key, kind, label, text), with no row if it has none.
+
+    A plan that doesn't exist or doesn't take these parameters gives no item, None.
+    """
+    try:
+        points = run(rows, name, **params)
+    except (ValueError, TypeError):
+        return None
+    who, metric = params.get("ticker") or ",".join(params.get("tickers", [])), params.get("metric", "")
+    if "value" not in points.columns:  # a list of metrics, not of points
+        text = points.agg(F.array_join(F.array_sort(F.collect_list("metric")), "\n").alias("text"))
+    else:
+        text = lines(points)
+    label = f"{who} · financials · {name}({metric})" if metric else f"{who} · financials · {name}"
+    return text.where("text != ''").select(F.lit(f"financials:{who}:{metric or name}").alias("key"), F.lit("financial").alias("kind"), F.lit(label).alias("label"), "text")
+
+
+#: The plans that ground the numeric questions.
+TRUTH_PLANS = {
+    "num-01": ("metric_series", {"ticker": "NVDA", "metric": "revenue", "n_quarters": 4}),
+    "num-02": ("margin_trend", {"ticker": "MSFT", "n_quarters": 4}),
+    "num-03": ("latest_metric", {"ticker": "NVDA", "metric": "eps_diluted"}),
+    "num-04": ("latest_metric", {"ticker": "JPM", "metric": "revenue"}),
+    "num-05": ("yoy_growth", {"ticker": "NVDA", "metric": "revenue", "n_quarters": 4}),
+    "num-06": ("latest_metric", {"ticker": "MSFT", "metric": "operating_income"}),
+}
+
+
+def truth(rows: DataFrame, plans: dict[str, tuple[str, dict]] = TRUTH_PLANS) -> DataFrame:
+    """Several canned plans evaluated to texts: (id, text); empty where a plan finds nothing."""
     return reduce(DataFrame.unionByName, (lines(run(rows, name, **params)).select(F.lit(key).alias("id"), "text") for key, (name, params) in plans.items()))

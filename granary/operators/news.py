@@ -12,31 +12,43 @@ from granary.config import DUPLICATE_SIMILARITY, EVENT_SIMILARITY, MAX_PER_FEED
 from granary.functions.text import article_id, display_headline, is_redirect, names_company, source_or, topic
 
 
+def _number(df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    name = "nth"
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def _numbered(df: DataFrame, number: Column) -> DataFrame:
+    return df.withColumn(_number(df), number)
+
+
 def collect(items: DataFrame, since: datetime, most: int = MAX_PER_FEED) -> DataFrame:
     """Feed items -> articles: the first of each feed, valid, recent, about the company, the first of each url.
 
     items: ticker, feed, feed_order, pos, url, headline, source, published_at. First-party feeds ('ir') are always
     about their company. Urls are first seen in order of feed and position.
     """
+    own = items.columns
     nth = F.row_number().over(Window.partitionBy("ticker", "feed").orderBy("pos"))
-    kept = items.withColumn("__nth", nth).where(F.col("__nth") <= most).where(
+    kept = _numbered(items, nth).where(F.col(_number(items)) <= most).select(*own).where(
         (F.coalesce(F.trim("url"), F.lit("")) != "") & (F.coalesce(F.trim("headline"), F.lit("")) != "") & (F.col("published_at") >= F.lit(since)) & ((F.col("feed") == "ir") | names_company(F.col("headline"), F.col("ticker")))
     )
     seen = F.row_number().over(Window.partitionBy("ticker", "url").orderBy("feed_order", "pos"))
-    kept = kept.withColumn("__nth", seen).where("__nth = 1").drop("__nth")
+    kept = _numbered(kept, seen).where(F.col(_number(kept)) == 1).select(*own)
     return kept.withColumn("article_id", article_id(F.col("url"))).withColumn("topic", topic(F.col("headline"))).withColumn("source", source_or(F.col("source"), F.col("feed")))
 
 
 def with_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
     """Articles with fetched bodies; redirecting links have none."""
-    found = bodies.select("url", F.col("text").alias("__text"))
-    text = F.when(~is_redirect(F.col("url")), F.col("__text"))
-    return articles.join(found, "url", "left").withColumn("text", text).drop("__text")
+    found = bodies.where(~is_redirect(F.col("url"))).select("url", "text")
+    return articles.drop("text").join(found, "url", "left")
 
 
 def first_of_each(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Exact duplicates: the first row of each key in a total order."""
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+    return _numbered(df, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(_number(df)) == 1).drop(_number(df))
 
 
 def near_pairs(vectors: DataFrame, threshold: float, group: str | None = None, block: int = 1500) -> DataFrame:
@@ -77,41 +89,44 @@ def greedy_leaders(vectors: np.ndarray, redirects: list[bool], threshold: float)
     """For items from oldest to newest, the item each is a copy of, itself where it stays.
 
     An item is compared with those that stay; it is a copy of the most similar (the earliest to have come to stay of
-    equals) at or above the threshold. A copy that can be resolved takes the place of a redirecting original, with all its copies.
+    equals) at or above the threshold. A copy that can be resolved takes the place of a redirecting original, with all
+    its copies: the original then points to it, and pointers are followed at the end.
     """
-    leader: list[int] = []
-    stay: list[int] = []
+    points, stay = np.arange(len(vectors)), []
     for k in range(len(vectors)):
-        leader.append(k)
         sims = vectors[stay] @ vectors[k] if stay else np.zeros(0)
         best = int(sims.argmax()) if len(sims) else -1
         if best < 0 or sims[best] <= 0 or sims[best] < threshold:
             stay.append(k)
-            continue
-        old = stay[best]
-        if redirects[old] and not redirects[k]:
-            leader = [k if x == old else x for x in leader]
-            stay = [*stay[:best], *stay[best + 1 :], k]
+        elif redirects[stay[best]] and not redirects[k]:
+            points[stay.pop(best)] = k
+            stay.append(k)
         else:
-            leader[k] = old
-    return leader
+            points[k] = stay[best]
+    while (points[points] != points).any():
+        points = points[points]
+    return points.tolist()
 
 
-def mark_copies(articles: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
+def mark_copies(articles: DataFrame, threshold: float = DUPLICATE_SIMILARITY, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """articles (ticker, article_id, published_at, url, vector) with is_duplicate and duplicate_of.
 
-    Later decisions depend on earlier ones, so a ticker's window is one group: a week of one company's headlines.
+    Later decisions depend on earlier ones, so one group is one task's fold: a company's, or with more columns in `by`, such
+    as the look-back window that a run covers, a company's in that window. Rows without a vector stay as they are.
     """
-    schema = "ticker string, article_id string, is_duplicate boolean, duplicate_of string"
+    kinds = ", ".join(f"{c} {articles.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}, article_id string, is_duplicate boolean, duplicate_of string"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["published_at", "article_id"]).reset_index(drop=True)
         lead = greedy_leaders(np.stack(pdf["vector"].to_list()).astype(float), pdf["redirect"].to_list(), threshold)
         copies = [k != v for k, v in enumerate(lead)]
-        return pd.DataFrame({"ticker": pdf["ticker"], "article_id": pdf["article_id"], "is_duplicate": copies, "duplicate_of": [pdf["article_id"][v] if c else None for v, c in zip(lead, copies, strict=True)]})
+        out = pd.DataFrame({"article_id": pdf["article_id"], "is_duplicate": copies, "duplicate_of": [pdf["article_id"][v] if c else None for v, c in zip(lead, copies, strict=True)]})
+        return pd.concat([pdf[list(by)], out], axis=1)
 
-    marks = articles.select("ticker", "article_id", "published_at", is_redirect(F.col("url")).alias("redirect"), "vector").groupBy("ticker").applyInPandas(fold, schema)
-    return articles.drop("is_duplicate", "duplicate_of").join(marks, ["ticker", "article_id"])
+    marks = articles.where("vector is not null").select(*by, "article_id", "published_at", is_redirect(F.col("url")).alias("redirect"), "vector").groupBy(*by).applyInPandas(fold, schema)
+    own = articles.drop("is_duplicate", "duplicate_of").join(marks, [*by, "article_id"], "left")
+    return own.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
@@ -162,9 +177,13 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
     return parent.tolist()
 
 
-def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY) -> DataFrame:
-    """articles with event_id: live ones by cluster, named after the cluster's first, copies with their original."""
-    schema = "ticker string, article_id string, event_id string"
+def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """articles with event_id: live ones by cluster, named after the cluster's first, copies with their original.
+
+    One group of `by` is one task's fold, as in mark_copies(); live rows without a vector are in no event.
+    """
+    kinds = ", ".join(f"{c} {articles.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}, article_id string, event_id string"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         import hashlib
@@ -174,12 +193,19 @@ def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY) ->
         first = {}
         for label, ticker, article in zip(labels, pdf["ticker"], pdf["article_id"], strict=True):
             first.setdefault(label, f"evt-{ticker}-{hashlib.sha1(f'{ticker}:{article}'.encode()).hexdigest()[:12]}")
-        return pd.DataFrame({"ticker": pdf["ticker"], "article_id": pdf["article_id"], "event_id": [first[x] for x in labels]})
+        return pd.concat([pdf[list(by)], pd.DataFrame({"article_id": pdf["article_id"], "event_id": [first[x] for x in labels]})], axis=1)
 
-    live = articles.where("not is_duplicate").select("ticker", "article_id", "published_at", "vector").groupBy("ticker").applyInPandas(fold, schema)
-    own = articles.drop("event_id").join(live, ["ticker", "article_id"], "left")
-    of = live.select("ticker", F.col("article_id").alias("duplicate_of"), F.col("event_id").alias("__event"))
-    return own.join(of, ["ticker", "duplicate_of"], "left").withColumn("event_id", F.coalesce("event_id", "__event")).drop("__event")
+    live = articles.where("not is_duplicate and vector is not null").select("ticker", *[c for c in by if c != "ticker"], "article_id", "published_at", "vector").groupBy(*by).applyInPandas(fold, schema)
+    own = articles.drop("event_id").join(live, [*by, "article_id"], "left")
+    of = live.select(*by, F.col("article_id").alias("duplicate_of"), F.col("event_id").alias("of_original")).alias("of")
+    event = F.coalesce(F.col("own.event_id"), F.col("of.of_original")).alias("event_id")
+    joined = own.alias("own").join(of, [*by, "duplicate_of"], "left")
+    return joined.select(*(F.col(f"own.{c}") for c in own.columns if c not in ("event_id", *by, "duplicate_of")), *by, "duplicate_of", event)
+
+
+def feed_histogram(articles: DataFrame) -> DataFrame:
+    """Collected articles by company and feed."""
+    return articles.groupBy("ticker", "feed").agg(F.count("*").alias("n"))
 
 
 def window(articles: DataFrame, ticker: Column | str, since: datetime) -> DataFrame:
@@ -242,3 +268,30 @@ def context_lines(articles: DataFrame, body: int = 1500) -> DataFrame:
     text = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, body)
     shown = F.when(only, F.concat(head, F.lit(" HEADLINE ONLY — no body text available.\n    Headline: "), "headline")).otherwise(F.concat(head, F.lit(" FULL TEXT\n    Headline: "), "headline", F.lit("\n    Body: "), text))
     return articles.where(~F.col("is_duplicate")).withColumn("n", n).select("ticker", "event_id", "n", shown.alias("line"))
+
+
+def brief(ticker: str, company: str, events: DataFrame, articles: DataFrame, days: int, generated: datetime, extractive: bool = True) -> str:
+    """A Markdown brief of one company's ranked events, each with its summary and its dated, linked sources.
+
+    events: rank, event_id, n_live, n_duplicates, sources, topic, first_day, last_day, summary; articles: event_id,
+    headline, source, url, published_at, is_duplicate. Both are of one company and one window, so they are small.
+    """
+    out = [f"# {ticker} — {company}", "", f"Weekly intelligence brief · last {days} days · generated {generated:%Y-%m-%d}", ""]
+    ranked = events.orderBy("rank").collect()
+    if not ranked:
+        return "\n".join([*out, "_No qualifying news in this window._", ""])
+    if extractive:
+        out += ["> **Note:** summaries are extractive: taken from headlines, without interpretation.", ""]
+    live = articles.where(~F.col("is_duplicate")).join(events.select("event_id"), "event_id", "left_semi")
+    shown = live.select("event_id", display_headline(F.col("headline")).alias("head"), F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("url", F.lit("")).alias("url"), F.to_date("published_at").alias("day"), "published_at", "article_id")
+    sources: dict[str, list] = {}
+    for r in shown.orderBy("published_at", "article_id").collect():
+        sources.setdefault(r["event_id"], []).append(r)
+    for number, e in enumerate(ranked, 1):
+        rows = sources.get(e["event_id"], [])
+        span = str(e["first_day"]) if e["first_day"] == e["last_day"] else f"{e['first_day']}–{e['last_day']}"
+        topic_ = f" · _{e['topic']}_" if e["topic"] else ""
+        out += [f"## {number}. {rows[0]['head'] if rows else e['event_id']}", f"*{span} · {e['n_live']} article(s) · {len(e['sources'])} source(s)*{topic_}", "", e["summary"], "", "**Sources**"]
+        out += [f"- [{r['head']}]({r['url']}) — {r['source']}, {r['day']}" for r in rows]
+        out += [f"- _({e['n_duplicates']} near-duplicate repost(s) suppressed)_"] * bool(e["n_duplicates"]) + [""]
+    return "\n".join(out)

@@ -77,6 +77,30 @@ def plan(text: Column, who: Column) -> Column:
     return F.when(F.size(who) > 0, F.struct(name.alias("name"), who.alias("tickers"), F.when(name != "margin_trend", m).alias("metric"), quarters.alias("n_quarters")))
 
 
+#: The routes, as a model may name them.
+ROUTES = ("NUMERIC", "FILING_RAG", "NEWS", "MIXED", "CROSS_SOURCE")
+
+
+def labelled_route(response: Column) -> Column:
+    """The route whose name stands first in a model's response, whatever the case; null where none does."""
+    low = F.upper(F.trim(response))
+    places = F.array(*(F.struct(F.instr(low, r).alias("at"), F.lit(r).alias("route")) for r in ROUTES))
+    return F.array_min(F.filter(places, lambda p: p["at"] > 0)).getField("route")
+
+
+def with_model(routed: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """Routed questions in which a model decides where no rule did. responses: (key, response); null: unavailable.
+
+    method becomes llm where the response names a route, llm_invalid where it names none, and llm_unavailable where there
+    is no response; the route of the last two stays FILING_RAG.
+    """
+    asked = routed.join(responses.select(key, F.col("response").alias("model_response")), key, "left")
+    open_, named = F.col("method") == "no_rule_default", labelled_route(F.col("model_response"))
+    method = F.when(F.col("model_response").isNull(), "llm_unavailable").when(named.isNull(), "llm_invalid").otherwise("llm")
+    out = asked.withColumn("named", named).withColumn("route", F.when(open_, F.coalesce("named", F.lit("FILING_RAG"))).otherwise(F.col("route")))
+    return out.withColumn("method", F.when(open_, method).otherwise(F.col("method"))).drop("named", "model_response")
+
+
 def route(questions: DataFrame, now: Column, query: str = "query") -> DataFrame:
     """questions with tickers, window_days, date_from, news_signal, method, route and plan.
 

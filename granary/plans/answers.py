@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from granary.operators import answers as A
-from granary.operators.routing import route
+from granary.operators.routing import route, with_model
 from granary.sources.tables import table
 
 NOW = datetime(2026, 9, 12, 12)
@@ -39,17 +39,45 @@ def citation_check(spark, d):
 
 
 def figure_extract(spark, d):
-    rows = _answers(spark, d).withColumn("f", F.explode(A.extract_figures(F.col("text"))))
-    return rows.where("f.checkable").select("o_orderkey", F.col("f.raw").alias("raw"), F.round("f.value", 4).alias("value"), F.round("f.half", 6).alias("half"))
+    """Checkable figures of four kinds of sentences about an order's number; a label's number is none."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    text = F.element_at(F.array(
+        F.concat(F.lit("It cost $"), F.format_string("%.2f", F.round("o_totalprice", 2)), F.lit(" then.")),
+        F.concat(F.lit("Up "), n, F.lit(" percent, not 7 points.")),
+        F.concat(F.lit("About €"), n, F.lit(".5 million of it in 3 plants.")),
+        F.concat(F.lit("Section "), n, F.lit(".1 lists 1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" units.")),
+    ), (k % 4 + 1).cast("int"))
+    rows = table(spark, d, "orders").withColumn("f", F.explode(A.extract_figures(text)))
+    return rows.where("f.checkable").select("o_orderkey", F.col("f.raw").alias("raw"), F.round("f.value", 4).alias("value"), F.round("f.half", 6).alias("half"), F.col("f.unscaled").alias("unscaled"))
+
+
+def _drafts(spark, d):
+    """Drafts of seven kinds over two items: an order's value, and prose about storms."""
+    k = F.col("o_orderkey")
+    price = F.format_string("%.2f", F.round(F.col("o_totalprice"), 2))
+    said = lambda tail: F.concat(F.lit("Order value was $"), price, F.lit(f" in the period{tail}"))
+    wrong = F.concat(F.lit("Order value was $"), F.format_string("%.2f", F.round(F.col("o_totalprice") * 2 + 7, 2)), F.lit(" in the period [1]."))
+    text = F.element_at(F.array(
+        said(" [1]."), wrong, said("."), said(" [2]."), F.concat(F.lit("INSUFFICIENT EVIDENCE: "), said(".")), F.concat(F.lit("INSUFFICIENT EVIDENCE: "), wrong),
+        F.lit("Pirates boarded several wooden ships nearby [2]."),
+    ), (k % 7 + 1).cast("int"))
+    item = lambda kind, label, text: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), text.alias("text"))
+    evidence = F.array(item("filing", "order", said(" by priority.")), item("filing", "weather", F.lit("Storms delayed the harvest across northern fields.")))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"), evidence.alias("evidence"), (k % 7).isin(4, 5).alias("refusal"))
 
 
 def validation_chain(spark, d):
-    """Half of the orders cite an item with their value, the others one with another value."""
-    rows = _answers(spark, d)
-    value = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(F.col("o_totalprice") * 2 + 7)
-    item = F.struct(F.lit("filing").alias("kind"), F.lit("order").alias("label"), F.concat(F.lit("Order value in the period was $"), F.format_string("%.2f", F.round(value, 2)), F.lit(" by priority.")).alias("text"))
-    checked = A.validate(rows.withColumn("evidence", F.array_repeat(item, 9)).withColumn("refusal", F.lit(False)))
-    return checked.select("o_orderkey", "withheld_by")
+    """Each check decides about some drafts: a seventh each is sound, has a figure of no item, has a figure and no
+    citation, cites the wrong item, refuses soundly, smuggles a figure into a refusal, and says what its item doesn't."""
+    return A.validate(_drafts(spark, d)).select("o_orderkey", "withheld_by")
+
+
+def paired_control(spark, d):
+    """The chain over the texts of the arm that ran without it."""
+    from granary.operators.headlines import paired_control
+
+    return paired_control(_drafts(spark, d).drop("refusal")).groupBy("would_withhold").agg(F.count("*").alias("n"))
 
 
 def claim_counts(spark, d):
@@ -61,7 +89,9 @@ def claim_counts(spark, d):
 def answer_rates(spark, d):
     rows = _answers(spark, d).withColumn("refused", A.is_refusal(F.when(F.col("o_orderkey") % 5 == 0, F.lit("There is no mention of it.")).otherwise(F.col("text"))))
     checked = A.check_citations(rows).withColumns({"insufficient": F.col("refused"), "uncited_figure": F.col("o_orderkey") % 10 == 1})
-    flags = A.contract(checked).withColumn("groundedness", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5 + 1))
+    scored = {"groundedness": F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5 + 1), "citation_correctness": F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3 + 2), "relevance": F.lit(5)}
+    claims = F.when(F.col("o_orderkey") % 8 == 0, F.array(F.lit("x"))).when(F.col("o_orderkey") % 8 == 1, F.array().cast("array<string>"))
+    flags = A.contract(checked).withColumns(scored | {"unsupported_claims": claims, "route_correct": F.col("o_orderkey") % 6 != 0})
     return A.answer_rates(flags.withColumnRenamed("o_orderstatus", "category"), [(), ("category",)])
 
 
@@ -76,6 +106,28 @@ def numbered_context(spark, d):
     return A.build_context(rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("label"), F.concat(F.lit("part "), F.col("p").cast("string")).alias("text")), ["l_orderkey"], ("l_linenumber",))
 
 
+def evidence_order(spark, d):
+    """Contexts of the benchmark items from three stores: figures for even items, two news for every third, three filings."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    q = F.col("query_id").cast("string")
+
+    def store(name: str, rows, n: int):
+        one = rows.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        mark = F.concat(F.lit(f"{name} "), q, F.lit("/"), F.col("rank").cast("string"))
+        return one.select("query_id", mark.alias("key"), mark.alias("label"), F.concat(F.lit("text of "), mark).alias("text"), "rank")
+
+    rows = A.gathered(store("figures", items.where("query_id % 2 = 0"), 1), store("news", items.where("query_id % 3 = 0"), 2), store("filing", items, 3))
+    return A.build_context(rows, ["query_id"], ("n",))
+
+
+def model_routes(spark, d):
+    """What a model said where no rule decided: a route, two of them, none, or nothing at all."""
+    said = F.element_at(F.array(F.lit("FILING_RAG, though it borders on NEWS"), F.lit("rather news, or mixed"), F.lit("cannot say"), F.lit(None).cast("string")), (F.col("conv_id") % 4 + 1).cast("int"))
+    asked = table(spark, d, "conversations").where("role = 'user'").withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    routed = route(asked.select("conv_id", "turn", "key", F.col("text").alias("query")), F.lit(NOW))
+    return with_model(routed, asked.select("key", said.alias("response")), "key").select("conv_id", "turn", "route", "method")
+
+
 def routing_log(spark, d):
     from granary.operators.sinks import newest
 
@@ -86,7 +138,9 @@ def routing_log(spark, d):
 _COMPOSED = """
 a AS (
   SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderkey % 9 AS x, o_orderkey % 4 AS y, 'Order value was $' || printf('%.2f', round(o_totalprice, 2)) || ' in the period' AS head FROM orders)"""
-QUERIES = {f.__name__: f for f in (route_queries, route_conversations, citation_check, figure_extract, validation_chain, claim_counts, answer_rates, judge_parse, numbered_context, routing_log)}
+_VERDICTS = """
+v AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'numeric_consistency' WHEN 5 THEN 'numeric_consistency' WHEN 2 THEN 'citation_coverage' WHEN 3 THEN 'grounding' WHEN 6 THEN 'grounding' END AS withheld_by FROM orders)"""
+QUERIES = {f.__name__: f for f in (route_queries, route_conversations, citation_check, figure_extract, validation_chain, paired_control, claim_counts, answer_rates, judge_parse, numbered_context, evidence_order, model_routes, routing_log)}
 ORACLES = {
     "route_queries": """
 SELECT o_orderkey, route, method, tickers, CAST(date_from AS DATE) AS date_from, news_signal, plan, metric, CAST(n_quarters AS INT) AS n_quarters
@@ -106,28 +160,58 @@ SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_append(ok, 3))),
   CASE WHEN len(bad) = 0 THEN head || ' [' || x || ', ' || y || '] , with  priority [3].'
     ELSE head || CASE WHEN len(ok) = 0 THEN '' ELSE ' [' || array_to_string(ok, ', ') || ']' END || ', with priority [3].' END AS cleaned
 FROM c""",
-    "figure_extract": "SELECT o_orderkey, '$' || printf('%.2f', round(o_totalprice, 2)) AS raw, round(round(o_totalprice, 2), 4) AS value, 0.005::DOUBLE AS half FROM orders",
-    "validation_chain": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'numeric_consistency' END AS withheld_by FROM orders",
+    "figure_extract": """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || printf('%.2f', round(o_totalprice, 2)) WHEN 1 THEN o_orderkey || ' percent' WHEN 2 THEN '€' || o_orderkey || '.5 million' ELSE '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') END AS raw,
+  round(CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN o_orderkey WHEN 2 THEN (o_orderkey + 0.5::DOUBLE) * 1e6 ELSE 1000 + o_orderkey % 1000 END, 4) AS value,
+  CASE o_orderkey % 4 WHEN 0 THEN 0.005::DOUBLE WHEN 2 THEN 50000.0::DOUBLE ELSE 0.5::DOUBLE END AS half, o_orderkey % 4 <> 2 AS unscaled
+FROM orders""",
+    "validation_chain": f"WITH {_VERDICTS} SELECT o_orderkey, withheld_by FROM v",
+    "paired_control": f"WITH {_VERDICTS} SELECT withheld_by AS would_withhold, count(*) AS n FROM v GROUP BY 1",
+    "claim_counts": r"""
+WITH lines AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) AS x FROM documents),
+bare AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^\s*(?:[-*•]|\d+[.)])\s+', ''), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') AS x FROM lines),
+kept AS (
+  SELECT doc_id, regexp_replace(x, '([.!?])\s*((?:\[\d+\]\s*)+)', ' \2\1', 'g') AS x FROM bare
+  WHERE regexp_replace(x, '[*_`#\s\p{Z}]', '', 'g') <> '' AND NOT regexp_matches(regexp_replace(x, '[*_`#]', '', 'g'), '(?i)^\s*(facts|interpretation)\s*:?\s*$') AND NOT regexp_matches(regexp_replace(x, '[*_`#]', '', 'g'), ':\s*$')),
+cut AS (SELECT doc_id, regexp_replace(regexp_replace(x, '([.!?])(\s+)([A-Z$"(\[])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), '(\b(?:[A-Z]|Inc|Corp|Co|Ltd|No)\.)' || chr(1) || '(\s+)' || chr(2), '\1\2', 'g') AS x FROM kept),
+units AS (SELECT doc_id, unnest(regexp_split_to_array(x, chr(1) || '\s+' || chr(2))) AS x FROM cut),
+plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '\[(\d+(?:\s*,\s*\d+)*)\]', ' ', 'g'), '[*_`#]', '', 'g'), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') AS t FROM units)
+SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM plain
+WHERE len(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+')) >= 4 AND NOT regexp_matches(t, '(?i)' || $$"""
+    + A.ABSENCE
+    + """$$)
+GROUP BY doc_id""",
     "answer_rates": """
 WITH r AS (
   SELECT o_orderstatus AS category, o_orderkey % 5 = 0 AS refused, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 + 1 END AS g,
-    (o_orderkey % 9) BETWEEN 1 AND 5 AND (o_orderkey % 4) BETWEEN 1 AND 5 AS clean, o_orderkey % 10 = 1 AS fig FROM orders)
-SELECT category, count(*) AS n, round(avg(g), 6) AS groundedness, round(avg(CAST(refused AS INT)), 6) AS refused,
-  round(avg(CAST(refused OR (clean AND NOT fig) AS INT)), 6) AS compliant, 0.0::DOUBLE AS uncited
+    (o_orderkey % 9) BETWEEN 1 AND 5 AND (o_orderkey % 4) BETWEEN 1 AND 5 AS clean, o_orderkey % 10 = 1 AS fig,
+    CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 + 2 END AS c, o_orderkey % 8 = 0 AS bad, o_orderkey % 6 <> 0 AS rc FROM orders)
+SELECT category, count(*) AS n, round(avg(g), 6) AS groundedness, round(avg(c), 6) AS citation_correctness, 5.0::DOUBLE AS relevance, round(avg(CAST(rc AS INT)), 6) AS route_correct, round(avg(CAST(refused AS INT)), 6) AS refused,
+  round(avg(CAST(refused OR (clean AND NOT fig) AS INT)), 6) AS compliant, 0.0::DOUBLE AS uncited, count(*) FILTER (bad) AS with_unsupported_claims, round(avg(CAST(bad AS INT)), 6) AS hallucination_rate
 FROM r GROUP BY GROUPING SETS ((), (category))""",
     "judge_parse": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(greatest(1, least(5, o_orderkey % 9)) AS INT) END AS groundedness, CAST(NULL AS INT) AS relevance,
   CASE WHEN o_orderkey % 7 <> 0 THEN 'a,b' END AS claims, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS note FROM orders""",
     "numbered_context": """
 SELECT l_orderkey, string_agg('[' || n || '] (line ' || l_linenumber || ')' || chr(10) || 'part ' || p, chr(10) || chr(10) ORDER BY n) AS context
-FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey, l_linenumber)
+FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 GROUP BY l_orderkey""",
+    "evidence_order": """
+WITH e AS (
+  SELECT item_id AS q, 0 AS s, 'figures ' || item_id || '/1' AS key FROM benchmark WHERE item_id % 2 = 0
+  UNION ALL SELECT item_id, 1, 'news ' || item_id || '/' || r FROM benchmark, range(1, 3) t(r) WHERE item_id % 3 = 0
+  UNION ALL SELECT item_id, 2, 'filing ' || item_id || '/' || r FROM benchmark, range(1, 4) t(r)),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, key) AS n FROM e)
+SELECT q AS query_id, string_agg('[' || n || '] (' || key || ')' || chr(10) || 'text of ' || key, chr(10) || chr(10) ORDER BY n) AS context FROM n GROUP BY q""",
+    "model_routes": """
+SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN 'NEWS' ELSE 'FILING_RAG' END AS route, CASE conv_id % 4 WHEN 2 THEN 'llm_invalid' WHEN 3 THEN 'llm_unavailable' ELSE 'llm' END AS method
+FROM conversations WHERE role = 'user'""",
     "routing_log": "SELECT event_id AS id, ts, event_type AS route FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
 }
 
 
 def headline_gate(spark, d):
-    """Summaries composed of orders: one in four invents a figure, one in three names a cause, one in five doesn't decline."""
+    """Summaries composed of orders, with claims of every kind in one of 3 to 13 of them."""
     from granary.operators.headlines import DECLINE, gate
 
     k = F.col("o_orderkey")
@@ -135,6 +219,9 @@ def headline_gate(spark, d):
         F.lit("Chip maker opens plant in Texas [1]. "),
         F.when(k % 4 == 0, F.lit("Sales rose 4711 percent. ")).otherwise(F.lit("")),
         F.when(k % 3 == 0, F.lit("Rivals suffered because of tariffs elsewhere. ")).otherwise(F.lit("")),
+        F.when(k % 7 == 0, F.lit("Traders abroad expect lower margins. ")).otherwise(F.lit("")),
+        F.when(k % 11 == 0, F.lit("The step is likely of use to rivals. ")).otherwise(F.lit("")),
+        F.when(k % 13 == 0, F.lit("So says [9]. ")).otherwise(F.lit("")),
         F.when(k % 5 != 0, F.lit(DECLINE)).otherwise(F.lit("")),
     )
     rows = table(spark, d, "orders").select("o_orderkey", text.alias("summary"), F.array(F.lit("Chip maker opens plant in Texas")).alias("headlines"), F.array(F.to_date("o_orderdate")).alias("days"))
@@ -156,7 +243,8 @@ def validation_ab(spark, d):
 QUERIES |= {f.__name__: f for f in (headline_gate, validation_ab)}
 ORACLES |= {
     "headline_gate": """
-SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'invented figure' END, CASE WHEN o_orderkey % 3 = 0 THEN 'asserted cause' END, CASE WHEN o_orderkey % 5 = 0 THEN 'does not decline' END) AS violations,
+SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'invented figure' END, CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported attribution' END, CASE WHEN o_orderkey % 3 = 0 THEN 'asserted cause' END,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'unsupported projection' END, CASE WHEN o_orderkey % 13 = 0 THEN 'bad citation' END, CASE WHEN o_orderkey % 5 = 0 THEN 'does not decline' END) AS violations,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS INT) AS declined FROM orders""",
     "validation_ab": """
 WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 <> 3),

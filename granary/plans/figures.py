@@ -6,6 +6,8 @@ fact, years divisible by three no nine-month fact, and 1997's second quarter is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.functions.dates import calendar_label, fiscal_quarter, fiscal_year, period_kind, period_label
@@ -94,10 +96,28 @@ def fin_available_metrics(spark, d):
 
 
 def fin_truth(spark, d):
-    plans = {"q1": ("metric_series", {"ticker": "BUILDING", "metric": "eps_diluted", "n_quarters": 2}), "q2": ("margin_trend", {"ticker": "MACHINERY", "n_quarters": 3})}
+    """The six plans of the numeric questions, for three segments in place of the companies."""
+    stand_in = {"NVDA": "BUILDING", "MSFT": "MACHINERY", "JPM": "FURNITURE"}
+    plans = {key: (name, params | {"ticker": stand_in[params["ticker"]]}) for key, (name, params) in G.TRUTH_PLANS.items()}
     return G.truth(landed(rows(spark, d)), plans)
 
 
+def financial_evidence(spark, d):
+    """Evidence items of three plans; a plan that doesn't exist gives none."""
+    found = landed(rows(spark, d))
+    plans = [("qoq_growth", {"ticker": "BUILDING", "metric": "revenue", "n_quarters": 24}), ("margin_trend", {"ticker": "MACHINERY", "n_quarters": 2}), ("available_metrics", {"ticker": "FURNITURE"}), ("metric_series", {"ticker": "nobody", "metric": "revenue"}), ("drop_table", {})]
+    items = [item for name, params in plans if (item := G.evidence_item(found, name, params)) is not None]
+    return reduce(DataFrame.unionByName, items)
+
+
+def fin_tag_choice(spark, d):
+    """Three candidate tags of fifty companies; a tag's quarters thin out with time, so the choice differs."""
+    k = F.col("o_orderkey")
+    at = F.when(F.year("o_orderdate") < 1995, k % 3).otherwise(F.col("o_custkey") % 3).cast("int")
+    series = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("ticker"), F.lit("revenue").alias("metric"), at.alias("chain"), F.last_day("o_orderdate").alias("period_end")).distinct()
+    return G.choose_tags(series.withColumn("tag", F.element_at(F.array(*map(F.lit, G.TAG_CHAINS["revenue"])), F.col("chain") + 1)))
+
+
 def fin_periods(spark, d):
     """Kinds and fiscal periods of spans of orders for several year ends."""
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"))
@@ -107,19 +127,20 @@ def fin_periods(spark, d):
 
 
 def _old_new(spark, d):
+    """Every order is old, new, or both."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("p"))
-    old = o.where("v % 3 = 0").groupBy("k", "s").agg(F.max("v").alias("v"))
-    return old, o.where("v % 5 = 0")
+    old = o.where("v % 3 <> 1").groupBy("k", "s").agg(F.max("v").alias("v"))
+    return old, o.where("v % 3 <> 0")
 
 
 def sink_upsert_latest(spark, d):
     old, new = _old_new(spark, d)
-    return upsert(old, new.select("k", "s", "v", F.col("v").alias("__nth")), ["k", "s"])
+    return upsert(old, new.select("k", "s", "v"), ["k", "s"], latest="v")
 
 
 def sink_replace_series(spark, d):
     old, new = _old_new(spark, d)
-    return replace_series(old, new.where("k % 2 = 0").groupBy("k", "s").agg(F.max("v").alias("v")), ["k"])
+    return replace_series(old, new.select("k", "s", "v"), ["k", "s"])
 
 
 def sink_merge_columns(spark, d):
@@ -185,13 +206,21 @@ SELECT a.fiscal_year, a.fiscal_qtr, a.value, b.value AS prior, round(100.0 * (a.
 FROM s a LEFT JOIN s b ON a.fiscal_year * 4 + a.fiscal_qtr = b.fiscal_year * 4 + b.fiscal_qtr + {back} ORDER BY 1 DESC, 2 DESC LIMIT 24"""
 
 
-_SHOWN = "CASE unit WHEN 'pct' THEN format('{:,.1f}', value) || '%' ELSE '$' || format('{:,.2f}', value) END"
+_SHOWN = "CASE unit WHEN 'pct' THEN format('{:,.1f}', value) || '%' WHEN 'usd' THEN '$' || format('{:,.2f}', value / 1e9) || 'B' ELSE '$' || format('{:,.2f}', value) END"
+
+
+def _change(basis: str, back: int) -> str:
+    """Growth of a row l against the quarter `back` before, as text."""
+    prior = f"(SELECT b FROM f b WHERE (b.ticker, b.metric) = (l.ticker, l.metric) AND b.value <> 0 AND b.fiscal_year * 4 + b.fiscal_qtr + {back} = l.fiscal_year * 4 + l.fiscal_qtr)"
+    return f"coalesce(' ({basis} ' || printf('%+.1f%%', 100.0::DOUBLE * (l.value - {prior}.value) / abs({prior}.value)) || ' vs FY' || {prior}.fiscal_year || 'Q' || {prior}.fiscal_qtr || ')', ' ({basis} n/a — no prior period)')"
+
+
 _OLD = """
 o AS (SELECT o_custkey AS k, o_orderstatus AS s, o_orderkey AS v, o_totalprice AS p FROM orders),
-old AS (SELECT k, s, max(v) AS v FROM o WHERE v % 3 = 0 GROUP BY k, s),
-new AS (SELECT * FROM o WHERE v % 5 = 0)"""
+old AS (SELECT k, s, max(v) AS v FROM o WHERE v % 3 <> 1 GROUP BY k, s),
+new AS (SELECT * FROM o WHERE v % 3 <> 0)"""
 
-QUERIES = {f.__name__: f for f in (fin_build_figures, fin_latest_fact, fin_year_end_month, fin_coverage, fin_metric_series, fin_revenue_last_n_quarters, fin_latest_metric, fin_qoq_growth, fin_yoy_growth, fin_margin_trend, fin_compare_tickers, fin_available_metrics, fin_truth, fin_periods, sink_upsert_latest, sink_replace_series, sink_merge_columns, sink_skip_existing, sink_known_document)}
+QUERIES = {f.__name__: f for f in (fin_build_figures, fin_latest_fact, fin_year_end_month, fin_coverage, fin_metric_series, fin_revenue_last_n_quarters, fin_latest_metric, fin_qoq_growth, fin_yoy_growth, fin_margin_trend, fin_compare_tickers, fin_available_metrics, fin_truth, financial_evidence, fin_tag_choice, fin_periods, sink_upsert_latest, sink_replace_series, sink_merge_columns, sink_skip_existing, sink_known_document)}
 ORACLES = {
     "fin_build_figures": f"WITH {_FACTS} SELECT * FROM f",
     "fin_latest_fact": f"WITH {_FACTS} SELECT ticker, tag, kind, CAST(y AS INT) AS fiscal_year, CAST(qtr AS INT) AS fiscal_qtr, round(val, 4) AS val, period_end, accn, filed FROM latest",
@@ -205,10 +234,20 @@ ORACLES = {
     "fin_margin_trend": _last("FURNITURE", "gross_margin", 8),
     "fin_compare_tickers": f"WITH {_FACTS} SELECT ticker, fiscal_year, fiscal_qtr, value FROM f WHERE ticker IN ('BUILDING', 'MACHINERY') AND metric = 'revenue' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, fiscal_qtr DESC) <= 2",
     "fin_available_metrics": f"WITH {_FACTS} SELECT DISTINCT metric FROM f WHERE ticker = 'BUILDING'",
-    "fin_truth": f"""WITH {_FACTS}, asked AS (
-  SELECT 'q1' AS id, * FROM (SELECT * FROM f WHERE ticker = 'BUILDING' AND metric = 'eps_diluted' ORDER BY fiscal_year DESC, fiscal_qtr DESC LIMIT 2)
-  UNION ALL SELECT 'q2', * FROM (SELECT * FROM f WHERE ticker = 'MACHINERY' AND metric = 'gross_margin' ORDER BY fiscal_year DESC, fiscal_qtr DESC LIMIT 3))
-SELECT id, string_agg('FY' || fiscal_year || 'Q' || fiscal_qtr || ': ' || {_SHOWN}, chr(10) ORDER BY fiscal_year DESC, fiscal_qtr DESC) AS text FROM asked GROUP BY id""",
+    "fin_truth": f"""WITH {_FACTS}, last AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric ORDER BY fiscal_year DESC, fiscal_qtr DESC) AS n, 'FY' || fiscal_year || 'Q' || fiscal_qtr || ': ' || {_SHOWN} AS line FROM f),
+p(id, ticker, metric, upto, grown) AS (VALUES ('num-01', 'BUILDING', 'revenue', 4, false), ('num-02', 'MACHINERY', 'gross_margin', 4, false), ('num-03', 'BUILDING', 'eps_diluted', 1, false), ('num-04', 'FURNITURE', 'revenue', 1, false), ('num-05', 'BUILDING', 'revenue', 4, true), ('num-06', 'MACHINERY', 'operating_income', 1, false))
+SELECT id, coalesce(string_agg(l.line || CASE WHEN grown THEN {_change('YoY', 4)} ELSE '' END, chr(10) ORDER BY n), '') AS text
+FROM p LEFT JOIN last l ON (l.ticker, l.metric) = (p.ticker, p.metric) AND n <= upto GROUP BY id""",
+    "financial_evidence": f"""WITH {_FACTS}, last AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric ORDER BY fiscal_year DESC, fiscal_qtr DESC) AS n, 'FY' || fiscal_year || 'Q' || fiscal_qtr || ': ' || {_SHOWN} AS line FROM f)
+SELECT 'financials:BUILDING:revenue' AS key, 'financial' AS kind, 'BUILDING · financials · qoq_growth(revenue)' AS label, string_agg(l.line || {_change('QoQ', 1)}, chr(10) ORDER BY n) AS text FROM last l WHERE ticker = 'BUILDING' AND metric = 'revenue' AND n <= 24
+UNION ALL SELECT 'financials:MACHINERY:margin_trend', 'financial', 'MACHINERY · financials · margin_trend', string_agg(line, chr(10) ORDER BY n) FROM last WHERE ticker = 'MACHINERY' AND metric = 'gross_margin' AND n <= 2
+UNION ALL SELECT 'financials:FURNITURE:available_metrics', 'financial', 'FURNITURE · financials · available_metrics', string_agg(metric, chr(10) ORDER BY metric) FROM (SELECT DISTINCT metric FROM f WHERE ticker = 'FURNITURE')""",
+    "fin_tag_choice": """
+WITH s AS (SELECT DISTINCT CAST(o_custkey % 50 AS VARCHAR) AS ticker, CASE WHEN year(o_orderdate) < 1995 THEN o_orderkey % 3 ELSE o_custkey % 3 END AS chain, last_day(o_orderdate) AS e FROM orders),
+a AS (SELECT *, max(e) OVER (PARTITION BY ticker) AS top FROM s),
+g AS (SELECT ticker, chain, count(*) FILTER (year(e) >= year(top) - 5) AS recent, count(*) AS n, max(e) AS last FROM a GROUP BY ALL)
+SELECT ticker, 'revenue' AS metric, ['RevenueFromContractWithCustomerExcludingAssessedTax', 'Revenues', 'RevenuesNetOfInterestExpense'][chain + 1] AS tag
+FROM g QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY recent DESC, n DESC, last DESC, chain) = 1""",
     "fin_periods": """
 WITH o AS (
   SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INT) AS e, o_orderkey % 400 AS n, CAST(o_orderkey % 12 + 1 AS INT) AS fye FROM orders),
@@ -216,7 +255,7 @@ p AS (SELECT *, CAST(year(e) + CASE WHEN month(e) > fye THEN 1 ELSE 0 END AS INT
 SELECT o_orderkey, CASE WHEN n BETWEEN 80 AND 100 THEN 'Q' WHEN n BETWEEN 170 AND 190 THEN 'H' WHEN n BETWEEN 260 AND 285 THEN '9M' WHEN n BETWEEN 340 AND 380 THEN 'FY' END AS kind,
   fy, q, 'FY' || fy || 'Q' || q AS label, 'FY' || year(e) || CASE WHEN fye = 1 THEN '' ELSE 'Q' || quarter(e) END AS calendar FROM p""",
     "sink_upsert_latest": f"WITH {_OLD}, n AS (SELECT k, s, max(v) AS v FROM new GROUP BY k, s) SELECT * FROM n UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = old.k AND n.s = old.s)",
-    "sink_replace_series": f"WITH {_OLD}, n AS (SELECT k, s, max(v) AS v FROM new WHERE k % 2 = 0 GROUP BY k, s) SELECT * FROM n UNION ALL SELECT * FROM old WHERE k NOT IN (SELECT k FROM n)",
+    "sink_replace_series": f"WITH {_OLD} SELECT k, s, v FROM new UNION ALL SELECT k, s, v FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k = old.k AND new.s = old.s)",
     "sink_merge_columns": f"WITH {_OLD}, n AS (SELECT k, s, round(max(p), 2) AS p FROM new GROUP BY k, s) SELECT k, s, v, p FROM old FULL JOIN n USING (k, s)",
     "sink_skip_existing": f"WITH {_OLD} SELECT k, s, v FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k = new.k AND old.s = new.s)",
     "sink_known_document": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS source_accn, CAST(c_custkey AS VARCHAR) AS source_doc_id FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey",

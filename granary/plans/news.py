@@ -83,6 +83,46 @@ def cluster_events(spark, d):
     return N.cluster_events(marked, 0.30).select("ticker", "article_id", "event_id", "duplicate_of")
 
 
+def _items(spark, d):
+    """Feed items of the events: three feeds, urls that come again, headlines of which a quarter don't name the company."""
+    k = F.col("event_id")
+    feed = (k % 3).cast("int")
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("ticker"), F.element_at(F.array(F.lit("ir"), F.lit("yahoo"), F.lit("google")), feed + 1).alias("feed"), feed.alias("feed_order"), k.alias("pos"),
+        F.when(k % 17 != 0, F.concat(F.lit("https://example.com/"), (k % 40).cast("string"))).alias("url"),
+        F.when(k % 4 != 0, F.concat(F.lit("All about "), "event_type", F.lit(" revenue"))).otherwise("All about others").alias("headline"),
+        F.when(k % 5 != 0, F.lit("Wire")).otherwise("").alias("source"), F.col("ts").alias("published_at"), "value",
+    )
+
+
+def _collected(spark, d):
+    return N.collect(_items(spark, d), FEED_SINCE)
+
+
+def news_collect(spark, d):
+    return _collected(spark, d).select("ticker", "feed", "pos", "url", "source", "topic", "article_id")
+
+
+def feed_histogram(spark, d):
+    return N.feed_histogram(_collected(spark, d))
+
+
+def article_bodies(spark, d):
+    """Bodies that were fetched for three urls in four; redirects of the second feed have none."""
+    rows = _collected(spark, d).withColumn("url", F.when(F.col("feed") == "yahoo", F.concat(F.lit("https://news.google.com/"), "pos")).otherwise(F.col("url")))
+    bodies = rows.select("url").distinct().where(F.length("url") % 4 != 0).withColumn("text", F.concat(F.lit("body of "), "url"))
+    return N.with_bodies(rows, bodies).select("ticker", "feed", "pos", "url", "text")
+
+
+def normalized_vectors(spark, d):
+    """Vectors three times as long, normalized again."""
+    from granary.operators.retrieval import norm, normalized
+
+    rows = table(spark, d, "embeddings").select("vec_id", normalized(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return rows.select("vec_id", F.round(norm(F.col("v")), 6).alias("length"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+
+
+FEED_SINCE = datetime(2024, 1, 1)
 HEADLINES = [
     ("NVDA", "Nvidia's $279 Billion Bet Changes Everything (NASDAQ:NVDA) - Seeking Alpha"),
     ("NVDA", "Nvidia"),
@@ -96,7 +136,8 @@ HEADLINES = [
 
 def headline_functions(spark, d):
     """All headline functions over the headlines, each joined to every source of the documents."""
-    rows = spark.createDataFrame(HEADLINES, "ticker string, headline string").crossJoin(table(spark, d, "documents").select("source").distinct())  # seven headlines
+    heads = F.array(*(F.struct(F.lit(t).alias("ticker"), F.lit(h).alias("headline")) for t, h in HEADLINES))
+    rows = table(spark, d, "documents").select("source").distinct().select("source", F.inline(heads))
     h, t = F.col("headline"), F.col("ticker")
     normal = normal_headline(h, "XYZ")
     for name in ("NVDA", "MSFT", "JPM"):
@@ -124,8 +165,16 @@ ro AS (
   FROM e GROUP BY ticker, event_id HAVING count(*) FILTER (NOT dup) > 0),
 r AS (SELECT *, len(src) + 0.25::DOUBLE * least(n_live, 3) AS score FROM ro LEFT JOIN modal USING (ticker, event_id))"""
 _ALL = _EVENTS.format(cond="true")
-
-QUERIES = {f.__name__: f for f in (news_event_rollup, news_ranked_events, news_window_top8, news_summaries, news_context, news_counts, exact_dedup_first, near_dup_edges, near_dup_greedy, cluster_events, headline_functions)}
+_COLLECTED = """
+it AS (
+  SELECT event_type AS ticker, ['ir', 'yahoo', 'google'][event_id % 3 + 1] AS feed, event_id % 3 AS feed_order, event_id AS pos, CASE WHEN event_id % 17 <> 0 THEN 'https://example.com/' || (event_id % 40) END AS url,
+    event_id % 4 <> 0 AS named, CASE WHEN event_id % 5 <> 0 THEN 'Wire' ELSE ['ir', 'yahoo', 'google'][event_id % 3 + 1] END AS source, ts FROM events),
+top AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY ticker, feed ORDER BY pos) <= 60),
+got AS (
+  SELECT ticker, feed, pos, url, source, CASE WHEN named THEN 'earnings' END AS topic FROM top WHERE url IS NOT NULL AND ts >= TIMESTAMP '2024-01-01' AND (named OR feed = 'ir')
+  QUALIFY row_number() OVER (PARTITION BY ticker, url ORDER BY feed_order, pos) = 1)"""
+
+QUERIES = {f.__name__: f for f in (news_event_rollup, news_ranked_events, news_window_top8, news_summaries, news_context, news_counts, exact_dedup_first, near_dup_edges, near_dup_greedy, cluster_events, headline_functions, news_collect, feed_histogram, article_bodies, normalized_vectors)}
 ORACLES = {
     "news_event_rollup": f"WITH {_ARTICLES}, {_ALL} SELECT ticker, event_id, n_live, n_duplicates, array_to_string(src, ',') AS sources, first_day, last_day, primary_id, score, topic FROM r",
     "news_ranked_events": f"WITH {_ARTICLES}, {_EVENTS.format(cond='published_at >= TIMESTAMP ' + repr('2024-01-20'))} SELECT ticker, CAST(row_number() OVER w AS INT) AS rank, event_id, score, topic FROM r WINDOW w AS (PARTITION BY ticker ORDER BY score DESC, first_at, event_id) QUALIFY row_number() OVER w <= 5",
@@ -151,7 +200,7 @@ FROM n""",
     "near_dup_edges": """
 SELECT * FROM (
   SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100000 AND b.vec_id < 100000) WHERE sim >= 0.35""",
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE sim >= 0.35""",
     "headline_functions": """
 WITH h(ticker, headline, normal, shown, topic, relevant) AS (VALUES
   ('NVDA', 'Nvidia''s $279 Billion Bet Changes Everything (NASDAQ:NVDA) - Seeking Alpha', '''s $279 Billion Bet Changes Everything', 'Nvidia''s $279 Billion Bet Changes Everything (NASDAQ:NVDA)', NULL, true),
@@ -162,4 +211,12 @@ WITH h(ticker, headline, normal, shown, topic, relevant) AS (VALUES
   ('JPM', 'Markets close flat', 'Markets close flat', 'Markets close flat', NULL, false),
   ('XYZ', 'xyz wins merger vote - Bloomberg News', 'wins merger vote', 'xyz wins merger vote', 'deal', true))
 SELECT s.source, h.* FROM h CROSS JOIN (SELECT DISTINCT source FROM documents) s""",
+    "news_collect": f"WITH {_COLLECTED} SELECT ticker, feed, pos, url, source, topic, sha1(url) AS article_id FROM got",
+    "feed_histogram": f"WITH {_COLLECTED} SELECT ticker, feed, count(*) AS n FROM got GROUP BY ALL",
+    "article_bodies": f"""
+WITH {_COLLECTED}, r AS (SELECT ticker, feed, pos, CASE WHEN feed = 'yahoo' THEN 'https://news.google.com/' || pos ELSE url END AS url FROM got)
+SELECT ticker, feed, pos, url, CASE WHEN feed <> 'yahoo' AND length(url) % 4 <> 0 THEN 'body of ' || url END AS text FROM r""",
+    "normalized_vectors": """
+WITH n AS (SELECT vec_id, embedding[1] AS x, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)
+SELECT vec_id, 1.0::DOUBLE AS length, round(x / n, 6) AS first FROM n""",
 }
