@@ -1,8 +1,9 @@
 """N-gram Jaccard join by MinHash banding, verified on the full n-gram sets.
 
 1. Each text becomes its set of hashed word n-grams. Rows and bands are chosen for the target recall at the threshold.
-2. Equal sets are one node, so copies cost nothing below. Nodes are exchanged on their band hashes; every node of a
-   bucket is tied to the bucket's smallest node, and the components of these ties hold all candidate pairs.
+2. Equal sets are one node, so copies cost nothing below. (band hash, node) pairs, two longs each, go from the signatures
+   to the buckets, a node's once from each task however many copies the task has; every node of a bucket is tied to the
+   bucket's smallest node, and the components of these ties hold all candidate pairs.
 3. Texts of nodes that have a tie are fetched and their n-gram sets made anew. A component is verified in tiles: members
    are dealt to chunks of at most about TILE nodes, and each pair of chunks meets in one tile. Chunks are cut within
    classes of set size, as sets whose sizes differ by more than the threshold can't be similar; so only equal and
@@ -30,6 +31,7 @@ from granary.llm.components import components
 from granary.llm.decontamination import words_of
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES, TILE = 5, 0.8, 0.9995, 384, 384
+SEEN = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,19 +91,25 @@ def _set_hash(grams: np.ndarray) -> int | None:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, thash, set, n, bands) of each row; set is null where there are no n-grams."""
+    """(id, thash, set, n, bands) of each row; set is null where there are no n-grams.
+
+    Of the rows of a task with one set, only the first has bands, unless more than SEEN other sets came between.
+    """
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType)] + T.StructType.fromDDL("thash long, set long, n int, bands array<long>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash(bands, rows)
+        minhash, seen = MinHash(bands, rows), set()
         for part in slices(batches, "text"):
+            if len(seen) > SEEN:
+                seen.clear()
             sets = [ngrams(t, n) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            full = [k for k, s in enumerate(sets) if len(s)]
+            names = [_set_hash(s) for s in sets]
+            full = [k for k, name in enumerate(names) if name is not None and not (name in seen or seen.add(name))]
             hashes: list[np.ndarray | None] = [None] * len(sets)
             if full:
                 for k, row in zip(full, minhash.band_hashes([sets[k] for k in full]), strict=True):
                     hashes[k] = row
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("thash"), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("thash"), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=schema.names)
 
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -189,12 +197,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float
     """(id, thash, class, links, copies) of each row; class is null for rows without n-grams."""
     bands, rows = choose_bands(threshold, recall)
     slim = written(signatures(df, id_col, text_col, n, bands, rows), "signatures")
-    sets = slim.where("set is not null").groupBy("set").agg(F.min(F.struct("id", "thash")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = slim.where("set is not null").groupBy("set").agg(F.min(F.struct("id", "thash")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     sets = written(sets, "sets")
-    banded = sets.select("set", F.explode("bands").alias("band"))
+    banded = slim.where("bands is not null").select("set", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least != most").select("band", "least"), "buckets")
     tied = components(banded.join(buckets, "band").select(F.col("set").alias("a"), F.col("least").alias("b")))
-    nodes = _tiles(sets.drop("bands").join(tied.select(F.col("node").alias("set"), F.col("label").alias("comp")), "set"), threshold)
+    nodes = _tiles(sets.join(tied.select(F.col("node").alias("set"), F.col("label").alias("comp")), "set"), threshold)
     nodes = nodes.select("set", "copies", "tiles", F.col("rep.id").alias("rid"), F.col("rep.thash").alias("rhash"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
