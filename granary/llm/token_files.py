@@ -152,7 +152,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, turn = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", 4096):
             keys = part.column("__id")
             ids = [np.concatenate([x, end]) for x in encode(tokenizer_path, part.column("__text").to_pylist())]
             data, start, blocks = encode_blocks(ids)
@@ -200,9 +200,16 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with with_ids the ids."""
+    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with with_ids the ids.
+
+    Starts are sums on two levels: over the parts, of which there are as many as tasks wrote the files, and over the
+    segments of one part. No task sorts all segments.
+    """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    index = files.select("part", "segment", "n_tokens").withColumn("__first", F.sum("n_tokens").over(Window.orderBy("part", "segment")) - F.col("n_tokens")).drop("n_tokens")
+    sizes = files.select("part", "segment", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
+    index = sizes.withColumn("within", within).join(parts.select("part", "before"), "part").select("part", "segment", (F.col("before") + F.col("within")).alias("__first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

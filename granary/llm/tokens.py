@@ -1,12 +1,14 @@
-"""Token ids from the public tokenizer files, exactly as the tokenizers library gives them.
+"""Token ids as the tokenizers library gives them, from public tokenizer files.
 
-The library takes about a CPU second for a megabyte of text with many different words. So tiktoken's encoder is built
-from the same file's vocabulary wherever a file's ids are its merge ranks, with as many single-byte ids before them:
+A text's ids are those of its pre-tokens one after another, and the library's model merges each by itself. So a text is
+cut at single spaces between words, over which no pre-token reaches; a stretch that is new is cut into pre-tokens, and a
+pre-token that is new is given to the library's model. What has been met is looked up. Pre-tokens are known for two
+kinds of files:
 
-- byte-level BPE as it is;
-- lower-casing BPE with word ends: pieces are set apart by one space each, which stands for the word end.
+- byte-level BPE without a normalizer, where a space belongs to the word after it;
+- lower-casing BPE with word ends, where white space is dropped.
 
-Texts outside the plain Latin range, texts with a special token's string, and other tokenizers go to the library whole.
+Texts outside the plain Latin range, texts with a special token's string, and other files go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,14 +18,22 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters on which Python's re and the tokenizers' patterns agree about letters, digits and white space, which
 #: normal form C leaves alone, and whose lower case is one character.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-įı-ɏ‐-‧]*")
-#: The pre-tokenizing patterns of the files, the second written for those characters.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MARKS, DIGIT = re.compile("[!-&(-/:-@[-`{-~×÷‐-‧]+"), re.compile("[0-9]")
-WITH_APOSTROPHE = re.compile(r"'(?:[stmd]|re|ve|ll)|\d|(?:[^\w\s]|_)+")
+#: The pre-tokenizing patterns of the files, written for those characters.
+BYTE_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+WORD_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The parts of a file that say which pattern holds.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+UNEVEN = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+START = "\0"  # marks the first stretch of a text, which has no space before it
+CACHE_STRETCHES, CACHE_PIECES, CACHE_IDS = 250_000, 450_000, 4_000_000
 
 _LOADED: dict[str, "FastTokenizer"] = {}
 
@@ -35,7 +45,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """The ids of each pre-token, by the library's model."""
+
+    def __init__(self, model):
+        self.tokenize, self.shown = model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
+        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters.translate(self.shown))])
+        return ids
+
+
 class FastTokenizer:
+    """The library's tokenizer of one file, with the ids of the stretches and pre-tokens it has met."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the only parallelism
         from tokenizers import Tokenizer
@@ -43,53 +67,74 @@ class FastTokenizer:
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
-        pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
+        pre, norm = spec["pre_tokenizer"] or {}, (spec["normalizer"] or {}).get("normalizers", [])
         self.fast = None
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            self.fast, self.prepare = self._encoder(spec["model"], "", BYTE_PATTERN), lambda text: text
-        elif spec["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.fast, self.prepare = self._encoder(spec["model"], "</w>", "[^ ]+ "), self._set_apart
-
-    def _encoder(self, model: dict, end: str, pattern: str):
-        """tiktoken's encoder, or None if the ids aren't merge ranks. A word end becomes a space."""
-        import tiktoken
-
-        letters = byte_letters()
-        own = {t: k for t, k in model["vocab"].items() if t not in self.special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        first = 512 if end else 256
-
-        def data(token: str) -> bytes:
-            whole = bool(end) and token.endswith(end)
-            return bytes(letters[c] for c in (token[: -len(end)] if whole else token)) + b" " * whole
-
-        ranks = {data(t): k for t, k in own.items()}
-        in_order = all(own.get(a + b) == first + k for k, (a, b) in enumerate(merges))
-        if not in_order or len(own) != len(ranks) or len(own) != first + len(merges):
-            return None
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    @staticmethod
-    def _set_apart(text: str) -> str:
-        text = text.lower()
-        if "'" in text:
-            text = WITH_APOSTROPHE.sub(r" \g<0> ", text)
-        else:
-            text = MARKS.sub(r" \g<0> ", text)
-            if DIGIT.search(text):
-                text = DIGIT.sub(r" \g<0> ", text)
-        words = text.split()
-        return " ".join(words) + " " if words else ""
+        if spec["normalizer"] is None and {k: pre.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL:
+            self.fast, self.pieces_of = self._at_spaces, lambda x: BYTE_PIECE.findall(x[1:] if x[:1] == START else " " + x)
+        elif spec["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in norm] == WORD_NORMALIZERS:
+            self.fast, self.pieces_of = self._at_white_space, lambda x: WORD_PIECE.findall(x.lower())
+        self.pieces = _Pieces(self.library.model)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.first = np.zeros(1024, dtype=np.int64)  # where the ids of each known stretch start, and where the last ones end
+        self.ids = np.zeros(4096, dtype="<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text (null: empty) without added tokens, as little-endian unsigned 32-bit integers."""
+    def _at_spaces(self, texts: list[str]) -> pa.ListArray:
+        marked = [START + t for t in texts]
+        if any(t[1:2] == " " or t[-1] == " " or any(u in t for u in UNEVEN) for t in marked):
+            return pa.array([BETWEEN_WORDS.split(t) for t in marked], pa.list_(pa.string()))
+        return pc.split_pattern(pa.array(marked, pa.string()), " ")
+
+    def _at_white_space(self, texts: list[str]) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+
+    def _learn(self, stretches: list[str]) -> None:
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        of = self.pieces.__getitem__
+        found = [b"".join(map(of, self.pieces_of(x))) for x in stretches]
+        have, start = len(self.number), self.first[len(self.number)]
+        ends = start + np.cumsum([len(x) // 4 for x in found])
+        if have + len(found) >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(have + len(found), dtype=np.int64)])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), dtype="<u4")])
+        self.ids[start : ends[-1]] = np.frombuffer(b"".join(found), dtype="<u4")
+        self.first[have + 1 : have + 1 + len(found)] = ends
+        self.number.update(zip(stretches, range(have, have + len(found)), strict=True))
+
+    def _looked_up(self, cut: pa.ListArray) -> list[np.ndarray]:
+        """The ids of texts that are given as their stretches."""
+        flat = cut.flatten().dictionary_encode()
+        names, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        if len(self.number) > CACHE_STRETCHES or self.first[len(self.number)] > CACHE_IDS:
+            self.forget()
+        if new := [x for x in names if x not in self.number]:
+            self._learn(new)
+        rows = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
+        start, size = self.first[rows][index], (self.first[rows + 1] - self.first[rows])[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(start - ends[:-1], size) + np.arange(int(ends[-1]))]
+        offsets = cut.offsets.to_numpy()
+        edges = ends[offsets - offsets[0]]
+        return [ids[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+    def arrays(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text (null: empty) without added tokens."""
         texts = [t or "" for t in texts]
         fits = [self.fast is not None and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        whole = iter(self.whole([t for t, ok in zip(texts, fits, strict=True) if not ok]))
-        return [np.array(self.fast.encode_ordinary(self.prepare(t)), dtype="<u4").tobytes() if ok else next(whole) for t, ok in zip(texts, fits, strict=True)]
+        known = iter(self._looked_up(self.fast([t for t, ok in zip(texts, fits, strict=True) if ok]))) if any(fits) else iter(())
+        whole = (np.frombuffer(x, dtype="<u4") for x in self.whole([t for t, ok in zip(texts, fits, strict=True) if not ok]))
+        return [next(known if ok else whole) for ok in fits]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The same as little-endian unsigned 32-bit integers."""
+        return [x.tobytes() for x in self.arrays(texts)]
 
 
 def tokenizer(path: str) -> FastTokenizer:
@@ -100,4 +145,4 @@ def tokenizer(path: str) -> FastTokenizer:
 
 
 def encode(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4") for x in tokenizer(path).encode(texts)]
+    return tokenizer(path).arrays(texts)

@@ -3,8 +3,9 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from granary.llm.packing import pack_block, pack_documents
+from granary.llm.packing import costs, pack_block, pack_documents
 from granary.llm.queries_tokens import tokenizer_file
 from granary.llm.tokens import tokenizer
 
@@ -41,6 +42,37 @@ def test_lowest_cost_sequence_takes_the_next_document():
     assert {(d, s) for d, _, _, s, _ in rows[:4]} == {(0, 0), (1, 1), (2, 1), (3, 0)}
 
 
+def naive(lengths, capacity):
+    """The same rule told one piece at a time, without arrays."""
+    total = sum(lengths)
+    sizes = [capacity] * (total // capacity) + [1 << k for k in range(capacity.bit_length(), -1, -1) if (total % capacity) >> k & 1]
+    used, cost, rows = [0] * len(sizes), [0.0] * len(sizes), []
+    pieces = [(capacity, d, k * capacity) for d, n in enumerate(lengths) for k in range(n // capacity)]
+    pieces += sorted(((n % capacity, d, n - n % capacity) for d, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    for n, d, start in pieces:
+        while n:
+            whole = [s for s in range(len(sizes)) if sizes[s] - used[s] >= n]
+            some = whole or [s for s in range(len(sizes)) if sizes[s] > used[s]]
+            s = min(some, key=lambda s: (cost[s], s))
+            k = min(n, sizes[s] - used[s])
+            rows.append((d, start, k, s, used[s]))
+            used[s], cost[s], n, start = used[s] + k, cost[s] + costs(k), n - k, start + k
+    return rows, len(sizes)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 200), max_size=60), st.sampled_from([1, 8, 64]))
+def test_block_against_a_naive_packer(lengths, capacity):
+    assert pack_block(lengths, capacity) == naive(lengths, capacity)
+
+
+def test_very_long_texts(spark):
+    texts = ["x" + " " * 1_100_000 + "a", "\n" * 1_500_000, "a" * 300_000, "a b " * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = pack_documents(df, PATH).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert {r.doc_id: r["sum(length)"] for r in rows} == {r.doc_id: r["max(doc_tokens)"] for r in rows} == {k: len(x) // 4 + 1 for k, x in enumerate(tokenizer(PATH).whole(texts))}
+
+
 def test_documents_round_trip(spark):
     texts = ["", None, "a b c", "x" * 9000, "hello <|endoftext|> world", "word " * 3000, "a b c"]
     df = spark.createDataFrame([(k if k != 2 else None, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, sequence_id int").coalesce(1)

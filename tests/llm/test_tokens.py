@@ -27,3 +27,24 @@ def test_ids_of_the_documents_equal_the_library(spark, name):
     t = FastTokenizer(tokenizer_file(name))
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert t.encode(texts) == t.whole([x or "" for x in texts])
+
+
+LONG = ["x" + " " * 1_100_000 + "a", "\n" * 2_000_000 + "b", "a" * 300_000, "é" * 200_000, "!" * 300_000, "7" * 300_000, " \n" * 500_000, "'s" * 100_000, "a b " * 200_000, "\u0301" * 100_000]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_runs_equal_the_library(name):
+    t = FastTokenizer(tokenizer_file(name))
+    assert t.encode(LONG) == t.whole(LONG)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_full_caches_change_nothing(name, monkeypatch):
+    from granary.llm import tokens
+
+    for limit in ("CACHE_STRETCHES", "CACHE_PIECES", "CACHE_IDS"):
+        monkeypatch.setattr(tokens, limit, 5)
+    t = FastTokenizer(tokenizer_file(name))
+    for k in range(20):
+        texts = [f"word{k} and{j} more, 'll {k * j}" for j in range(9)]
+        assert t.encode(texts) == t.whole(texts)
