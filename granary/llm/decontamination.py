@@ -1,20 +1,24 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each task cuts its documents into shards. A shard is a sequence of word numbers (0: not in any benchmark item, and
-between documents) with a suffix array over it: suffixes sorted as big-endian byte strings, as deep as the longest
-item. A suffix that starts with fewer known words than the shortest window is left out of the array, because no window
-can match there; nothing else is left out. Every test suffix is then found by binary search in every shard: its
-neighbours give its longest verbatim match, and the interval of suffixes that start with its window gives the places.
-
-The items go to the tasks in blocks of BLOCK_BYTES of text, so what is broadcast is bounded; with several blocks, what
-earlier blocks hit is carried along and lineage is cut between them.
+Each task cuts its documents into shards. A shard is a sequence of word numbers (0: not in the test block, and between
+documents) with a suffix array over all places of known words, as deep as a window. It is built by ranks: places are
+ranked by their first three words, then by three such ranks, then by one word more; so it is a few arrays of integers,
+whatever the length of an item. Every suffix of every test item, the short ones at an item's end too, is searched in
+every shard: its neighbours in the array give a longest match of less than a window, the interval of places that start
+with its window gives the hits, and hits that follow each other in an item and in a document make up longer matches.
+
+A test suffix has `window` words, or what is left of its item; only suffixes with a whole window, and items of fewer
+words as a whole, count as hits.
+
+The items go to the tasks in blocks of BLOCK_BYTES of text, one after another, so what the driver holds and broadcasts
+is bounded. With several blocks the documents are written once with a row number, and each block adds the few rows it
+hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,9 @@ from granary.llm.common import slices, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
+PAIRS = 1 << 21
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -35,175 +40,340 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The windows and suffixes of a block of benchmark items."""
+    """All suffixes of a block of benchmark items, cut at a window, as rows of word numbers."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.item: list[str] = []
-        self.suffix: list[bytes] = []
-        self.need: list[int] = []  # words of the window that starts the suffix
-        self.place: list[int] = []  # consecutive in an item, apart between items
-        at = 0
-        for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            data = np.array(ids, dtype=">u4").tobytes()
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                self.item.append(name)
-                self.suffix.append(data[4 * k :])
-                self.need.append(min(window, len(ids)))
-                self.place.append(at + k)
-            at += len(ids) + 1
-        self.depth = max(map(len, self.suffix), default=0)
-        self.least = min(self.need, default=0)
-
-
-def suffix_array(ids: np.ndarray, least: int, depth: int) -> tuple[list[bytes], list[int]]:
-    """Sorted suffixes that start with at least `least` known words, cut at `depth` bytes, and where they start."""
-    zeros = np.flatnonzero(ids == 0)  # ids end with a 0
-    known = np.flatnonzero(ids)
-    starts = known[zeros[np.searchsorted(zeros, known)] - known >= least]
-    data = ids.astype(">u4").tobytes()
-    order = sorted((data[4 * s : 4 * s + depth], s) for s in starts.tolist())
-    return [k for k, _ in order], [s for _, s in order]
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Equal words at the start of both, not counting unknown ones."""
-    n = min(len(a), len(b)) // 4
-    x, y = np.frombuffer(a, ">u4", n), np.frombuffer(b, ">u4", n)
-    stop = np.flatnonzero((x != y) | (x == 0))
-    return int(stop[0]) if len(stop) else n
-
-
-def longest_matches(test: TestSuffixes, keys: list[bytes], places: list[int]) -> list[tuple[int, int]]:
-    """(words, place) of the longest verbatim match of each test suffix in one shard; (0, -1) where there is none."""
-    out = []
-    for suffix in test.suffix:
-        at, best = bisect_left(keys, suffix), (0, -1)
-        for k in (at - 1, at):
-            if 0 <= k < len(keys):
-                best = max(best, (_common(keys[k], suffix), places[k]))
-        out.append(best)
-    return out
-
-
-def _matches(test: TestSuffixes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(test suffix, place) of all places in the shard where the window of a test suffix stands."""
-    keys, places = suffix_array(ids, test.least, test.depth)
-    at = np.array(places, dtype=np.int64)
-    found: list[tuple[int, np.ndarray]] = []
-    for k, (suffix, need) in enumerate(zip(test.suffix, test.need, strict=True)):
-        window = suffix[: 4 * need]
-        first = bisect_left(keys, window)
-        if first < len(keys) and keys[first].startswith(window):
-            found.append((k, at[first : bisect_left(keys, window + b"\xff" * 4, first)]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.repeat([k for k, _ in found], [len(p) for _, p in found]), np.concatenate([p for _, p in found])
-
-
-def _shard(test: TestSuffixes, docs: list[list[bytes]], hit: list[np.ndarray], items: list[set[str]]) -> list[tuple[int, int]]:
-    """Marks words of the documents in hit and adds to items; returns each document's longest match (words, place)."""
-    lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])
-    ids = np.zeros(int(first[-1]), dtype=np.uint32)
-    get = test.vocab.get
-    for d, s in zip(docs, first, strict=False):
-        ids[s : s + len(d)] = [get(w, 0) for w in d]
-    which, place = _matches(test, ids) if len(ids) else (np.zeros(0, np.int64),) * 2
-    longest = [(0, -1)] * len(docs)
-    if not len(which):
+        self.window, self.names = window, [name for name, _ in items]
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], dtype=np.int64) for _, text in items]
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        self.item = np.repeat(np.arange(len(items)), size)  # of each suffix
+        first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.offset = np.arange(first[-1]) - first[self.item]  # of each suffix in its item
+        left = size[self.item] - self.offset
+        self.need = np.minimum(left, window)
+        self.hits = (left >= window) | (self.offset == 0)  # a window, or a whole short item
+        flat = np.concatenate([*ids, np.zeros(window, dtype=np.int64)])
+        at = np.arange(first[-1])[:, None] + np.arange(window)
+        self.rows = np.where(np.arange(window) < self.need[:, None], flat[at], 0)
+
+
+class SuffixArray:
+    """Sorted places of a shard's known words by the `window` words from there on; an unknown word ends a suffix."""
+
+    def __init__(self, ids: np.ndarray, window: int = WINDOW):
+        self.window = window
+        padded = np.concatenate([ids.astype(np.int64), np.zeros(window, dtype=np.int64)])
+        place = np.flatnonzero(ids)
+        end = np.flatnonzero(padded == 0)
+        known = end[np.searchsorted(end, place)] - place  # words up to the next unknown one
+        full = np.zeros((len(place), window), dtype=np.int32)
+        for k in range(window):
+            full[:, k] = np.where(known > k, padded[place + k], 0)
+        codes = self._levels(full)
+        order = np.argsort(codes, kind="stable")
+        self.place, self.known, self.rows, self.codes = place[order], known[order], full[order], codes[order]
+
+    def _levels(self, rows: np.ndarray) -> np.ndarray:
+        """Ranks of the rows: words are ranked by threes, the ranks by threes again, until a single one is left."""
+        self.levels: list[list[np.ndarray]] = []
+        columns = [rows[:, k].astype(np.int64) * 2 + 1 for k in range(rows.shape[1])]  # odd: known here
+        while len(columns) > 1:
+            level, out = [], []
+            for k in range(0, len(columns), 3):
+                found, code = _ranks(columns[k : k + 3])
+                level.append(found)
+                out.append(code * 2 + 1)
+            self.levels.append(level)
+            columns = out
+        return columns[0] if columns else np.zeros(0, dtype=np.int64)
+
+    def _search(self, rows: np.ndarray) -> np.ndarray:
+        """Codes of other rows in the order of the shard's: odd and equal where a row is the shard's, else even."""
+        columns = [rows[:, k].astype(np.int64) * 2 + 1 for k in range(rows.shape[1])]
+        for level in self.levels:
+            out = []
+            for n, found in enumerate(level):
+                part = columns[3 * n : 3 * n + 3]
+                low = np.zeros(len(rows), dtype=np.int64)
+                high = np.full(len(rows), len(found[0]), dtype=np.int64)
+                for column, values in zip(part, found, strict=True):  # narrow the interval by one word after the other
+                    low, high = _narrow(values, column, low, high)
+                out.append(np.where(high > low, low * 2 + 1, low * 2))
+            columns = out
+        return columns[0]
+
+    def intervals(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each test suffix: the first place that isn't before it, and the interval of places that start with it."""
+        most = np.int64(1 << 29)
+        upper = np.where(np.arange(self.window) < test.need[:, None], test.rows, most)
+        at = np.searchsorted(self.codes, self._search(test.rows), "left")
+        return at, at, np.searchsorted(self.codes, self._search(upper), "right")
+
+
+def _ranks(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns in order, column by column, and each row's number among them."""
+    order = np.lexsort(columns[::-1])
+    ordered = [c[order] for c in columns]
+    new = np.zeros(len(order), dtype=bool)
+    for c in ordered:
+        new[1:] |= c[1:] != c[:-1]
+    if len(new):
+        new[0] = True
+    code = np.empty(len(order), dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    return [c[new] for c in ordered], code
+
+
+def _narrow(values: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In each interval of `values`, sorted inside it, the interval of the wanted value, by binary search."""
+    def edge(after: bool) -> np.ndarray:
+        a, z = low.copy(), high.copy()
+        while True:
+            open_ = np.flatnonzero(a < z)
+            if not len(open_):
+                return a
+            mid = (a[open_] + z[open_]) >> 1
+            go = values[mid] <= wanted[open_] if after else values[mid] < wanted[open_]
+            a[open_[go]] = mid[go] + 1
+            z[open_[~go]] = mid[~go]
+
+    return edge(False), edge(True)
+
+
+def _common(test: TestSuffixes, array: SuffixArray, at: np.ndarray) -> np.ndarray:
+    """Equal words at the start of each test suffix and of the suffix at the given index of the array; -1: no such index."""
+    inside = (at >= 0) & (at < len(array.place))
+    if not len(array.place):
+        return np.full(len(at), -1)
+    same = (array.rows[np.clip(at, 0, len(array.place) - 1)] == test.rows) & (test.rows > 0)
+    return np.where(inside, np.cumprod(same, axis=1).sum(axis=1), -1)
+
+
+class ShardMatches:
+    """What one block of test items has in common with one shard of documents."""
+
+    def __init__(self, test: TestSuffixes, docs: list[list[bytes]]):
+        self.test, self.lengths = test, np.array([len(d) for d in docs], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        ids = np.zeros(int(self.first[-1]), dtype=np.int32)
+        get = test.vocab.get
+        for d, s in zip(docs, self.first, strict=False):
+            ids[s : s + len(d)] = [get(w, 0) for w in d]
+        self.array = SuffixArray(ids, test.window)
+        self.at, self.low, self.high = self.array.intervals(test) if len(test.rows) else (np.zeros(0, np.int64),) * 3
+
+    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(test suffix, place) of the windows found, by whole items, about PAIRS at a time."""
+        count = np.where(self.test.hits, self.high - self.low, 0)
+        which = np.flatnonzero(count)
+        held = np.cumsum(count[which])
+        cut = np.flatnonzero(np.diff(self.test.item[which], prepend=-1))
+        start = 0
+        while start < len(which):
+            done = held[start - 1] if start else 0
+            later = cut[(cut > start) & (held[np.maximum(cut - 1, 0)] - done >= PAIRS)]
+            stop = int(later[0]) if len(later) else len(which)
+            some = which[start:stop]
+            n = count[some]
+            index = np.repeat(self.low[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield np.repeat(some, n), self.array.place[index]
+            start = stop
+
+    def mark(self, hit: list[np.ndarray], items: list[set[str]]) -> list[tuple[int, int]]:
+        """Marks words of the documents in hit and adds to items; returns each document's longest match of a window or
+        more as (words, place), the first of equals."""
+        longest = [(0, -1)] * len(self.lengths)
+        edge = np.zeros(int(self.first[-1]) + 1, dtype=np.int64)
+        seen: set[int] = set()
+        for which, place in self.hits():
+            need, doc = self.test.need[which], np.searchsorted(self.first, place, "right") - 1
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + need, -1)
+            seen.update(np.unique(doc).tolist())
+            pairs = np.unique(np.stack([doc, self.test.item[which]]), axis=1)
+            for d, item in zip(*pairs.tolist(), strict=True):
+                items[d].add(self.test.names[item])
+            for d, n, s in zip(*(x.tolist() for x in self._runs(which, place, need, doc)), strict=True):
+                longest[d] = max(longest[d], (n, s), key=lambda x: (x[0], -x[1]))
+        covered = np.cumsum(edge[:-1]) > 0
+        for d in seen:
+            hit[d] = hit[d] | covered[self.first[d] : self.first[d] + self.lengths[d]]
         return longest
-    need = np.array(test.need)[which]
-    edge = np.zeros(len(ids) + 1, dtype=np.int64)
-    np.add.at(edge, place, 1)
-    np.add.at(edge, place + need, -1)
-    covered = np.cumsum(edge) > 0
-    doc = np.searchsorted(first, place, "right") - 1
-    for d in np.unique(doc):
-        hit[d] = hit[d] | covered[first[d] : first[d] + lengths[d]]
-    for d, name in {(int(d), test.item[w]) for d, w in set(zip(doc.tolist(), which.tolist(), strict=True))}:
-        items[d].add(name)
-    # windows that follow each other in an item and in a document make one longer match
-    line = place - np.array(test.place)[which]
-    order = np.lexsort((place, line))
-    line, place, need, doc = line[order], place[order], need[order], doc[order]
-    new = np.concatenate([[True], (np.diff(line) != 0) | (np.diff(place) != 1)])
-    run = np.flatnonzero(new)
-    size = np.diff(np.append(run, len(line))) - 1 + need[run]
-    for d, n, s in zip(doc[run].tolist(), size.tolist(), (place[run] - first[doc[run]]).tolist(), strict=True):
-        longest[d] = max(longest[d], (n, s), key=lambda x: (x[0], -x[1]))
-    return longest
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+
+    def _runs(self, which: np.ndarray, place: np.ndarray, need: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, words, place in it) of the matches that windows following each other make up."""
+        item, line = self.test.item[which], place - self.test.offset[which]
+        order = np.lexsort((place, line, item))
+        item, line, place, need, doc = (x[order] for x in (item, line, place, need, doc))
+        run = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(line) != 0) | (np.diff(place) != 1)]))
+        size = np.diff(np.append(run, len(line))) - 1 + need[run]
+        return doc[run], size, place[run] - self.first[doc[run]]
+
+    def of_suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each test suffix the words of its longest match in the shard and where one starts (0 words: -1).
+
+        A match of a whole window goes on as long as the next suffix of the item has its window at the next place.
+        """
+        n = len(self.test.rows)
+        before, after = _common(self.test, self.array, self.at - 1), _common(self.test, self.array, self.at)
+        words = np.maximum(np.maximum(before, after), 0)
+        index = np.where(after >= before, self.at, self.at - 1)
+        place = np.where(words > 0, self.array.place[np.clip(index, 0, max(len(self.array.place) - 1, 0))] if len(self.array.place) else -1, -1)
+        longer: dict[int, int] = {}  # place -> words of the match of the suffix after this one, where it has a whole window
+        for k in range(n - 1, -1, -1):
+            own: dict[int, int] = {}
+            if words[k] == self.test.window:
+                same_item = k + 1 < n and self.test.item[k + 1] == self.test.item[k]
+                tail = int(self.test.need[k + 1]) if same_item else 0
+                for p, known in zip(self.array.place[self.low[k] : self.high[k]].tolist(), self.array.known[self.low[k] : self.high[k]].tolist(), strict=True):
+                    own[p] = max(self.test.window, 1 + longer.get(p + 1, 0)) if same_item and tail == self.test.window else min(known, self.test.window)
+                best = max(own.values())
+                words[k], place[k] = best, min(p for p, m in own.items() if m == best)
+            longer = own
+        return words, place
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks there are, and the blocks; each comes to the driver when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).collect()
-        yield sorted((r["i"], r["t"].encode()) for r in rows)
 
+    def blocks():
+        for k in range(n):
+            rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).collect()
+            yield sorted((r["i"], r["t"].encode()) for r in rows)
+
+    return n, blocks()
 
-STATE = ["__hit", "__items", "__long", "__at"]
+
+STATE = {"n": T.LongType(), "hit": T.BinaryType(), "items": T.ArrayType(T.StringType()), "longest": T.IntegerType(), "place": T.IntegerType()}
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n (words), __hit (bits of hit words), __items (sorted item ids), __long and __at (the longest
-    verbatim match in words and where it starts; -1 without one).
+    """docs' columns as c0, c1, ... in their order, whatever they are called, and beside them n (words), hit (bits of hit
+    words), items (sorted item ids), longest and place (the longest verbatim match of a window or more in words, and where
+    it first starts; 0 and -1 without one).
 
-    Null and empty texts have no words. Items whose id or text is null, or whose text has no word, match nothing;
-    rows of one item id count as one item. Repeated documents are marked each; an empty table stays empty. No shuffle.
+    Null and empty texts have no words. Items whose id or text is null, or whose text has no word, match nothing; rows of
+    one item id count as one item. Repeated documents are marked each; an empty table stays empty. No shuffle while the
+    benchmark is one block.
     """
-    own = [f for f in docs.schema if f.name not in [*STATE, "__n"]]
-    state = "__n long, __hit binary, __items array<string>, __long int, __at int"
-    schema = T.StructType(own + T.StructType.fromDDL(state).fields)
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
-    df = docs.select(*(f.name for f in own))
-    for number, items in enumerate(blocks):
-        packed = df.sparkSession.sparkContext.broadcast(items)
-        df = (written(df, "decontamination") if number else df).mapInArrow(_pass(packed, [f.name for f in own], text_col, window, number > 0), schema)
-    return df
-
-
-def _pass(packed, own: list[str], text_col: str, window: int, carried: bool):
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = f"c{docs.columns.index(text_col)}"
+    names = own.columns
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    share = docs.sparkSession.sparkContext.broadcast
+    state = T.StructType([T.StructField(name, kind) for name, kind in STATE.items()])
+    if n == 1:
+        return own.mapInArrow(_pass(share(next(blocks)), own.columns, text, window, every=True), T.StructType(own.schema.fields + state.fields))
+    rows = written(own.withColumn("row", F.monotonically_increasing_id()), "decontamination")
+    found = None
+    for items in blocks:
+        packed = share(items)
+        one = rows.select("row", text).mapInArrow(_pass(packed, ["row"], text, window, every=False), T.StructType([T.StructField("row", T.LongType()), *state.fields]))
+        one = written(one, "hits")  # few rows; the block isn't needed from here on
+        packed.destroy()
+        found = one if found is None else found.unionByName(one)
+    best = F.struct("longest", (-F.col("place")).alias("before"))
+    found = found.groupBy("row").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(best).alias("best"))
+    joined = rows.join(found, "row", "left").select(*own.columns, "hits", "items", "best.longest", (-F.col("best.before")).alias("place"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            counts = [len(words_of(t)) for t in part.column(text).cast(pa.binary()).to_pylist()]
+            hit = []
+            for bits, c in zip(part.column("hits").to_pylist(), counts, strict=True):
+                together = np.zeros(-(-c // 8), dtype=np.uint8)
+                for b in bits or []:
+                    together |= np.frombuffer(b, np.uint8)
+                hit.append(together.tobytes())
+            columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.binary()), pa.array([x or [] for x in part.column("items").to_pylist()], pa.list_(pa.string())), part.column("longest").fill_null(0), part.column("place").fill_null(-1)]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + columns, names=[*names, *STATE])
+
+    return joined.mapInArrow(merge, T.StructType(own.schema.fields + state.fields))
+
+
+def _pass(packed, kept: list[str], text: str, window: int, every: bool):
+    """Marks documents by one block of items; without `every`, rows without a hit are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TestSuffixes(packed.value, window)
-        for part in slices(batches, text_col, 4096, SHARD_BYTES):
-            docs = [words_of(t) for t in part.column(text_col).cast(pa.binary()).to_pylist()]
-            if carried:
-                hit = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(d)).astype(bool) for b, d in zip(part.column("__hit").to_pylist(), docs, strict=True)]
-                items = [set(x) for x in part.column("__items").to_pylist()]
-                before = list(zip(part.column("__long").to_pylist(), part.column("__at").to_pylist(), strict=True))
-            else:
-                hit, items, before = [np.zeros(len(d), dtype=bool) for d in docs], [set() for _ in docs], [(0, -1)] * len(docs)
-            best = [max(a, b, key=lambda x: x[0]) for a, b in zip(before, _shard(test, docs, hit, items), strict=True)]
-            columns = [part.column(c) for c in own] + [pa.array([len(d) for d in docs], pa.int64()), pa.array([np.packbits(h).tobytes() for h in hit], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([b[0] for b in best], pa.int32()), pa.array([b[1] for b in best], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "__n", *STATE])
+        for part in slices(batches, text, 8192, SHARD_BYTES):
+            docs = [words_of(t) for t in part.column(text).cast(pa.binary()).to_pylist()]
+            hit, items = [np.zeros(len(d), dtype=bool) for d in docs], [set() for _ in docs]
+            best = ShardMatches(test, docs).mark(hit, items)
+            rows = [k for k, x in enumerate(items) if every or x]
+            columns = [part.column(c) if every else part.column(c).take(pa.array(rows, pa.int64())) for c in kept]
+            columns += [pa.array([len(docs[k]) for k in rows], pa.int64()), pa.array([np.packbits(hit[k]).tobytes() for k in rows], pa.binary()), pa.array([sorted(items[k]) for k in rows], pa.list_(pa.string()))]
+            columns += [pa.array([best[k][i] for k in rows], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *STATE])
 
     return run
 
 
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item, at, words, doc, place): for each suffix of each test item, from its word `at` on, the longest verbatim match
+    in any document: how many words, in which document, and from which of its words on.
+
+    Of equally long matches, the one of the smallest document id, as text, and place is taken. Suffixes without a single
+    word in common have no row. item and doc are the ids as text; rows of one item id are items of their own, and the
+    longest of them is returned. Tasks keep one best match for each suffix, so what is exchanged is bounded by tasks
+    times suffixes. Null ids and texts take no part; empty tables give no rows.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    schema = "item string, at int, words int, doc string, place int"
+    _, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in blocks:
+        packed = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
+            test = TestSuffixes(packed.value, window)
+            best: dict[int, tuple[int, str, int]] = {}
+            for part in slices(batches, "text", 8192, SHARD_BYTES):
+                shard = ShardMatches(test, [words_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()])
+                if not len(test.rows):
+                    continue
+                words, place = shard.of_suffixes()
+                names = part.column("id").to_pylist()
+                for k in np.flatnonzero(words).tolist():
+                    d = int(np.searchsorted(shard.first, place[k], "right")) - 1
+                    one = (int(words[k]), names[d], int(place[k] - shard.first[d]))
+                    if k not in best or (-one[0], one[1], one[2]) < (-best[k][0], best[k][1], best[k][2]):
+                        best[k] = one
+            order = sorted(best)
+            yield pa.RecordBatch.from_arrays([pa.array([test.names[test.item[k]] for k in order], pa.string()), pa.array([int(test.offset[k]) for k in order], pa.int32()), pa.array([best[k][0] for k in order], pa.int32()), pa.array([best[k][1] for k in order], pa.string()), pa.array([best[k][2] for k in order], pa.int32())], names=["item", "at", "words", "doc", "place"])
+
+        found = found.unionByName(written(rows.mapInArrow(run, schema), "longest"))
+        packed.destroy()
+    best = F.min(F.struct((-F.col("words")).alias("less"), "doc", "place")).alias("b")
+    return found.groupBy("item", "at").agg(best).select("item", "at", (-F.col("b.less")).alias("words"), "b.doc", "b.place")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row for each document: the id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_at.
 
-    items_sha256 is the hex digest of the sorted item ids joined by commas (of the empty string without any).
+    items_sha256 is the hex digest of the sorted item ids joined by commas (of the empty string without any);
+    longest_match counts words, from word longest_at of the document on (0 and -1 without a match of a window).
     """
-    marked = mark(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), benchmark, "__text", **options).drop("__text")
+    marked = mark(docs.select(F.col(id_col), F.col(text_col)).toDF("id", "text"), benchmark, "text", **options).drop("c1")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("longest_match", "integer").add("longest_at", "integer")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = [int.from_bytes(x).bit_count() for x in b.column("__hit").to_pylist()]
-            items = b.column("__items").to_pylist()
-            columns = [b.column("__id"), b.column("__n"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in hit]), b.column("__long"), b.column("__at")]
+            hit = [int.from_bytes(x).bit_count() for x in b.column("hit").to_pylist()]
+            items = b.column("items").to_pylist()
+            columns = [b.column("c0"), b.column("n"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([n > 0 for n in hit]), b.column("longest"), b.column("place")]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return marked.mapInArrow(digest, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold a window of a benchmark item; all columns and other rows stay."""
-    return mark(docs, benchmark, text_col, **options).where(F.size("__items") == 0).drop("__n", *STATE)
+    """docs without the documents that hold a window of a benchmark item; all columns, whatever they are called, and all
+    other rows stay, also null and empty texts and repeated rows; an empty table stays empty."""
+    kept = mark(docs, benchmark, text_col, **options).where(F.size("items") == 0)
+    return kept.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)

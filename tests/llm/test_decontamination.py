@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
+from hypothesis import given, settings, strategies as st
 import numpy as np
 
-from granary.llm.decontamination import TestSuffixes as Suffixes, contamination, decontaminate, longest_matches, suffix_array
+from granary.llm.decontamination import ShardMatches, TestSuffixes as Suffixes, contamination, decontaminate, longest_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -64,11 +66,80 @@ def test_longest_match_and_place(spark):
     assert (row.longest_match, row.longest_at, row.n_hit) == (17, 2, 29)
 
 
-def test_each_test_suffix_has_its_longest_match():
-    test = Suffixes([("a", b"p q r s t u v w x y z")], 3)
-    ids = np.array([test.vocab.get(w, 0) for w in b"q r s . o p q r s t . ".split()] + [0], dtype=np.uint32)
-    keys, places = suffix_array(ids, test.least, test.depth)
-    assert longest_matches(test, keys, places)[:3] == [(5, 5), (4, 6), (3, 7)]
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+LETTERS = st.lists(st.sampled_from("abcdz"), max_size=25).map(" ".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LETTERS.map(lambda t: t.replace("z", "a")), max_size=4), st.lists(LETTERS, max_size=4), st.sampled_from([1, 2, 3, 5, 10]))
+def test_shards_against_brute_force(items, docs, window):
+    test = Suffixes([(str(k), t.encode()) for k, t in enumerate(items)], window)
+    words_ = [d.encode().split() for d in docs]
+    shard, hit, names = ShardMatches(test, words_), [np.zeros(len(d), bool) for d in words_], [set() for _ in docs]
+    longest = shard.mark(hit, names)
+    for d, got_hit, got_names, got in zip(docs, hit, names, longest, strict=True):
+        x, want_hit, want_names, best = d.split(), set(), set(), (0, -1)
+        for k, t in enumerate(items):
+            w = t.split()
+            n = min(window, len(w))
+            for o in range(max(1, len(w) - window + 1) if w else 0):
+                for p in range(len(x) - n + 1):
+                    if x[p : p + n] == w[o : o + n]:
+                        want_hit |= set(range(p, p + n))
+                        want_names.add(str(k))
+                        best = max(best, (common(x[p:], w[o:]), p), key=lambda y: (y[0], -y[1]))
+        assert (set(np.flatnonzero(got_hit)), got_names, got) == (want_hit, want_names, best)
+    suffixes = [t.split()[o:] for t in items for o in range(len(t.split()))]
+    sizes, _ = shard.of_suffixes() if suffixes else ([], [])
+    assert list(sizes) == [max([0, *(common(d.split()[p:], s) for d in docs for p in range(len(d.split())))]) for s in suffixes]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 120])
+def test_longest_match_of_each_test_suffix(spark, block_bytes):
+    docs, items = planted(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    texts = {str(k): words(t) for k, t in docs if k is not None}
+    got = {(r.item, r.at): r for r in longest_matches(d, b, block_bytes=block_bytes).collect()}
+    want = {}
+    for k, t in items:
+        w = words(t) if k is not None else []
+        for o in range(len(w)):
+            found = [(-common(x[p:], w[o:]), name, p) for name, x in texts.items() for p in range(len(x)) if common(x[p:], w[o:])]
+            found += [(-common(words(x)[p:], w[o:]), str(key), p) for key, x in docs if key is not None for p in range(len(words(x))) if common(words(x)[p:], w[o:])]
+            if found:
+                want[str(k), o] = min([*found, *([want[str(k), o]] if (str(k), o) in want else [])])
+    assert {key: -r.words for key, r in got.items()} == {key: x[0] for key, x in want.items()}
+    of = {}
+    for key, x in docs:
+        of.setdefault(str(key), []).append(words(x))
+    by_id = {}
+    for k, t in items:
+        by_id.setdefault(str(k), []).append(words(t))
+    for (item, at), r in got.items():
+        assert any(x[r.place : r.place + r.words] == w[at : at + r.words] and r.words == len(x[r.place : r.place + r.words]) for x in of[r.doc] for w in by_id[item])
+
+
+def test_a_long_item_and_a_long_document(spark):
+    rnd = random.Random(4)
+    item = [f"w{rnd.randrange(500)}" for _ in range(20_000)]
+    doc = ["x", *item[3_000:19_000], "y", *item[:40]]
+    d = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(reversed(item)))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in contamination(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert (rows[1].longest_match, rows[1].longest_at, rows[1].n_hit) == (16_000, 1, 16_040) and not rows[2].contaminated
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["text", "n", "hit", "c0", "a.b", "items", "doc_id", "row"]
+    long = " ".join(f"w{k}" for k in range(12))
+    d = spark.createDataFrame([("clean text", 1, 2, 3, 4, 5, 6, 7), (long, 1, 2, 3, 4, 5, 6, 7), (None, 0, 0, 0, 0, 0, 0, 0)], names)
+    b = spark.createDataFrame([(k, long) for k in range(9)], "item_id long, text string")
+    for options in ({}, {"block_bytes": 100}):
+        kept = decontaminate(d, b, **options)
+        assert kept.columns == names and sorted((tuple(r) for r in kept.collect()), key=str) == [("clean text", 1, 2, 3, 4, 5, 6, 7), (None, 0, 0, 0, 0, 0, 0, 0)]
 
 
 def test_only_contaminated_rows_go_and_columns_stay(spark):
