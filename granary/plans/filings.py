@@ -229,4 +229,43 @@ SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1
     "vector_upsert": "SELECT vec_id AS chunk_id, label, CAST(len(embedding) AS INT) AS n, round(CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[1] ELSE -embedding[1] END AS DOUBLE), 6) AS first FROM embeddings",
     "index_exhibits": "SELECT page_id AS filing, CASE WHEN page_id % 3 = 0 THEN 'ex' || page_id || '.htm' ELSE 'main.htm' END AS document FROM pages",
     "table_counts": """SELECT 'documents' AS "table", count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'financials', NULL""",
+    "section_spans": r"""
+WITH p AS (
+  SELECT page_id AS id, ['10-K', '10-Q', '8-K'][page_id % 3 + 1] AS form, ['PART I', 'Item 1. Business', 'Item 1A. Risk Factors', 'Item 7. MD&A', 'Item 1. Business', rtrim(repeat('body text of this item ', CAST(page_id % 5 + 1 AS INT))),
+    'PART II', 'Item 1A. Risk Factors', rtrim(repeat('body text of this item ', CAST(page_id % 7 + 1 AS INT))), 'Item 2. Something', rtrim(repeat('body text of this item ', CAST(page_id % 3 + 1 AS INT))),
+    'Item 7. MD&A', rtrim(repeat('body text of this item ', CAST(page_id % 4 + 2 AS INT)))] AS lines FROM pages),
+l AS (SELECT id, form, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM p),
+m AS (
+  SELECT *, upper(nullif(regexp_extract(line, '(?i)^part\s+(iv|iii|ii|i)\b', 1), '')) AS part, upper(nullif(regexp_extract(line, '(?i)^item\s+(1a|1b|1c|7a|9a|9b|10|11|12|13|14|15|[1-9])\.?(\s|$)', 1), '')) AS item FROM l),
+w AS (
+  SELECT *, last_value(part IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS in_part,
+    sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n) - length(line) - 1 AS pos, sum(length(line) + 1) OVER (PARTITION BY id) - 1 AS total FROM m),
+heads AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY id ORDER BY n), total) - pos AS span FROM w WHERE item IS NOT NULL),
+named AS (
+  SELECT *, CASE WHEN form = '10-K' THEN CASE item WHEN '1' THEN 'Business' WHEN '1A' THEN 'Risk Factors' WHEN '7' THEN 'MD&A' WHEN '8' THEN 'Financial Statements' END
+    WHEN form = '10-Q' THEN CASE WHEN item = '1' AND in_part = 'I' THEN 'Financial Statements' WHEN item = '2' AND in_part = 'I' THEN 'MD&A' WHEN item = '1A' AND in_part = 'II' THEN 'Risk Factors' END END AS section FROM heads),
+kept AS (SELECT id, n, section FROM named WHERE section IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, item ORDER BY span DESC, pos) = 1),
+started AS (SELECT l.id, l.line, section, count(section) OVER (PARTITION BY l.id ORDER BY l.n) AS k FROM l LEFT JOIN kept USING (id, n))
+SELECT id, coalesce(max(section), 'body') AS section, CAST(sum(length(line) + 1) - 1 AS INT) AS chars
+FROM (SELECT *, max(k) OVER (PARTITION BY id) AS most FROM started) WHERE k > 0 OR most = 0 GROUP BY id, k""",
+    "chunked_documents": r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, lang, n, x, regexp_split_to_array(x, '\s+') AS w FROM (
+    SELECT doc_id, lang, unnest(range(len(a))) AS n, trim(unnest(a), E' \t\n\r\x0b\x0c') AS x FROM (SELECT doc_id, lang, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\f\r]') AS a FROM documents))
+  WHERE x <> ''),
+cut AS (SELECT doc_id, lang, n, x, w, unnest(range(0, len(w), 60)) AS k FROM lines),
+units AS (SELECT doc_id, lang, n, k, least(60, len(w) - k) AS size, CASE WHEN len(w) <= 60 THEN length(x) ELSE length(array_to_string(w[k + 1 : k + 60], ' ')) END AS chars FROM cut),
+d AS (SELECT doc_id, any_value(lang) AS lang, list(size ORDER BY n, k) AS z, list(chars ORDER BY n, k) AS c FROM units GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0 AS k, range(1, 1 + greatest(1, len(list_filter(range(1, len(z) + 1), lambda e: list_sum(z[1 : e]) <= 60)))) AS u FROM d
+  UNION ALL
+  SELECT doc_id, k + 1, list_concat(again, range(nxt, nxt + greatest(1, len(list_filter(range(nxt, len(z) + 1), lambda e: list_sum(z[nxt : e]) <= 60 - coalesce(list_sum(list_transform(again, lambda y: z[y])), 0))))))
+  FROM (
+    SELECT doc_id, k, z, nxt, CASE WHEN size = 0 THEN CAST([] AS BIGINT[]) ELSE before[len(before) - size + 1 :] END AS again FROM (
+      SELECT *, least(coalesce(list_position(list_transform(ends, lambda e: e >= 12), true), len(ends)), len(list_filter(ends, lambda e: e <= least(30, 60 - z[nxt])))) AS size FROM (
+        SELECT *, list_transform(range(1, len(before) + 1), lambda m: list_sum(list_transform(before[len(before) - m + 1 :], lambda y: z[y]))) AS ends FROM (
+          SELECT doc_id, k, z, u[len(u)] + 1 AS nxt, u[1 : len(u) - 1] AS before FROM r JOIN d USING (doc_id) WHERE u[len(u)] < len(z))))))
+SELECT doc_id || '::' || coalesce(nullif(trim(regexp_replace(lower(lang), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'body') || '::' || printf('%04d', k) AS chunk_id,
+  CAST(list_sum(list_transform(u, lambda y: z[y])) AS INT) AS n_tokens, CAST(list_sum(list_transform(u, lambda y: c[y])) + len(u) - 1 AS INT) AS chars
+FROM r JOIN d USING (doc_id)""",
 }
