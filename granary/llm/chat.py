@@ -3,8 +3,9 @@
 Every turn is formatted by itself, so no shuffle is needed: <|im_start|>role, a line break, the content, <|im_end|>, a
 line break. A visitor flattens the parts of a turn in order: text stays, an image, audio or document part becomes a
 placeholder, and its reference and token count are recorded with the placeholder's place. Control strings inside texts
-are escaped by a backslash between < and |, and one more where backslashes stand there already, so no text can hold a
-control string and every text can be had back.
+are escaped by a backslash between < and |, and one more where backslashes stand there already. Neighbouring texts are
+escaped as one, as a control string may be spread over them; so no text can hold one, and every run of texts can be had
+back.
 """
 
 from __future__ import annotations
@@ -44,10 +45,11 @@ def unescape_role(role: str) -> str:
 
 
 class PartVisitor:
-    """Flattens the typed parts of one turn into text, places of attachments and spans of text."""
+    """Flattens the typed parts of one turn into text, places of attachments and spans of runs of texts."""
 
     def __init__(self, at: int):
         self.at, self.out, self.attachments, self.texts, self.expanded = at, [], [], [], 0
+        self.run: list[str] = []  # texts with no attachment between them
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
@@ -56,12 +58,18 @@ class PartVisitor:
         self.out.append(text)
         self.at += len(text)
 
+    def end_run(self) -> None:
+        if self.run:
+            start = self.at
+            self._add(escape("".join(self.run)))
+            self.texts.append((start, self.at))
+            self.run = []
+
     def visit_text(self, part: dict) -> None:
-        start = self.at
-        self._add(escape(part.get("text") or ""))
-        self.texts.append((start, self.at))
+        self.run.append(part.get("text") or "")
 
     def _attach(self, part: dict) -> None:
+        self.end_run()
         n = part.get("n_tokens") or 0
         self.attachments.append({"place": self.at, "type": part["type"], "ref": part.get("ref"), "n_tokens": n})
         self.expanded += n
@@ -77,17 +85,18 @@ def format_turn(role: str | None, parts: list[dict] | None, loss_roles: tuple[st
     head = f"{START}{escape_role(role or '')}\n"
     visitor = PartVisitor(len(head))
     for part in parts or []:
-        visitor.visit(part)
+        visitor.visit(part or {})
+    visitor.end_run()
     loss = [{"start": a, "end": b} for a, b in visitor.texts] if role in loss_roles else []
     return {"formatted": head + "".join(visitor.out) + END + "\n", "loss": loss, "attachments": visitor.attachments, "expanded_tokens": visitor.expanded}
 
 
 def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
-    """A row for each turn: conv_id, turn, formatted, loss (spans of assistants' text in code points), attachments
-    (place of the placeholder, type, ref, n_tokens) and expanded_tokens (their sum).
+    """A row for each turn: conv_id, turn, formatted, loss (spans of assistants' text in code points, one for each run of
+    neighbouring texts), attachments (place of the placeholder, type, ref, n_tokens) and expanded_tokens (their sum).
 
-    A conversation's text is its rows' in ascending turn. Null roles count as empty, null parts and null texts as no
-    text, null counts as 0; an unknown type of part is an error; repeated turns are formatted each; an empty table
+    A conversation's text is its rows' in ascending turn. Null roles count as empty, null parts and null texts as empty
+    texts, null counts as 0; an unknown type of part is an error; repeated turns are formatted each; an empty table
     gives no rows; other columns are not read.
     """
     schema = T.StructType.fromDDL(TURN_SCHEMA)
