@@ -5,8 +5,11 @@ BUCKETS rows of an embedding. A text is the average over all subwords of all its
 classes weigh the same, so a text of unknown subwords gets an even distribution: that is what rejection relies on.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE of them, by a hash of the id and the text), a fifth of
-which calibrates: a temperature fitted to it, and a threshold below which only REJECT of its right answers fall, at
-most MARGIN above an even distribution.
+which calibrates and isn't learned from. A temperature is fitted to it by likelihood, with Platt's targets, which keep the
+temperature finite where languages are separated without an error. The threshold of rejection is found between two sets
+of scores: those of its right answers, and those of the same texts in letters of a script that stands in no training
+text. It lies halfway between the scores that only UNSEEN of the latter stay below and that only REJECT of the former
+fall below; where these overlap, right answers come first.
 Prediction is linear in subword counts, so each word's sum of class scores is computed once and cached.
 """
 
@@ -24,8 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from granary.llm.common import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
-SAMPLE, REJECT, UNKNOWN = 4000, 0.001, "und"
-SMOOTHING, MARGIN = 0.02, 0.15
+SAMPLE, REJECT, UNSEEN, UNKNOWN = 4000, 0.001, 0.999, "und"
+HELD = 5
 CACHE_ENTRIES = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -95,52 +98,69 @@ class LanguageModel:
         return np.array([(self.scores[i] * c[:, None]).sum(axis=0) / c.sum() for i, c in samples])
 
 
-def calibrate(model: LanguageModel, samples: list, labels: np.ndarray, reject: float) -> None:
-    """Fits the temperature by likelihood on a grid, then the threshold of rejection."""
+def in_unseen_letters(text: str | None) -> str:
+    """The text with its letters replaced, one by one, by ideographs: words of the same lengths and repeats in a script
+    that the training texts are taken not to have."""
+    return "".join(chr(0x4E00 + ord(c) * 7919 % 20000) if c.isalpha() else c for c in (text or "").lower())
+
+
+def calibrate(model: LanguageModel, samples: list, labels: np.ndarray, unseen: list, reject: float = REJECT, catch: float = UNSEEN) -> None:
+    """Fits the temperature and the threshold of rejection; unseen: the samples in letters that weren't learned."""
     logits = model.logits(samples)
-    right = np.arange(len(labels))
-    even = 1 / len(model.languages)
+    right, n = np.arange(len(labels)), len(labels)
+    target = np.full(logits.shape, 1 / (n + 2) / max(logits.shape[1] - 1, 1))
+    target[right, labels] = (n + 1) / (n + 2)
 
-    def loss(scale: float) -> float:  # smoothed targets: without them, separable languages would ask for any scale
-        logs = np.log(softmax(logits * scale) + 1e-12)
-        return -((1 - SMOOTHING) * logs[right, labels] + SMOOTHING * logs.mean(axis=1)).sum()
+    def loss(scale: float) -> float:
+        return -(target * np.log(softmax(logits * scale) + 1e-12)).sum()
 
-    model.scale = float(min(np.geomspace(0.02, 20, 161), key=loss))
+    model.scale = float(min(np.geomspace(0.02, 50, 201), key=loss))
     p = softmax(logits * model.scale)
     sure = p.max(axis=1)[p.argmax(axis=1) == labels]
-    model.threshold = float(np.clip(np.quantile(sure, reject) if len(sure) else 0, min(1.2 * even, 0.5), min(even + MARGIN, 0.5)))
+    unsure = softmax(model.logits(unseen) * model.scale).max(axis=1) if unseen else np.zeros(0)
+    allowed = np.quantile(sure, reject) if len(sure) else 0.0
+    needed = np.quantile(unsure, catch) if len(unsure) else 0.0
+    model.threshold = float(min(allowed, (allowed + needed) / 2))
 
 
 def fit_language_model(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, reject: float = REJECT, seed: int = 0) -> LanguageModel:
     """Fits on rows with a language, a text and `learn` true. Without any, every text will be unknown.
 
-    The sample holds at most 2 * sample rows, in expectation `sample`, spread evenly over all labelled rows.
+    The sample holds at most 2 * sample rows, in expectation `sample`, spread evenly over all labelled rows by a hash of
+    id and text. Null ids are no hindrance; rows that are equal in both are drawn together. Texts without a letter teach
+    nothing. With fewer than 50 rows, all of them teach and calibrate.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
+    labelled = labelled.where("lang is not null and text is not null and learn")
     n = labelled.count()
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40))
-    rows = labelled.where(draw < int((1 << 40) * min(1.0, sample / max(n, 1)))).select(draw.alias("draw"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * sample)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 40))
+    rows = labelled.where(draw < int((1 << 40) * min(1.0, sample / max(n, 1)))).select(draw.alias("draw"), "lang", "text").limit(2 * sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for part in slices(batches, "text"):
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-            got = [subword_counts(t, cache) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("lang"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))], names=["draw", "lang", "index", "count"])
-
-    table = rows.mapInArrow(features, "draw long, lang string, index array<int>, count array<int>").toArrow()
-    found = sorted(((d, lang, np.array(i), np.array(c)) for d, lang, i, c in zip(*(table.column(k).to_numpy(zero_copy_only=False) for k in range(4)), strict=True) if len(i)), key=lambda r: (r[0], r[1], len(r[2])))
+            texts, draws = part.column("text").to_pylist(), part.column("draw").to_pylist()
+            got = [subword_counts(t, cache) for t in texts]
+            other = [subword_counts(in_unseen_letters(t), {}) if d % HELD == 0 or n < 50 else ([], []) for t, d in zip(texts, draws, strict=True)]
+            columns = [pa.array([np.asarray(x[k], dtype=np.int32) for x in side], pa.list_(pa.int32())) for side in (got, other) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("lang"), *columns], names=["draw", "lang", "index", "count", "other", "others"])
+
+    table = rows.mapInArrow(features, "draw long, lang string, index array<int>, count array<int>, other array<int>, others array<int>").toArrow()
+    found = sorted(((r[0], r[1], *map(np.array, r[2:])) for r in zip(*(table.column(k).to_numpy(zero_copy_only=False) for k in range(6)), strict=True) if len(r[2])), key=lambda r: (r[0], r[1], len(r[2])))
     languages = sorted({r[1] for r in found})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
     number = {lang: k for k, lang in enumerate(languages)}
     samples, labels = [(r[2], r[3]) for r in found], np.array([number[r[1]] for r in found])
-    held = np.arange(len(found)) % 5 == 4 if len(found) >= 50 else np.ones(len(found), dtype=bool)
-    fit = ~held if len(found) >= 50 else held
+    held = np.array([r[0] % HELD == 0 for r in found])
+    fit = ~held
+    if n < 50 or not held.any() or not fit.any():
+        held = fit = np.ones(len(found), dtype=bool)
     embed, weight = train([s for s, f in zip(samples, fit, strict=True) if f], labels[fit], len(languages), seed=seed)
     model = LanguageModel(languages, embed @ weight, 1.0, 0.0)
-    calibrate(model, [s for s, h in zip(samples, held, strict=True) if h], labels[held], reject)
+    calibrate(model, [s for s, h in zip(samples, held, strict=True) if h], labels[held], [(r[4], r[5]) for r, h in zip(found, held, strict=True) if h and len(r[4])], reject)
     return model
 
 
@@ -213,5 +233,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects; columns and other rows stay as they are."""
-    return _predictions(docs, model, text_col, docs.schema, lambda part, found: part.filter(pa.array([not x[2] for x in found])))
+    """docs without the rows that the model rejects; columns, whatever they are called, and other rows stay as they are.
+
+    Rejected are texts that are null or have no letter, and those whose probability is below the model's threshold.
+    Repeated rows are judged each; an empty table stays empty.
+    """
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    kept = _predictions(own, model, f"c{docs.columns.index(text_col)}", own.schema, lambda part, found: part.filter(pa.array([not x[2] for x in found], pa.bool_())))
+    return kept.toDF(*docs.columns)

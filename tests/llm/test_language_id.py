@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.language_id import Predictor, fit_language_model, keep_known_languages, predict_languages, words_of
-from granary.llm.queries_docs import op4_language_id
+from granary.llm.language_id import LanguageModel, Predictor, calibrate, fit_language_model, in_unseen_letters, keep_known_languages, predict_languages, softmax, words_of
+from granary.llm.queries_docs import held_out, op4_language_id
 
 SYLLABLES = {"aa": ["ba", "na", "ta", "ka"], "bb": ["eux", "ille", "eau"], "cc": ["sch", "ung", "keit"]}
 
@@ -39,6 +41,47 @@ def test_without_labels_and_on_empty_tables(spark):
     assert predict_languages(docs.limit(0), model).collect() == []
 
 
+def test_scores_are_calibrated_and_other_languages_rejected(spark):
+    """On held-out rows, the mean score of a bin of scores lies near its share of right answers."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_language_model(docs, learn=~held_out())
+    rows = predict_languages(docs.where(held_out()), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred != 'und'").collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(min(int(r.score * 10), 9), []).append((r.score, r.lang == r.lang_pred))
+    error = sum(abs(sum(s for s, _ in b) - sum(ok for _, ok in b)) for b in bins.values()) / len(rows)
+    assert len(rows) > 150 and error < 0.04
+    assert 1 / len(model.languages) < model.threshold < 0.9
+    foreign = ["Привет как дела, очень хорошо", "Γειά σου κόσμε τι κάνεις", "これは日本語の文章です", "مرحبا بالعالم كيف حالك"]
+    found = Predictor(model).predict([in_unseen_letters(r.text) for r in docs.where("text is not null").limit(200).collect()])
+    assert all(x[2] for x in Predictor(model).predict(foreign)) and sum(x[2] for x in found) / len(found) > 0.97
+
+
+def test_the_threshold_comes_from_held_out_scores():
+    scores = np.zeros((4, 2), dtype=np.float32)
+    scores[0], scores[1] = (1, -1), (-1, 1)
+    one = lambda bucket, n=1: (np.array([bucket]), np.array([n]))
+    model = LanguageModel(["a", "b"], scores, 1.0, 0.0)
+    labels = np.array([0, 1] * 20)
+    calibrate(model, [one(int(k)) for k in labels], labels, [one(3)] * 40)
+    sure = float(softmax(np.array([[1.0, -1.0]]) * model.scale).max())
+    assert sure > 0.95 and model.threshold == pytest.approx((0.5 + sure) / 2)  # unseen letters have even odds here
+    calibrate(model, [one(int(k)) for k in labels], labels, [one(0)] * 40)
+    assert model.threshold == pytest.approx(float(softmax(np.array([[1.0, -1.0]]) * model.scale).max()))  # no right answer goes
+
+
+def test_rows_without_ids_teach_too(spark):
+    docs = spark.createDataFrame([(None, t, lang) for _, t, lang, _ in corpus(300)], "doc_id long, text string, lang string")
+    assert fit_language_model(docs, sample=200).languages == ["aa", "bb", "cc"]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "naka taba", "x", 2), (2, None, "y", 3)], "`a.b` int, text string, text2 string, rejected int")
+    model = fit_language_model(spark.createDataFrame(corpus(200), "doc_id long, text string, lang string, score double"))
+    kept = keep_known_languages(docs, model)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "naka taba", "x", 2)]
+
+
 def test_words():
     assert words_of("Ab c²d 12 ½ É_x") == ["ab", "c²d", "é", "x"]
 
