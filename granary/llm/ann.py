@@ -4,7 +4,9 @@ Vectors get one more component so that all have the largest norm; then the neare
 largest inner product. Balanced k-means on a bounded sample gives about sqrt(N) centroids, which a graph in memory
 links. Every vector goes to the lists of its nearest centroid and of up to COPIES - 1 others not much farther; a query
 searches the graph and takes all lists whose centroid is at most 1 + PRUNE times as far as the nearest, LEAST_LISTS at
-least. Lists of more than CAP rows are dealt to several tasks, and a query visits them all, so no list is cut.
+least. Lists of more than CAP rows are dealt to several tasks, and a query visits them all, so no list is cut. There are
+at most MOST_LISTS centroids, so what is broadcast is bounded; beyond MOST_LISTS squared rows, lists grow with the table,
+and the work of a query with them.
 
 Scores are inner products of the original vectors in double precision.
 """
@@ -23,7 +25,7 @@ from granary.llm.common import written
 
 SAMPLE, MOST_LISTS = 20_000, 4096
 COPIES, COPY_RATIO, PRUNE, LEAST_LISTS, CAP = 4, 0.3, 0.12, 12, 4096
-DEGREE, SHORTCUTS, BEAM = 20, 6, 48
+DEGREE, SHORTCUTS, BEAM, POOL, EXPAND = 20, 6, 48, 160, 8
 
 
 def augmented(x: np.ndarray, norm: float) -> np.ndarray:
@@ -64,33 +66,45 @@ class CentroidGraph:
     def search(self, x: np.ndarray, ratio: float, beam: int = BEAM) -> np.ndarray:
         """Distances to the centroids that a best-first search sees, infinite for the others.
 
-        The search goes on while it may still expand one of the beam nearest, or one within the ratio of the nearest.
+        Each row keeps a pool of the nearest centroids seen. The search goes on while the pool holds one that isn't
+        expanded and is one of the `beam` nearest, or within the ratio of the nearest; a step works on pools and new
+        centroids only, not on all of them.
         """
         c, k, n = self.centroids, len(self.centroids), len(x)
         squares, own = (c**2).sum(axis=1), (x**2).sum(axis=1)
-        found, open_ = np.full((n, k), np.inf), np.ones((n, k), dtype=bool)
+        found = np.full((n, k), np.inf)
         start = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
         found[:, start] = np.sqrt(np.maximum(own[:, None] + squares[start] - 2 * x @ c[start].T, 0))
-        beam = min(beam, k)
-        alive = np.arange(n)
+        pool, dist = np.full((n, POOL), -1), np.full((n, POOL), np.inf)
+        pool[:, : len(start)], dist[:, : len(start)] = start, found[:, start]
+        done = pool < 0
+        alive, beam = np.arange(n), min(beam, POOL)
         while len(alive):
-            seen = found[alive]
-            limit = np.maximum(np.partition(seen, beam - 1, axis=1)[:, beam - 1], seen.min(axis=1) * (1 + ratio))
-            waiting = np.where(open_[alive], seen, np.inf)
-            pick = np.argpartition(waiting, min(8, k - 1), axis=1)[:, : min(8, k)]
+            near = dist[alive]
+            limit = np.maximum(np.partition(near, beam - 1, axis=1)[:, beam - 1], near.min(axis=1) * (1 + ratio))
+            waiting = np.where(done[alive], np.inf, near)
+            pick = np.argpartition(waiting, EXPAND - 1, axis=1)[:, :EXPAND]
             value = np.take_along_axis(waiting, pick, axis=1)
-            use = np.isfinite(value) & (value <= limit[:, None])
-            row, at = np.nonzero(use)
-            alive = alive[np.unique(row)]
-            if not len(alive):
+            row, at = np.nonzero(np.isfinite(value) & (value <= limit[:, None]))
+            if not len(row):
                 break
-            rows = np.unique(row, return_inverse=True)[1]
-            nodes = pick[row, at]
-            open_[alive[rows], nodes] = False
-            to, who = self.links[nodes].reshape(-1), np.repeat(alive[rows], self.links.shape[1])
-            new = np.isinf(found[who, to])
-            to, who = to[new], who[new]
+            done[alive[row], pick[row, at]] = True
+            who = np.repeat(alive[row], self.links.shape[1])
+            to = self.links[pool[alive[row], pick[row, at]]].reshape(-1)
+            key = np.unique((who * k + to)[np.isinf(found[who, to])])
+            who, to = key // k, key % k
             found[who, to] = np.sqrt(np.maximum(own[who] + squares[to] - 2 * np.einsum("ij,ij->i", x[who], c[to]), 0))
+            alive = alive[np.unique(row)]
+            if not len(key):
+                continue
+            rows, first, size = np.unique(who, return_index=True, return_counts=True)
+            slot = np.arange(len(who)) - np.repeat(first, size)
+            line = np.repeat(np.arange(len(rows)), size)
+            wide = [np.full((len(rows), int(size.max())), fill) for fill in (-1, np.inf, True)]
+            wide[0][line, slot], wide[1][line, slot], wide[2][line, slot] = to, found[who, to], False
+            both = [np.concatenate([old[rows], new], axis=1) for old, new in zip((pool, dist, done), wide, strict=True)]
+            best = np.argpartition(both[1], POOL - 1, axis=1)[:, :POOL]
+            pool[rows], dist[rows], done[rows] = (np.take_along_axis(x_, best, axis=1) for x_ in both)
         return found
 
     def lists_of_vectors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +153,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     """For each row where `queries` holds, its k nearest other rows: query_id, rank (from 1), vec_id, score.
 
     Nearest first; equal scores go by the smaller vec_id. A query that finds fewer than k in the lists it visits is asked
-    again over all lists, so it has fewer rows only where the table has fewer candidates. Null ids, and vectors that are null, zero, of another length than most, or hold null or non-finite
-    components, take no part. Rows of one id count as one candidate, with their best score. An empty table, or one
+    again over all lists, so it has fewer rows only where the table has fewer candidates. Null ids, and vectors that are
+    null, zero, of another length than most, or hold null or non-finite components, take no part. Rows of one id count as one candidate, with their best score. An empty table, or one
     without usable vectors, gives no rows. Other columns are only read for `queries`.
     """
     spark = df.sparkSession

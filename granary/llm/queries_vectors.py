@@ -9,6 +9,7 @@ from granary.llm.common import table
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all others. Unusable vectors take no part; equal scores go by the smaller id."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
