@@ -55,7 +55,11 @@ class PrefixCounter:
         self.vocab = {as_bytes(t) for t in model["vocab"] if all(c in letters for c in t)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.vocab))
+        endings: dict[bytes, set[int]] = {}  # lengths of the entries that end in two given bytes
+        for token in self.vocab:
+            if len(token) > 1:
+                endings.setdefault(token[-2:], set()).add(len(token))
+        self.lengths = {end: sorted(found, reverse=True) for end, found in endings.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.totals = _Totals(self)
         self.regex = regex.compile(PATTERN)
@@ -81,12 +85,12 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Token counts of every byte prefix of one pre-token: n + 1 numbers, from 0."""
-        vocab, pairs, longest = self.vocab, self.pairs, self.longest
+        vocab, pairs, lengths = self.vocab, self.pairs, self.lengths
         count, last = [0], [b""]
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in vocab:
+            for n in (*lengths.get(data[max(end - 2, 0) : end], ()), 1):
+                start, token = end - n, data[max(end - n, 0) : end]
+                if start >= 0 and token in vocab:
                     ok = pairs.get((last[start], token))
                     if ok or (ok is None and self.adjacent(last[start], token)):
                         last.append(token)
@@ -227,7 +231,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, budget: int = 512, id_col:
 def prefix_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and prefix_tokens: element i (from 0) is the token count of the text's first i characters.
 
-    Truncation to a budget and the cost of any cut are look-ups in it. Null and empty texts give [0].
+    Truncation to a budget and the cost of any cut are look-ups in it. Null and empty texts give [0]. Null ids and
+    repeated rows give a row each; an empty table none; other columns are not read.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
     return _mapped(df, id_col, text_col, schema, lambda texts: [pa.array([counter(tokenizer_path).prefixes(t) for t in texts], pa.list_(pa.int32()))])
