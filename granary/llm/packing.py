@@ -97,7 +97,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             first, names, ids, held = first + n, [], [], 0
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for part in slices(batches, "__text", 4096):
+        for part in slices(batches, "__text", 1 << 14, 8 << 20):
             id_type = part.column("__id").type
             names += part.column("__id").to_pylist()
             for x in encode(tokenizer_path, part.column("__text").to_pylist()):

@@ -17,14 +17,17 @@ def tokenizer_file(name: str) -> str:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written and read back. Null texts are just the end id; equal ids stand together in any order."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed. Null texts are just the end id; a document longer than a sequence lies in several."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents. Null texts count as empty; repeated rows are counted each."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), budget=512)
 
 

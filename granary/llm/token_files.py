@@ -152,7 +152,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, turn = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
-        for part in slices(batches, "__text", 4096):
+        for part in slices(batches, "__text", 1 << 14, 8 << 20):
             keys = part.column("__id")
             ids = [np.concatenate([x, end]) for x in encode(tokenizer_path, part.column("__text").to_pylist())]
             data, start, blocks = encode_blocks(ids)
@@ -203,7 +203,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with with_ids the ids.
 
     Starts are sums on two levels: over the parts, of which there are as many as tasks wrote the files, and over the
-    segments of one part. No task sorts all segments.
+    segments of one part. No task sorts all segments. Repeated and null ids have a row for each of their documents; an
+    empty data set gives no rows.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.select("part", "segment", "n_tokens")

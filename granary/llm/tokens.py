@@ -1,9 +1,9 @@
 """Token ids as the tokenizers library gives them, from public tokenizer files.
 
-A text's ids are those of its pre-tokens one after another, and the library's model merges each by itself. So a text is
-cut at single spaces between words, over which no pre-token reaches; a stretch that is new is cut into pre-tokens, and a
-pre-token that is new is given to the library's model. What has been met is looked up. Pre-tokens are known for two
-kinds of files:
+A text's ids are those of its pre-tokens one after another, and the library's model merges each by itself. So texts are
+cut at single spaces between words, over which no pre-token reaches; the different stretches of a slice of texts are cut
+into pre-tokens, and a pre-token that hasn't been met before is given to the library's model. Pre-tokens are known for
+two kinds of files:
 
 - byte-level BPE without a normalizer, where a space belongs to the word after it;
 - lower-casing BPE with word ends, where white space is dropped.
@@ -33,7 +33,7 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 START = "\0"  # marks the first stretch of a text, which has no space before it
-CACHE_STRETCHES, CACHE_PIECES, CACHE_IDS = 250_000, 450_000, 4_000_000
+CACHE_PIECES = 450_000
 
 _LOADED: dict[str, "FastTokenizer"] = {}
 
@@ -58,7 +58,7 @@ class _Pieces(dict):
 
 
 class FastTokenizer:
-    """The library's tokenizer of one file, with the ids of the stretches and pre-tokens it has met."""
+    """The library's tokenizer of one file, with the ids of the pre-tokens it has met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the only parallelism
@@ -74,12 +74,6 @@ class FastTokenizer:
         elif spec["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in norm] == WORD_NORMALIZERS:
             self.fast, self.pieces_of = self._at_white_space, lambda x: WORD_PIECE.findall(x.lower())
         self.pieces = _Pieces(self.library.model)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first = np.zeros(1024, dtype=np.int64)  # where the ids of each known stretch start, and where the last ones end
-        self.ids = np.zeros(4096, dtype="<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,33 +87,19 @@ class FastTokenizer:
     def _at_white_space(self, texts: list[str]) -> pa.ListArray:
         return pc.ascii_split_whitespace(pa.array(texts, pa.string()))
 
-    def _learn(self, stretches: list[str]) -> None:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        of = self.pieces.__getitem__
-        found = [b"".join(map(of, self.pieces_of(x))) for x in stretches]
-        have, start = len(self.number), self.first[len(self.number)]
-        ends = start + np.cumsum([len(x) // 4 for x in found])
-        if have + len(found) >= len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(have + len(found), dtype=np.int64)])
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), dtype="<u4")])
-        self.ids[start : ends[-1]] = np.frombuffer(b"".join(found), dtype="<u4")
-        self.first[have + 1 : have + 1 + len(found)] = ends
-        self.number.update(zip(stretches, range(have, have + len(found)), strict=True))
-
-    def _looked_up(self, cut: pa.ListArray) -> list[np.ndarray]:
+    def _of_stretches(self, cut: pa.ListArray) -> list[np.ndarray]:
         """The ids of texts that are given as their stretches."""
         flat = cut.flatten().dictionary_encode()
-        names, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        if len(self.number) > CACHE_STRETCHES or self.first[len(self.number)] > CACHE_IDS:
-            self.forget()
-        if new := [x for x in names if x not in self.number]:
-            self._learn(new)
-        rows = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
-        start, size = self.first[rows][index], (self.first[rows + 1] - self.first[rows])[index]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        of, pieces_of = self.pieces.__getitem__, self.pieces_of
+        found = [b"".join(map(of, pieces_of(x))) for x in flat.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        known, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        index = flat.indices.to_numpy()
+        size, first = size[index], first[index]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(start - ends[:-1], size) + np.arange(int(ends[-1]))]
+        ids = known[np.repeat(first - ends[:-1], size) + np.arange(int(ends[-1]))]
         offsets = cut.offsets.to_numpy()
         edges = ends[offsets - offsets[0]]
         return [ids[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
@@ -128,7 +108,7 @@ class FastTokenizer:
         """The ids of each text (null: empty) without added tokens."""
         texts = [t or "" for t in texts]
         fits = [self.fast is not None and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        known = iter(self._looked_up(self.fast([t for t, ok in zip(texts, fits, strict=True) if ok]))) if any(fits) else iter(())
+        known = iter(self._of_stretches(self.fast([t for t, ok in zip(texts, fits, strict=True) if ok]))) if any(fits) else iter(())
         whole = (np.frombuffer(x, dtype="<u4") for x in self.whole([t for t, ok in zip(texts, fits, strict=True) if not ok]))
         return [next(known if ok else whole) for ok in fits]
 
