@@ -237,11 +237,17 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """df with one document of each class: that of the smallest id (null before others). Rows without n-grams stay."""
-    rows = _classes(df, id_col, text_col, n, threshold, recall)
-    first = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "thash")).alias("f")).select(F.col("f.id").alias("__id"), F.col("f.thash").alias("__kept"))
-    alone = rows.where("class is null").select(F.col("id").alias("__id"), F.col("thash").alias("__kept"), F.lit(True).alias("__alone")).distinct()
-    kept = written(first.withColumn("__alone", F.lit(False)).unionByName(alone), "kept")
-    found = df.withColumn("__thash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__thash") == F.col("__kept")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__kept").orderBy("__alone"))
-    return found.withColumn("__nth", nth).where("__alone or __nth = 1").select(*(F.col(c) for c in df.columns))
+    """df with one document of each class: that of the smallest id (null before others). Rows without n-grams stay.
+
+    Of repeated rows with n-grams one stays; all columns stay as they are, whatever they are called; an empty table stays
+    empty.
+    """
+    own = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    key, text = f"c{df.columns.index(id_col)}", f"c{df.columns.index(text_col)}"
+    rows = _classes(own, key, text, n, threshold, recall)
+    first = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "thash")).alias("f")).select(F.col("f.id").alias("id"), F.col("f.thash").alias("kept"))
+    alone = rows.where("class is null").select("id", F.col("thash").alias("kept"), F.lit(True).alias("alone")).distinct()
+    kept = written(first.withColumn("alone", F.lit(False)).unionByName(alone), "kept")
+    found = own.withColumn("thash", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("thash") == F.col("kept")))
+    nth = F.row_number().over(Window.partitionBy("id", "kept").orderBy("alone"))
+    return found.withColumn("nth", nth).where("alone or nth = 1").select(*own.columns).toDF(*df.columns)

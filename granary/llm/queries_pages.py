@@ -12,6 +12,7 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages. Null urls and urls without :// have an empty host and path, and the default verdict."""
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark, RULES), "allow")
 
 

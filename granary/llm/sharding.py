@@ -87,7 +87,9 @@ def find_splitters(keyed: DataFrame, total: int, parts: int, every: int, toleran
     while open_:
         intervals = sorted({x for x, _ in open_.values()}, key=lambda x: (x.prefix, x.lo))
         counts = _histogram(keyed, intervals)
-        cells = {x: sorted((b, *counts[n, b]) for m, b in counts if m == n) for n, x in enumerate(intervals)}
+        cells: dict[Interval, list[tuple[int, int, int, int]]] = {x: [] for x in intervals}
+        for (n, b), cell in sorted(counts.items()):
+            cells[intervals[n]].append((b, *cell))
         for j, (x, below) in list(open_.items()):
             target = total * j / parts
             allowed = tolerance * total * every / parts if j % every == 0 else part_tolerance * total / parts

@@ -97,3 +97,13 @@ def test_components(spark):
     assert set(got) == set(group)
     pairs = lambda label: {frozenset(n for n in got if label(n) == v) for v in {label(n) for n in got}}
     assert pairs(got.get) == pairs(find)
+
+
+def test_columns_of_any_name_stay(spark):
+    from granary.llm.ngram_jaccard import keep_one_of_each
+
+    names = ["doc_id", "text", "thash", "nth", "id", "kept", "a.b", "c0"]
+    same = "one two three four five six seven"
+    rows = [(2, same, "x", 1, 2, 3, 4, 5), (1, same, "y", 1, 2, 3, 4, 5), (3, None, "z", 1, 2, 3, 4, 5), (3, None, "z", 1, 2, 3, 4, 5)]
+    kept = keep_one_of_each(spark.createDataFrame(rows, names))
+    assert kept.columns == names and sorted((tuple(r) for r in kept.collect()), key=str) == [rows[1], rows[2], rows[3]]

@@ -1,5 +1,7 @@
 import corpus_pipeline
-from granary.llm.common import purge, table
+from pyspark.sql import functions as F
+
+from granary.llm.common import purge, table, written
 from granary.llm.language_id import UNKNOWN, fit_language_model, predict_languages
 from granary.llm.queries_docs import held_out
 from granary.llm.queries_tokens import tokenizer_file
@@ -46,3 +48,13 @@ def test_run_and_purge(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "packing"]
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert purge(spark) > 0
+
+
+def test_empty_tables_and_other_columns(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = table(spark, SF, "documents").limit(40).withColumn("hit", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("c0", F.lit(3)).withColumn("row", F.lit(4))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+        assert docs.columns[-4:] == ["hit", "a.b", "c0", "row"] and {tuple(r)[-4:] for r in docs.collect()} == {(1, 2, 3, 4)}
