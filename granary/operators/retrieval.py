@@ -8,7 +8,6 @@ the tasks in blocks of bounded bytes.
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -21,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
 from granary.functions.text import bound, occurrences, tokens
-from granary.sources.landing import landed, shared_dir, spread
+from granary.sources.landing import landed, landing_path, spread
 
 QUERY_BYTES = 8 << 20
 
@@ -114,7 +113,7 @@ def load_index(spark: SparkSession, path: str) -> Index:
 
 def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
     """The index of a corpus for this application, in the shared folder."""
-    path = f"{shared_dir(corpus.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    path = landing_path(corpus.sparkSession, "bm25")
     write_index(corpus, path, id_col, text_col)
     return load_index(corpus.sparkSession, path)
 
@@ -278,7 +277,10 @@ def lexical_score(query: Column, text: Column) -> Column:
 
 
 def rerank(hits: DataFrame, queries: DataFrame, top: int = FINAL_TOP, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
-    """Hits with text, scored again and cut. Any hit without text is an error, as a score of nothing means nothing."""
+    """Hits with text, scored again and cut. Any hit without text is an error, as a score of nothing means nothing.
+
+    The scorer is a column of query and text; a model that scores in batches is one as a pandas UDF.
+    """
     asked = queries.select("query_id", F.col("text").alias("query"))
     text = F.when(F.trim("text") == "", F.raise_error(F.lit("a candidate has no text"))).otherwise(F.col("text"))
     scored = hits.select("query_id", "id", F.col("rank").alias("before"), text.alias("text")).join(asked, "query_id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from granary.functions.dates import calendar_label, fiscal_quarter, fiscal_year, period_kind, period_label
 from granary.operators import figures as G
 from granary.operators.sinks import known_or_null, merge_columns, replace_series, upsert
-from granary.sources.landing import landed
+from granary.sources.landing import landed, stored
 from granary.sources.tables import table
 
 TAGS = {"revenue": "Revenues", "gross_profit": "GrossProfit", "eps_diluted": "EarningsPerShareDiluted"}
@@ -43,7 +43,9 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    return G.build_figures(facts(spark, d))
+    """The table of figures, built once in an application for each state of the tables it is made of."""
+    paths = [f"{d}/{name}.parquet" for name in ("orders", "customer", "part", "lineitem")]
+    return stored(spark, "figures", paths, lambda: landed(G.build_figures(facts(spark, d)), "figures"))
 
 
 def fin_build_figures(spark, d):
@@ -99,12 +101,12 @@ def fin_truth(spark, d):
     """The six plans of the numeric questions, for three segments in place of the companies."""
     stand_in = {"NVDA": "BUILDING", "MSFT": "MACHINERY", "JPM": "FURNITURE"}
     plans = {key: (name, params | {"ticker": stand_in[params["ticker"]]}) for key, (name, params) in G.TRUTH_PLANS.items()}
-    return G.truth(landed(rows(spark, d)), plans)
+    return G.truth(rows(spark, d), plans)
 
 
 def financial_evidence(spark, d):
     """Evidence items of three plans; a plan that doesn't exist gives none."""
-    found = landed(rows(spark, d))
+    found = rows(spark, d)
     plans = [("qoq_growth", {"ticker": "BUILDING", "metric": "revenue", "n_quarters": 24}), ("margin_trend", {"ticker": "MACHINERY", "n_quarters": 2}), ("available_metrics", {"ticker": "FURNITURE"}), ("metric_series", {"ticker": "nobody", "metric": "revenue"}), ("drop_table", {})]
     items = [item for name, params in plans if (item := G.evidence_item(found, name, params)) is not None]
     return reduce(DataFrame.unionByName, items)

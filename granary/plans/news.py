@@ -219,4 +219,23 @@ SELECT ticker, feed, pos, url, CASE WHEN feed <> 'yahoo' AND length(url) % 4 <>
     "normalized_vectors": """
 WITH n AS (SELECT vec_id, embedding[1] AS x, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)
 SELECT vec_id, 1.0::DOUBLE AS length, round(x / n, 6) AS first FROM n""",
+    "near_dup_greedy": """
+WITH RECURSIVE v AS (
+  SELECT 'l' || label AS ticker, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, vec_id % 3 = 0 AS red, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k
+  FROM embeddings WHERE embedding IS NOT NULL),
+s AS (
+  SELECT ticker, k, [{'id': id, 'red': red, 'e': e}] AS stay, [{'id': id, 'of': id}] AS lead FROM v WHERE k = 1
+  UNION ALL
+  SELECT ticker, k,
+    CASE WHEN NOT copied THEN list_append(stay, me) WHEN near.red AND NOT me.red THEN list_append(list_filter(stay, lambda x: x.id <> near.id), me) ELSE stay END,
+    CASE WHEN NOT copied THEN list_append(lead, {'id': me.id, 'of': me.id})
+      WHEN near.red AND NOT me.red THEN list_append(list_transform(lead, lambda x: {'id': x.id, 'of': CASE WHEN x.of = near.id THEN me.id ELSE x.of END}), {'id': me.id, 'of': me.id})
+      ELSE list_append(lead, {'id': me.id, 'of': near.id}) END
+  FROM (
+    SELECT ticker, k, stay, lead, me, list_max(sims) > 0 AND list_max(sims) >= 0.35 AS copied, stay[list_position(sims, list_max(sims))] AS near
+    FROM (
+      SELECT s.ticker, v.k, s.stay, s.lead, {'id': v.id, 'red': v.red, 'e': v.e} AS me, list_transform(s.stay, lambda x: list_dot_product(x.e, v.e)) AS sims
+      FROM s JOIN v ON s.ticker = v.ticker AND v.k = s.k + 1)))
+SELECT ticker, x.id AS article_id, x.of <> x.id AS is_duplicate, CASE WHEN x.of <> x.id THEN x.of END AS duplicate_of
+FROM (SELECT ticker, unnest(lead) AS x FROM s QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY k DESC) = 1)""",
 }

@@ -8,16 +8,17 @@ and current if it has a label.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.config import STOPWORDS
 from granary.operators import retrieval as R
-from granary.sources.landing import fingerprint, landed
+from granary.sources.landing import landed, stored
 from granary.sources.tables import table
 
 NARROW = R.Filters(tickers=("en",), doc_types=("src1", "src2", "src3"), columns={"tickers": "lang", "doc_types": "source", "sections": "section", "date": "filing_date"})
 WINDOW = 10
-_INDEXES: dict[tuple, R.Index] = {}
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -35,10 +36,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 def index(spark: SparkSession, d: str) -> R.Index:
     """The corpus' index, built once in an application for each state of the table's files."""
-    key = (spark.sparkContext.applicationId, *fingerprint(spark, f"{d}/documents.parquet"))
-    if key not in _INDEXES:
-        _INDEXES[key] = R.build_index(corpus(spark, d))
-    return _INDEXES[key]
+    return stored(spark, "bm25", [f"{d}/documents.parquet"], lambda: R.build_index(corpus(spark, d)))
 
 
 def searcher(spark: SparkSession, d: str) -> R.Searcher:
@@ -53,6 +51,13 @@ def bm25_filtered_topk(spark, d):
     return R.bm25(corpus(spark, d), asked(spark, d), keep=NARROW.column(), index=index(spark, d))
 
 
+def bm25_dated_topk(spark, d):
+    """Documents of a span of days only; a document without a day is in no span."""
+    day = F.when(F.col("id") % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 700).cast("int")))
+    span = R.Filters(date_from=date(2024, 3, 1), date_to=date(2025, 2, 28))
+    return R.bm25(corpus(spark, d).withColumn("filing_date", day), asked(spark, d), keep=span.column(), index=index(spark, d))
+
+
 def corpus_stats_idf(spark, d):
     return index(spark, d).weights.withColumn("idf", F.round("idf", 6))
 
@@ -191,6 +196,7 @@ def _rrf(anchor: bool, name: str = "hybrid") -> str:
 
 
 _NARROW = "lang = 'en' AND source IN ('src1', 'src2', 'src3')"
+_DATED = "id % 10 <> 0 AND DATE '2024-01-01' + CAST(id % 700 AS INT) BETWEEN DATE '2024-03-01' AND DATE '2025-02-28'"
 _CONTENT = "SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM "
 _SHARE = "round(coalesce(len(list_intersect(list_distinct(qt), dt)) / nullif(len(list_distinct(qt)), 0), 0), 6)"
 _RERANK = f"""
@@ -223,10 +229,11 @@ SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg
   round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness, median(took) AS latency_ms
 FROM rows GROUP BY GROUPING SETS ((mode), (category, mode))"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
 ORACLES = {
     "bm25_topk": f"WITH {_BASE}, {_bm25()} {_CONTENT} bm25",
     "bm25_filtered_topk": f"WITH {_BASE}, {_bm25(_NARROW)} {_CONTENT} bm25",
+    "bm25_dated_topk": f"WITH {_BASE}, {_bm25(_DATED)} {_CONTENT} bm25",
     "corpus_stats_idf": f"WITH {_BASE} SELECT term, df, round(idf, 6) AS idf FROM weights",
     "dense_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {_dense()} {_CONTENT} dense",
     "dense_filtered_topk": f"WITH asked AS (SELECT item_id AS query_id, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {_dense('label IN (1, 3, 5)')} {_CONTENT} dense",

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LANDED: dict[str, list[str]] = {}
+_STORED: dict[str, dict[tuple, object]] = {}
+Made = TypeVar("Made")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,15 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
 def landed(df: DataFrame, label: str = "landed") -> DataFrame:
     """df, computed once, written to the shared folder and read again; it stays until purge()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = landing_path(spark, label)
     df.write.parquet(path)
-    _LANDED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def landing_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which purge() deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _LANDED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored(spark: SparkSession, label: str, paths: list[str], make: Callable[[], Made]) -> Made:
+    """What make() gives, made once in an application for each state of the files at `paths`, until purge()."""
+    known = _STORED.setdefault(spark.sparkContext.applicationId, {})
+    key = (label, *(fingerprint(spark, p) for p in paths))
+    if key not in known:
+        known[key] = make()
+    return known[key]  # type: ignore[return-value]
+
+
 def purge(spark: SparkSession) -> int:
-    """Deletes what landed() wrote in this application; call it once nothing reads it any more. Returns how many."""
+    """Deletes what was landed and stored in this application; call it once nothing reads it any more. Returns how many."""
     jvm, n = spark.sparkContext._jvm, 0
+    _STORED.pop(spark.sparkContext.applicationId, None)
     for name in _LANDED.pop(spark.sparkContext.applicationId, []):
         path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
