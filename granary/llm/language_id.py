@@ -8,8 +8,9 @@ The model is fitted on a bounded sample of labelled rows (SAMPLE of them, by a h
 which calibrates and isn't learned from. A temperature is fitted to it by likelihood, with Platt's targets, which keep the
 temperature finite where languages are separated without an error. The threshold of rejection is found between two sets
 of scores: those of its right answers, and those of the same texts in letters of a script that stands in no training
-text. It lies halfway between the scores that only UNSEEN of the latter stay below and that only REJECT of the former
-fall below; where these overlap, right answers come first.
+text. It lies MARGIN of the way from the score that UNSEEN of the latter stay below to the one that only REJECT of the
+former fall below, nearer to the latter as a text that is kept in error costs less than one that is lost; where the two
+overlap, right answers come first.
 Prediction is linear in subword counts, so each word's sum of class scores is computed once and cached.
 """
 
@@ -28,7 +29,7 @@ from granary.llm.common import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
 SAMPLE, REJECT, UNSEEN, UNKNOWN = 4000, 0.001, 0.999, "und"
-HELD = 5
+HELD, MARGIN = 5, 0.25
 CACHE_ENTRIES = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -120,7 +121,7 @@ def calibrate(model: LanguageModel, samples: list, labels: np.ndarray, unseen: l
     unsure = softmax(model.logits(unseen) * model.scale).max(axis=1) if unseen else np.zeros(0)
     allowed = np.quantile(sure, reject) if len(sure) else 0.0
     needed = np.quantile(unsure, catch) if len(unsure) else 0.0
-    model.threshold = float(min(allowed, (allowed + needed) / 2))
+    model.threshold = float(min(allowed, needed + MARGIN * (allowed - needed)))
 
 
 def fit_language_model(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, reject: float = REJECT, seed: int = 0) -> LanguageModel:

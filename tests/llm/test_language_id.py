@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.language_id import LanguageModel, Predictor, calibrate, fit_language_model, in_unseen_letters, keep_known_languages, predict_languages, softmax, words_of
+from granary.llm.language_id import MARGIN, LanguageModel, Predictor, calibrate, fit_language_model, in_unseen_letters, keep_known_languages, predict_languages, softmax, words_of
 from granary.llm.queries_docs import held_out, op4_language_id
 
 SYLLABLES = {"aa": ["ba", "na", "ta", "ka"], "bb": ["eux", "ille", "eau"], "cc": ["sch", "ung", "keit"]}
@@ -65,7 +65,7 @@ def test_the_threshold_comes_from_held_out_scores():
     labels = np.array([0, 1] * 20)
     calibrate(model, [one(int(k)) for k in labels], labels, [one(3)] * 40)
     sure = float(softmax(np.array([[1.0, -1.0]]) * model.scale).max())
-    assert sure > 0.95 and model.threshold == pytest.approx((0.5 + sure) / 2)  # unseen letters have even odds here
+    assert sure > 0.95 and model.threshold == pytest.approx(0.5 + MARGIN * (sure - 0.5))  # unseen letters have even odds here
     calibrate(model, [one(int(k)) for k in labels], labels, [one(0)] * 40)
     assert model.threshold == pytest.approx(float(softmax(np.array([[1.0, -1.0]]) * model.scale).max()))  # no right answer goes
 
