@@ -25,7 +25,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same on characters on which Python's faster re agrees with it about letters, digits and white space.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ɏ‐-‧]*")
 PLAIN_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES, LONG = 600_000, 48
 
 _LOADED: dict[str, "PrefixCounter"] = {}
 
@@ -59,7 +59,8 @@ class PrefixCounter:
         for token in self.vocab:
             if len(token) > 1:
                 endings.setdefault(token[-2:], set()).add(len(token))
-        self.lengths = {end: sorted(found, reverse=True) for end, found in endings.items()}
+        self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in endings.items()}
+        self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.totals = _Totals(self)
         self.regex = regex.compile(PATTERN)
@@ -84,13 +85,20 @@ class PrefixCounter:
         return known
 
     def byte_counts(self, data: bytes) -> list[int]:
-        """Token counts of every byte prefix of one pre-token: n + 1 numbers, from 0."""
-        vocab, pairs, lengths = self.vocab, self.pairs, self.lengths
-        count, last = [0], [b""]
+        """Token counts of every byte prefix of one pre-token: n + 1 numbers, from 0.
+
+        In a short piece every start is tried; in a long one, only those of entries that end in the same two bytes.
+        """
+        vocab, pairs, lengths, longest = self.vocab, self.pairs, self.lengths, self.longest
+        count, last, long = [0], [b""], len(data) > LONG
         for end in range(1, len(data) + 1):
-            for n in (*lengths.get(data[max(end - 2, 0) : end], ()), 1):
-                start, token = end - n, data[max(end - n, 0) : end]
-                if start >= 0 and token in vocab:
+            if long:
+                starts = [end - n for n in lengths.get(data[max(end - 2, 0) : end], (1,)) if n <= end]
+            else:
+                starts = range(max(0, end - longest), end)
+            for start in starts:
+                token = data[start:end]
+                if token in vocab:
                     ok = pairs.get((last[start], token))
                     if ok or (ok is None and self.adjacent(last[start], token)):
                         last.append(token)

@@ -61,3 +61,14 @@ def test_whole_documents_table_against_the_library(spark):
     assert len(rows) == len(docs)
     ids = [e.ids for e in tokenizer(PATH).library.encode_batch([docs[r.doc_id] or "" for r in rows], add_special_tokens=False)]
     assert [r.n_tokens for r in rows] == [len(x) for x in ids]
+
+
+def test_long_runs():
+    from granary.llm.token_counts import PrefixCounter
+
+    counter = PrefixCounter(PATH)
+    for text in (" " * 300_000, "a" * 300_000, "ab" * 100_000, "\n" * 200_000, "x" + " " * 5000 + "é" * 3000):
+        assert counter.total(text) == library(text)
+    for text in (" " * 700, "abc" * 150, "é" * 200, "-" * 300 + " \n" * 60):
+        counts = counter.prefixes(text)
+        assert [int(counts[k]) for k in range(0, len(text), 37)] == [library(text[:k]) for k in range(0, len(text), 37)]
