@@ -52,8 +52,11 @@ class _Pieces(dict):
         self.tokenize, self.shown = model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
-        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters.translate(self.shown))])
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
+            letters = piece.replace(" ", self.shown[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.shown)
+        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters)])
         return ids
 
 
