@@ -55,13 +55,18 @@ def choose_tags(series: DataFrame) -> DataFrame:
 
 
 def derive_fourth(quarters: DataFrame, annual: DataFrame, nine: DataFrame, by: list[str]) -> DataFrame:
-    """quarters, and the fourth where it is missing: the year less nine months, or less three present quarters."""
+    """quarters, and the fourth where it is missing: the year less nine months, or less three present quarters.
+
+    Differences are taken in decimals of four places, so a fourth of nothing is zero whatever the order of summation.
+    A value that is not finite gives no fourth.
+    """
     key = [*by, "fiscal_year"]
+    exact = F.col("val").try_cast("decimal(28,4)")
     have = quarters.where("fiscal_qtr = 4").select(*key)
-    parts = quarters.where("fiscal_qtr in (1, 2, 3)").groupBy(*key).agg(F.sum("val").alias("three"), F.count("*").alias("m"))
-    rest = annual.join(have, key, "left_anti").join(nine.select(*key, F.col("val").alias("nine")), key, "left").join(parts, key, "left")
+    parts = quarters.where("fiscal_qtr in (1, 2, 3)").groupBy(*key).agg(F.sum(exact).alias("three"), F.count(exact).alias("m"))
+    rest = annual.join(have, key, "left_anti").join(nine.select(*key, exact.alias("nine")), key, "left").join(parts, key, "left")
     three = F.when(F.col("m") == 3, F.col("three"))
-    fourth = rest.withColumn("val", F.col("val") - F.coalesce("nine", three)).where("val is not null").withColumn("fiscal_qtr", F.lit(4)).withColumn("derived", F.lit(True))
+    fourth = rest.withColumn("val", (exact - F.coalesce("nine", three)).cast("double")).where("val is not null").withColumn("fiscal_qtr", F.lit(4)).withColumn("derived", F.lit(True))
     columns = [*key, "fiscal_qtr", "val", "period_end", "accn", "filed", "derived"]
     return quarters.withColumn("derived", F.lit(False)).select(*columns).unionByName(fourth.select(*columns))
 

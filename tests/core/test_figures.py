@@ -39,6 +39,19 @@ def test_build(spark):
     assert not any(m == "gross_profit" for m, _, _ in got)
 
 
+def test_a_fourth_of_nothing_is_zero_and_has_no_margin(spark):
+    """0.1 + 0.2 + 0.3 isn't 0.6 in doubles; the rest of the year must be zero all the same, and no value without end counts."""
+    spans = [("2025-01-01", "2025-03-31"), ("2025-04-01", "2025-06-30"), ("2025-07-01", "2025-09-30")]
+    year = ("2025-01-01", "2025-12-31")
+    facts = [fact(tag, *span, val) for tag in ("Revenues", "GrossProfit") for span, val in zip(spans, (0.1, 0.2, 0.3))]
+    facts += [fact("Revenues", *year, 0.6, form="10-K"), fact("GrossProfit", *year, 0.7, form="10-K"), fact("OperatingIncomeLoss", *year, float("inf"), form="10-K")]
+    facts += [fact("OperatingIncomeLoss", *span, 1) for span in spans]
+    got = rows(spark, facts)
+    assert got["revenue", 2025, 4].value == 0.0 and got["revenue", 2025, 4].derived
+    assert ("gross_margin", 2025, 4) not in got and got["gross_margin", 2025, 3].value == 100.0
+    assert ("operating_income", 2025, 4) not in got
+
+
 def test_growth_is_null_over_a_gap(spark):
     df = spark.createDataFrame([("T", "revenue", y, q, v, "usd") for y, q, v in [(2025, 1, 10.0), (2025, 4, 20.0), (2026, 1, 30.0), (2026, 2, 0.0), (2026, 3, 5.0)]], "ticker string, metric string, fiscal_year int, fiscal_qtr int, value double, unit string")
     got = {(r.fiscal_year, r.fiscal_qtr): r.pct for r in G.qoq_growth(df, "T", n_quarters=9).collect()}
