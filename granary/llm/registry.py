@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_docs", "queries_tokens", "queries_pages", "queries_chat", "queries_vectors")
+MODULES = ("queries_docs", "queries_tokens", "queries_pages", "queries_chat", "queries_vectors", "queries_fim", "queries_mix", "queries_words")
 
 
 def _all(name: str) -> dict:
