@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.config import DUPLICATE_SIMILARITY, EVENT_SIMILARITY, MAX_PER_FEED
-from granary.functions.text import article_id, display_headline, is_redirect, names_company, source_or, topic
+from granary.functions.text import article_id, display_headline, is_redirect, names_company, source_or, strip, topic
 
 
 def _number(df: DataFrame) -> str:
@@ -28,12 +28,14 @@ def collect(items: DataFrame, since: datetime, most: int = MAX_PER_FEED) -> Data
     """Feed items -> articles: the first of each feed, valid, recent, about the company, the first of each url.
 
     items: ticker, feed, feed_order, pos, url, headline, source, published_at. First-party feeds ('ir') are always
-    about their company. Urls are first seen in order of feed and position.
+    about their company. Urls and headlines lose white space at their ends before anything looks at them. Urls are first
+    seen in order of feed and position.
     """
     own = items.columns
+    items = items.withColumns({"url": strip(F.col("url")), "headline": strip(F.col("headline"))})
     nth = F.row_number().over(Window.partitionBy("ticker", "feed").orderBy("pos"))
     kept = _numbered(items, nth).where(F.col(_number(items)) <= most).select(*own).where(
-        (F.coalesce(F.trim("url"), F.lit("")) != "") & (F.coalesce(F.trim("headline"), F.lit("")) != "") & (F.col("published_at") >= F.lit(since)) & ((F.col("feed") == "ir") | names_company(F.col("headline"), F.col("ticker")))
+        (F.coalesce("url", F.lit("")) != "") & (F.coalesce("headline", F.lit("")) != "") & (F.col("published_at") >= F.lit(since)) & ((F.col("feed") == "ir") | names_company(F.col("headline"), F.col("ticker")))
     )
     seen = F.row_number().over(Window.partitionBy("ticker", "url").orderBy("feed_order", "pos"))
     kept = _numbered(kept, seen).where(F.col(_number(kept)) == 1).select(*own)

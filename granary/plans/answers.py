@@ -10,6 +10,7 @@ from granary.operators import answers as A
 from granary.operators.routing import route, with_model
 from granary.sources.tables import table
 
+ARABIC = "٠١٢٣٤٥٦٧٨٩"
 NOW = datetime(2026, 9, 12, 12)
 _ASKED = ["What was NVDA revenue last quarter", "Why did JPMorgan revenue decline", "What risk factors does MSFT disclose in its 10-K", "What happened to JPM in the past 3 days", "Compare NVDA and MSFT revenue growth", "Does the recent NVDA news match what they said in the 10-K", "Tell me more"]
 
@@ -39,12 +40,14 @@ def citation_check(spark, d):
 
 
 def figure_extract(spark, d):
-    """Checkable figures of four kinds of sentences about an order's number; a label's number is none."""
+    """Checkable figures of four kinds of sentences about an order's number, some in digits of another script; a label's
+    number is none."""
     k = F.col("o_orderkey")
     n = k.cast("string")
+    written = F.when(k % 8 == 1, F.translate(n, "0123456789", ARABIC)).otherwise(n)
     text = F.element_at(F.array(
         F.concat(F.lit("It cost $"), F.format_string("%.2f", F.round("o_totalprice", 2)), F.lit(" then.")),
-        F.concat(F.lit("Up "), n, F.lit(" percent, not 7 points.")),
+        F.concat(F.lit("Up "), written, F.lit(" percent, not 7 points.")),
         F.concat(F.lit("About €"), n, F.lit(".5 million of it in 3 plants.")),
         F.concat(F.lit("Section "), n, F.lit(".1 lists 1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" units.")),
     ), (k % 4 + 1).cast("int"))
@@ -160,8 +163,8 @@ SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_append(ok, 3))),
   CASE WHEN len(bad) = 0 THEN head || ' [' || x || ', ' || y || '] , with  priority [3].'
     ELSE head || CASE WHEN len(ok) = 0 THEN '' ELSE ' [' || array_to_string(ok, ', ') || ']' END || ', with priority [3].' END AS cleaned
 FROM c""",
-    "figure_extract": """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || printf('%.2f', round(o_totalprice, 2)) WHEN 1 THEN o_orderkey || ' percent' WHEN 2 THEN '€' || o_orderkey || '.5 million' ELSE '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') END AS raw,
+    "figure_extract": f"""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || printf('%.2f', round(o_totalprice, 2)) WHEN 1 THEN CASE WHEN o_orderkey % 8 = 1 THEN translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{ARABIC}') ELSE CAST(o_orderkey AS VARCHAR) END || ' percent' WHEN 2 THEN '€' || o_orderkey || '.5 million' ELSE '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') END AS raw,
   round(CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN o_orderkey WHEN 2 THEN (o_orderkey + 0.5::DOUBLE) * 1e6 ELSE 1000 + o_orderkey % 1000 END, 4) AS value,
   CASE o_orderkey % 4 WHEN 0 THEN 0.005::DOUBLE WHEN 2 THEN 50000.0::DOUBLE ELSE 0.5::DOUBLE END AS half, o_orderkey % 4 <> 2 AS unscaled
 FROM orders""",
@@ -211,7 +214,7 @@ FROM conversations WHERE role = 'user'""",
 
 
 def headline_gate(spark, d):
-    """Summaries composed of orders, with claims of every kind in one of 3 to 13 of them."""
+    """Summaries composed of orders, with claims of every kind in one of 3 to 17 of them."""
     from granary.operators.headlines import DECLINE, gate
 
     k = F.col("o_orderkey")
@@ -222,6 +225,7 @@ def headline_gate(spark, d):
         F.when(k % 7 == 0, F.lit("Traders abroad expect lower margins. ")).otherwise(F.lit("")),
         F.when(k % 11 == 0, F.lit("The step is likely of use to rivals. ")).otherwise(F.lit("")),
         F.when(k % 13 == 0, F.lit("So says [9]. ")).otherwise(F.lit("")),
+        F.when(k % 17 == 0, F.lit("Residue to be cleaned, based on the headlines. Sales fell due to tariffs. ")).otherwise(F.lit("")),
         F.when(k % 5 != 0, F.lit(DECLINE)).otherwise(F.lit("")),
     )
     rows = table(spark, d, "orders").select("o_orderkey", text.alias("summary"), F.array(F.lit("Chip maker opens plant in Texas")).alias("headlines"), F.array(F.to_date("o_orderdate")).alias("days"))
@@ -243,7 +247,7 @@ def validation_ab(spark, d):
 QUERIES |= {f.__name__: f for f in (headline_gate, validation_ab)}
 ORACLES |= {
     "headline_gate": """
-SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'invented figure' END, CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported attribution' END, CASE WHEN o_orderkey % 3 = 0 THEN 'asserted cause' END,
+SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'invented figure' END, CASE WHEN o_orderkey % 7 = 0 THEN 'unsupported attribution' END, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 17 = 0 THEN 'asserted cause' END,
   CASE WHEN o_orderkey % 11 = 0 THEN 'unsupported projection' END, CASE WHEN o_orderkey % 13 = 0 THEN 'bad citation' END, CASE WHEN o_orderkey % 5 = 0 THEN 'does not decline' END) AS violations,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS INT) AS declined FROM orders""",
     "validation_ab": """

@@ -84,12 +84,14 @@ def cluster_events(spark, d):
 
 
 def _items(spark, d):
-    """Feed items of the events: three feeds, urls that come again, headlines of which a quarter don't name the company."""
+    """Feed items of the events: three feeds, urls that come again, some with spaces around them, headlines of which a
+    quarter don't name the company."""
     k = F.col("event_id")
+    blank = F.when(F.floor(k / 40) % 2 == 1, F.lit(" \t")).otherwise(F.lit(""))
     feed = (k % 3).cast("int")
     return table(spark, d, "events").select(
         F.col("event_type").alias("ticker"), F.element_at(F.array(F.lit("ir"), F.lit("yahoo"), F.lit("google")), feed + 1).alias("feed"), feed.alias("feed_order"), k.alias("pos"),
-        F.when(k % 17 != 0, F.concat(F.lit("https://example.com/"), (k % 40).cast("string"))).alias("url"),
+        F.when(k % 17 != 0, F.concat(blank, F.lit("https://example.com/"), (k % 40).cast("string"), blank)).alias("url"),
         F.when(k % 4 != 0, F.concat(F.lit("All about "), "event_type", F.lit(" revenue"))).otherwise("All about others").alias("headline"),
         F.when(k % 5 != 0, F.lit("Wire")).otherwise("").alias("source"), F.col("ts").alias("published_at"), "value",
     )

@@ -98,3 +98,12 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n
+
+
+def test_links_and_headlines_are_trimmed_before_use(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 5, 1)
+    rows = [("ACME", "ir", 0, 1, " http://x", " Acme opens\t", "", at), ("ACME", "ir", 0, 2, "http://x\n", "Acme opens", "", at), ("ACME", "ir", 0, 3, " \t", "Acme", "", at), ("ACME", "ir", 0, 4, "http://y", "\u00a0", "", at)]
+    got = N.collect(spark.createDataFrame(rows, "ticker string, feed string, feed_order int, pos int, url string, headline string, source string, published_at timestamp"), datetime(2024, 1, 1)).collect()
+    assert [(r.url, r.headline, r.pos) for r in got] == [("http://x", "Acme opens", 1)]
