@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
 from granary.functions.text import bound, occurrences, tokens
+from granary.operators.postings import blocks_of, query_blocks, search_blocks, shard_of, shards_for
 from granary.sources.landing import landed, landing_path, spread
 
 QUERY_BYTES = 8 << 20
@@ -82,14 +83,16 @@ def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> D
 
 @dataclass(frozen=True)
 class Index:
-    """A corpus ready for BM25: postings (id, term, tf, dl), size (n, avgdl; one row) and weights (term, df, idf)."""
+    """A corpus ready for BM25: postings (id, term, tf, dl), size (n, avgdl, shards; one row), weights (term, df, idf), and
+    blocks, the postings' impacts by shard and term."""
 
     postings: DataFrame
     size: DataFrame
     weights: DataFrame
+    blocks: DataFrame
 
 
-PARTS = ("postings", "size", "weights")
+PARTS = ("postings", "size", "weights", "blocks")
 
 
 def write_index(corpus: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
@@ -97,8 +100,13 @@ def write_index(corpus: DataFrame, path: str, id_col: str = "id", text_col: str
     spark = corpus.sparkSession
     postings(corpus, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
     index = spark.read.parquet(f"{path}/postings")
-    corpus_size(corpus, index).write.mode("overwrite").parquet(f"{path}/size")
-    term_weights(index, spark.read.parquet(f"{path}/size")).write.mode("overwrite").parquet(f"{path}/weights")
+    shards = shards_for(index.count(), spark.sparkContext.defaultParallelism)
+    corpus_size(corpus, index).withColumn("shards", F.lit(shards)).write.mode("overwrite").parquet(f"{path}/size")
+    size = spark.read.parquet(f"{path}/size")
+    term_weights(index, size).write.mode("overwrite").parquet(f"{path}/weights")
+    long = 1 - BM25_B + BM25_B * F.col("dl") / size.select("avgdl").scalar()
+    impacts = index.select("id", "term", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * long)).alias("impact"))
+    blocks_of(impacts, shards).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -133,21 +141,28 @@ def term_weights(index: DataFrame, size: DataFrame) -> DataFrame:
     return raw.withColumn("floor", floor).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, top: int = SPARSE_TOP, keep: Column | None = None, id_col: str = "id", text_col: str = "text", index: Index | None = None) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, top: int = SPARSE_TOP, keep: Column | None = None, id_col: str = "id", text_col: str = "text", index: Index | None = None, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id, score): Okapi scores over whole-corpus statistics, filtered before the cut, above 0 only.
 
     queries: (query_id, text). A query's repeated terms count each time. `keep` is a condition on the corpus' columns.
-    Without an index one is built. Postings of other terms than the queries' end at the join with the few query terms.
+    Without an index one is built. Only lists of the queries' terms are read; of these, blocks that can't change a result
+    are skipped (postings.py). Queries go to the tasks in blocks of at most about block_bytes.
     """
+    spark = corpus.sparkSession
     index = index or build_index(corpus, id_col, text_col)
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.weights.join(asked.select("term").distinct(), "term", "left_semi"), "term")
-    rows = index.postings if keep is None else index.postings.join(corpus.where(keep).select(F.col(id_col).alias("id")), "id", "left_semi")
-    hits = rows.join(weighted, "term").withColumn("avgdl", index.size.select("avgdl").scalar())
-    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored.where("score > 0"), top, "id").select("query_id", "rank", "id", "score")
+    asked = queries.select("query_id", tokens(F.col("text")).alias("terms"))
+    kept = None
+    if keep is not None:
+        ids = corpus.where(keep).select(F.col(id_col).alias("id")).withColumn("shard", shard_of(F.col("id"), index.size.select("shards").scalar()))
+        kept = ids.groupBy("shard").agg(F.collect_set("id").alias("ids"))  # at most a shard's texts
+    kind = queries.schema["query_id"].dataType
+    found = None
+    for names, terms in query_blocks(asked, index.weights, block_bytes):
+        hits = search_blocks(index.blocks, kept, names, terms, kind, top)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("id", corpus.schema[id_col].dataType), T.StructField("score", T.DoubleType())]))
+    return ranked(found, top, "id").select("query_id", "rank", "id", "score")
 
 
 # --- dense --------------------------------------------------------------------

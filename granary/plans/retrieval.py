@@ -29,9 +29,12 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return items.join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id", "left")
+    return items(spark, d).join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id", "left")
 
 
 def index(spark: SparkSession, d: str) -> R.Index:
@@ -44,18 +47,18 @@ def searcher(spark: SparkSession, d: str) -> R.Searcher:
 
 
 def bm25_topk(spark, d):
-    return R.bm25(corpus(spark, d), asked(spark, d), index=index(spark, d))
+    return R.bm25(corpus(spark, d), items(spark, d), index=index(spark, d))
 
 
 def bm25_filtered_topk(spark, d):
-    return R.bm25(corpus(spark, d), asked(spark, d), keep=NARROW.column(), index=index(spark, d))
+    return R.bm25(corpus(spark, d), items(spark, d), keep=NARROW.column(), index=index(spark, d))
 
 
 def bm25_dated_topk(spark, d):
     """Documents of a span of days only; a document without a day is in no span."""
     day = F.when(F.col("id") % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 700).cast("int")))
     span = R.Filters(date_from=date(2024, 3, 1), date_to=date(2025, 2, 28))
-    return R.bm25(corpus(spark, d).withColumn("filing_date", day), asked(spark, d), keep=span.column(), index=index(spark, d))
+    return R.bm25(corpus(spark, d).withColumn("filing_date", day), items(spark, d), keep=span.column(), index=index(spark, d))
 
 
 def corpus_stats_idf(spark, d):
