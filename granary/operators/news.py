@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.config import DUPLICATE_SIMILARITY, EVENT_SIMILARITY, MAX_PER_FEED
 from granary.functions.text import article_id, display_headline, is_redirect, names_company, source_or, strip, topic
+from granary.operators.retrieval import normalized
+from granary.operators.similar import BLOCK, MOST, copies, linked
+from granary.sources.landing import landed
 
 
 def _number(df: DataFrame) -> str:
@@ -110,41 +113,39 @@ def greedy_leaders(vectors: np.ndarray, redirects: list[bool], threshold: float)
     return points.tolist()
 
 
-def mark_copies(articles: DataFrame, threshold: float = DUPLICATE_SIMILARITY, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """articles (ticker, article_id, published_at, url, vector) with is_duplicate and duplicate_of.
+def _group(by: tuple[str, ...]) -> Column:
+    """One text for the values of some columns, nulls included."""
+    return F.to_json(F.struct(*by))
 
-    Later decisions depend on earlier ones, so one group is one task's fold: a company's, or with more columns in `by`, such
-    as the look-back window that a run covers, a company's in that window. Rows without a vector stay as they are.
-    """
-    kinds = ", ".join(f"{c} {articles.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{kinds}, article_id string, is_duplicate boolean, duplicate_of string"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published_at", "article_id"]).reset_index(drop=True)
-        lead = greedy_leaders(np.stack(pdf["vector"].to_list()).astype(float), pdf["redirect"].to_list(), threshold)
-        copies = [k != v for k, v in enumerate(lead)]
-        out = pd.DataFrame({"article_id": pdf["article_id"], "is_duplicate": copies, "duplicate_of": [pdf["article_id"][v] if c else None for v, c in zip(lead, copies, strict=True)]})
-        return pd.concat([pdf[list(by)], out], axis=1)
+def mark_copies(articles: DataFrame, threshold: float = DUPLICATE_SIMILARITY, by: tuple[str, ...] = ("ticker",), block: int = BLOCK) -> DataFrame:
+    """articles (ticker, article_id, published_at, url, vector) with is_duplicate and duplicate_of.
 
-    marks = articles.where("vector is not null").select(*by, "article_id", "published_at", is_redirect(F.col("url")).alias("redirect"), "vector").groupBy(*by).applyInPandas(fold, schema)
-    own = articles.drop("is_duplicate", "duplicate_of").join(marks, [*by, "article_id"], "left")
-    return own.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    The decisions of greedy_leaders() in each group of `by`, over as many tasks as it takes (similar.py): a company's
+    articles, or with more columns those of a company's window. Rows without a vector stay as they are.
+    """
+    own = articles.drop("is_duplicate", "duplicate_of")
+    items = own.where("vector is not null").select(_group(by).alias("group"), F.col("article_id").cast("string").alias("article_id"), "published_at", F.coalesce(is_redirect(F.col("url")), F.lit(False)).alias("redirect"), F.col("vector").cast("array<double>").alias("v"))
+    found = copies(landed(items, "items"), threshold, block).select(F.col("group").alias("__group"), F.col("article_id").alias("__id"), F.col("target").alias("duplicate_of"))
+    marked = own.join(found, (_group(by) == F.col("__group")) & (F.col("article_id").cast("string") == F.col("__id")), "left").drop("__group", "__id")
+    return marked.withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
+def average_linkage(vectors: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> list[int]:
     """Cluster numbers: the two clusters of the smallest mean cosine distance merge while it is below 1 - threshold.
 
     By chains of nearest neighbours over sums of unit vectors, so memory is linear in the items: the mean distance of two
     clusters is 1 - (sum . sum) / (size * size). No merge brings a cluster nearer to others than its parts were, so two
     that are nearest to each other may merge at once, and one whose nearest is at the cut or beyond is done. The clusters
-    are those of the greedy order, but for exactly equal distances.
+    are those of the greedy order, but for exactly equal distances. weights: how many equal items a vector stands for.
     """
     cut = 1 - threshold
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
     n = len(unit)
-    total, size, parent = unit.astype(float).copy(), np.ones(n), np.arange(n)
+    size, parent = np.ones(n) if weights is None else weights.astype(float).copy(), np.arange(n)
+    total = unit * size[:, None]
     names, at = np.arange(n), np.arange(n)  # the cluster of each kept row, and the row of each cluster
-    mean, open_ = total.copy(), np.ones(n, dtype=bool)
+    mean, open_ = unit.astype(float).copy(), np.ones(n, dtype=bool)
     left, chain = n, []
     while left > 1:
         if 2 * left < len(names):  # leave out rows that are done
@@ -179,30 +180,23 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
     return parent.tolist()
 
 
-def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
+def cluster_events(articles: DataFrame, threshold: float = EVENT_SIMILARITY, by: tuple[str, ...] = ("ticker",), block: int = BLOCK, most: int = MOST) -> DataFrame:
     """articles with event_id: live ones by cluster, named after the cluster's first, copies with their original.
 
-    One group of `by` is one task's fold, as in mark_copies(); live rows without a vector are in no event.
+    Clusters are those of average_linkage() in each group of `by`, over as many tasks as it takes (similar.py); live rows
+    without a vector are in no event.
     """
-    kinds = ", ".join(f"{c} {articles.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{kinds}, article_id string, event_id string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.sort_values(["published_at", "article_id"]).reset_index(drop=True)
-        labels = average_linkage(np.stack(pdf["vector"].to_list()).astype(float), threshold)
-        first = {}
-        for label, ticker, article in zip(labels, pdf["ticker"], pdf["article_id"], strict=True):
-            first.setdefault(label, f"evt-{ticker}-{hashlib.sha1(f'{ticker}:{article}'.encode()).hexdigest()[:12]}")
-        return pd.concat([pdf[list(by)], pd.DataFrame({"article_id": pdf["article_id"], "event_id": [first[x] for x in labels]})], axis=1)
-
-    live = articles.where("not is_duplicate and vector is not null").select("ticker", *[c for c in by if c != "ticker"], "article_id", "published_at", "vector").groupBy(*by).applyInPandas(fold, schema)
-    own = articles.drop("event_id").join(live, [*by, "article_id"], "left")
-    of = live.select(*by, F.col("article_id").alias("duplicate_of"), F.col("event_id").alias("of_original")).alias("of")
-    event = F.coalesce(F.col("own.event_id"), F.col("of.of_original")).alias("event_id")
-    joined = own.alias("own").join(of, [*by, "duplicate_of"], "left")
-    return joined.select(*(F.col(f"own.{c}") for c in own.columns if c not in ("event_id", *by, "duplicate_of")), *by, "duplicate_of", event)
+    own = articles.drop("event_id")
+    live = own.where("not is_duplicate and vector is not null")
+    unit = F.transform(normalized(F.col("vector").cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
+    items = live.select(_group(by).alias("group"), F.col("article_id").cast("string").alias("article_id"), F.col("ticker").cast("string").alias("ticker"), "published_at", unit.alias("v"))
+    members, clusters = linked(landed(items, "items"), threshold, average_linkage, block, most)
+    placed = landed(members.join(clusters, "class", "left").withColumn("cluster", F.coalesce("cluster", "class")), "placed")
+    first = placed.groupBy("cluster").agg(F.min(F.struct("published_at", "article_id", "ticker")).alias("first"))
+    name = F.concat(F.lit("evt-"), F.col("first.ticker"), F.lit("-"), F.substring(F.sha1(F.concat("first.ticker", F.lit(":"), "first.article_id").cast("binary")), 1, 12))
+    events = landed(placed.join(first.select("cluster", name.alias("event_id")), "cluster").select(F.col("group").alias("__group"), F.col("article_id").alias("__id"), "event_id"), "events")
+    of = F.when(F.col("is_duplicate"), F.col("duplicate_of")).otherwise(F.col("article_id").cast("string"))
+    return own.join(events, (_group(by) == F.col("__group")) & (of == F.col("__id")), "left").drop("__group", "__id")
 
 
 def feed_histogram(articles: DataFrame) -> DataFrame:
