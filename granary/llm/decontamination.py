@@ -5,7 +5,10 @@ documents) with a suffix array over all places of known words, as deep as a wind
 ranked by their first three words, then by three such ranks, then by one word more; so it is a few arrays of integers,
 whatever the length of an item. Every suffix of every test item, the short ones at an item's end too, is searched in
 every shard: its neighbours in the array give a longest match of less than a window, the interval of places that start
-with its window gives the hits, and hits that follow each other in an item and in a document make up longer matches.
+with its window gives the hits. An interval is walked once however many suffixes share it, so items and documents that
+repeat themselves cost no more than their lengths. The windows that items and documents share are numbered, and a second
+suffix array over these numbers, as deep as their runs, gives the longest matches: the common prefix of a suffix with its
+neighbours of the other side.
 
 A test suffix has `window` words, or what is left of its item; only suffixes with a whole window, and items of fewer
 words as a whole, count as hits.
@@ -31,7 +34,6 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
-PAIRS = 1 << 21
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -165,77 +167,145 @@ class ShardMatches:
         self.array = SuffixArray(ids, test.window)
         self.at, self.low, self.high = self.array.intervals(test) if len(test.rows) else (np.zeros(0, np.int64),) * 3
 
-    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(test suffix, place) of the windows found, by whole items, about PAIRS at a time."""
-        count = np.where(self.test.hits, self.high - self.low, 0)
-        which = np.flatnonzero(count)
-        held = np.cumsum(count[which])
-        cut = np.flatnonzero(np.diff(self.test.item[which], prepend=-1))
-        start = 0
-        while start < len(which):
-            done = held[start - 1] if start else 0
-            later = cut[(cut > start) & (held[np.maximum(cut - 1, 0)] - done >= PAIRS)]
-            stop = int(later[0]) if len(later) else len(which)
-            some = which[start:stop]
-            n = count[some]
-            index = np.repeat(self.low[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            yield np.repeat(some, n), self.array.place[index]
-            start = stop
+        found = np.flatnonzero(np.where(self.test.hits, self.high - self.low, 0)) if len(self.at) else np.zeros(0, np.int64)
+        key = self.low[found] * (test.window + 1) + test.need[found]
+        _, one, self.number = np.unique(key, return_index=True, return_inverse=True)
+        self.found, windows = found, found[one]  # suffixes that hit, and one of each different window
+        n = self.high[windows] - self.low[windows]
+        self.of = np.repeat(np.arange(len(windows)), n)  # the window of each hit place; the intervals hold a place once for each length
+        self.place = self.array.place[np.repeat(self.low[windows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        self.need = test.need[windows][self.of]
 
     def mark(self, hit: list[np.ndarray], items: list[set[str]]) -> list[tuple[int, int]]:
         """Marks words of the documents in hit and adds to items; returns each document's longest match of a window or
         more as (words, place), the first of equals."""
         longest = [(0, -1)] * len(self.lengths)
-        edge = np.zeros(int(self.first[-1]) + 1, dtype=np.int64)
-        seen: set[int] = set()
-        for which, place in self.hits():
-            need, doc = self.test.need[which], np.searchsorted(self.first, place, "right") - 1
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + need, -1)
-            seen.update(np.unique(doc).tolist())
-            pairs = np.unique(np.stack([doc, self.test.item[which]]), axis=1)
-            for d, item in zip(*pairs.tolist(), strict=True):
-                items[d].add(self.test.names[item])
-            for d, n, s in zip(*(x.tolist() for x in self._runs(which, place, need, doc)), strict=True):
-                longest[d] = max(longest[d], (n, s), key=lambda x: (x[0], -x[1]))
-        covered = np.cumsum(edge[:-1]) > 0
-        for d in seen:
+        if not len(self.place):
+            return longest
+        size, doc = int(self.first[-1]) + 1, np.searchsorted(self.first, self.place, "right") - 1
+        covered = np.cumsum(np.bincount(self.place, minlength=size) - np.bincount(self.place + self.need, minlength=size)) > 0
+        sets, set_of = self._item_sets()
+        for d, k in zip(*(x.tolist() for x in np.unique(np.stack([doc, set_of[self.of]]), axis=1)), strict=True):
+            items[d].update(sets[k])
+        words = self.need.copy()
+        full = self.need == self.test.window
+        if full.any():
+            runs, docs = self._runs(full)
+            words[full] = runs.longest(docs, runs.items)[0] + self.test.window - 1
+        order = np.lexsort((self.place, -words, doc))
+        for k in order[np.flatnonzero(np.diff(doc[order], prepend=-1))].tolist():
+            d = int(doc[k])
             hit[d] = hit[d] | covered[self.first[d] : self.first[d] + self.lengths[d]]
+            longest[d] = int(words[k]), int(self.place[k] - self.first[d])
         return longest
 
-    def _runs(self, which: np.ndarray, place: np.ndarray, need: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, words, place in it) of the matches that windows following each other make up."""
-        item, line = self.test.item[which], place - self.test.offset[which]
-        order = np.lexsort((place, line, item))
-        item, line, place, need, doc = (x[order] for x in (item, line, place, need, doc))
-        run = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(line) != 0) | (np.diff(place) != 1)]))
-        size = np.diff(np.append(run, len(line))) - 1 + need[run]
-        return doc[run], size, place[run] - self.first[doc[run]]
+    def _item_sets(self) -> tuple[list[frozenset[str]], np.ndarray]:
+        """The different sets of items that windows are in, and the set of each window."""
+        pairs = np.unique(np.stack([self.number, self.test.item[self.found]]), axis=1)
+        known: dict[bytes, int] = {}
+        parts = np.split(pairs[1], np.flatnonzero(np.diff(pairs[0])) + 1)
+        set_of = np.array([known.setdefault(p.tobytes(), len(known)) for p in parts])
+        return [frozenset(self.test.names[k] for k in np.frombuffer(b, pairs.dtype)) for b in known], set_of
+
+    def _runs(self, full: np.ndarray) -> tuple[WindowRuns, np.ndarray]:
+        """The runs of the windows of full length, and the documents' places among them in the order of the hits."""
+        which = self.test.need[self.found] == self.test.window
+        place, of = self.place[full], self.of[full]
+        order = np.argsort(place)
+        runs = WindowRuns(self.found[which], self.number[which], self.test.item[self.found[which]], place[order], of[order])
+        docs = np.empty(len(order), dtype=np.int64)
+        docs[order] = runs.docs
+        return runs, docs
 
     def of_suffixes(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the words of its longest match in the shard and where one starts (0 words: -1).
-
-        A match of a whole window goes on as long as the next suffix of the item has its window at the next place.
-        """
-        n = len(self.test.rows)
+        """For each test suffix the words of its longest match in the shard and where the first starts (0 words: -1)."""
         before, after = _common(self.test, self.array, self.at - 1), _common(self.test, self.array, self.at)
         words = np.maximum(np.maximum(before, after), 0)
         index = np.where(after >= before, self.at, self.at - 1)
         place = np.where(words > 0, self.array.place[np.clip(index, 0, max(len(self.array.place) - 1, 0))] if len(self.array.place) else -1, -1)
-        longer: dict[int, int] = {}  # place -> words of the match of the suffix after this one, where it has a whole window
-        for k in range(n - 1, -1, -1):
-            own: dict[int, int] = {}
-            if words[k] == self.test.window:
-                same_item = k + 1 < n and self.test.item[k + 1] == self.test.item[k]
-                tail = int(self.test.need[k + 1]) if same_item else 0
-                for p, known in zip(self.array.place[self.low[k] : self.high[k]].tolist(), self.array.known[self.low[k] : self.high[k]].tolist(), strict=True):
-                    own[p] = max(self.test.window, 1 + longer.get(p + 1, 0)) if same_item and tail == self.test.window else min(known, self.test.window)
-                best = max(own.values())
-                words[k], place[k] = best, min(p for p, m in own.items() if m == best)
-            longer = own
+        full = self.need == self.test.window
+        if full.any():
+            runs, _ = self._runs(full)
+            which = self.found[self.test.need[self.found] == self.test.window]
+            m, at = runs.longest(runs.items, runs.docs, np.sort(self.place[full]))
+            words[which], place[which] = m + self.test.window - 1, at
         return words, place
 
 
+class WindowRuns:
+    """Runs of consecutive windows of items and of documents, sorted by the numbers of the windows from each place on.
+
+    Ranks are doubled: by one window, by two, by four, as deep as the longest run of an item. Two places have a run of 2^k
+    windows in common where their ranks of that depth are equal, so common prefixes are found by halving.
+    """
+
+    def __init__(self, item_at: np.ndarray, item_window: np.ndarray, item: np.ndarray, doc_at: np.ndarray, doc_window: np.ndarray):
+        n = len(item_at) + len(doc_at)
+        self.items, self.docs = np.arange(len(item_at)), np.arange(len(item_at), n)
+        at = np.concatenate([item_at, doc_at])
+        ends = np.ones(n, dtype=bool)
+        ends[:-1] = np.diff(at) != 1
+        ends[: len(item)][:-1] |= np.diff(item) != 0
+        ends[len(item_at) - 1] = True
+        last = np.flatnonzero(ends)
+        left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
+        self.left = np.minimum(left, left[self.items].max())
+        rank = np.concatenate([item_window, doc_window]).astype(np.int64) + 1
+        self.levels, depth = [rank.astype(np.int32)], 1
+        while depth < self.left.max():
+            beyond = np.where(self.left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)], 0)
+            rank = np.unique(rank * (n + 1) + beyond, return_inverse=True)[1] + 1
+            self.levels.append(rank.astype(np.int32))
+            depth *= 2
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many windows two places have in common from there on, pair by pair."""
+        a, b, room = a.copy(), b.copy(), np.minimum(self.left[a], self.left[b])
+        out = np.zeros(len(a), dtype=np.int64)
+        for k in reversed(range(len(self.levels))):
+            level, far = self.levels[k], len(self.left) - 1
+            step = ((room - out >= 1 << k) & (level[np.minimum(a, far)] == level[np.minimum(b, far)])) << k
+            a, b, out = a + step, b + step, out + step
+        return out
+
+    def longest(self, places: np.ndarray, others: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the most windows it has in common with one of the others, which are neighbours in the order. With
+        `at`, the others' positions, also the smallest position of those that have as many in common."""
+        final = self.levels[-1]
+        order = np.argsort(final[others], kind="stable")
+        sorted_ = others[order]
+        near = np.searchsorted(final[sorted_], final[places])
+        before, after = np.maximum(near - 1, 0), np.minimum(near, len(sorted_) - 1)
+        first, second = self.common(places, sorted_[before]), self.common(places, sorted_[after])
+        most, found = np.maximum(first, second), np.where(second >= first, after, before)
+        if at is None:
+            return most, found
+        low, high = self._edge(places, sorted_, most, found, -1), self._edge(places, sorted_, most, found, 1)
+        least, tables = at[order], [at[order]]
+        while 2 << len(tables) - 1 <= len(least):  # least position of 1, 2, 4, ... neighbours
+            half = 1 << len(tables) - 1
+            tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+        width = high - low + 1
+        k = np.array([int(w).bit_length() - 1 for w in width.tolist()], dtype=np.int64)
+        out = np.empty(len(places), dtype=np.int64)
+        for level in np.unique(k).tolist():
+            rows = np.flatnonzero(k == level)
+            out[rows] = np.minimum(tables[level][low[rows]], tables[level][high[rows] - (1 << level) + 1])
+        return most, out
+
+    def _edge(self, places: np.ndarray, sorted_: np.ndarray, most: np.ndarray, found: np.ndarray, way: int) -> np.ndarray:
+        """The last neighbour from `found` on in one direction that still has `most` windows in common."""
+        good, bad = found.copy(), np.full(len(found), -1 if way < 0 else len(sorted_))
+        while True:
+            open_ = np.flatnonzero(np.abs(bad - good) > 1)
+            if not len(open_):
+                return good
+            mid = (good[open_] + bad[open_]) >> 1
+            same = self.common(places[open_], sorted_[mid]) >= most[open_]
+            good[open_[same]] = mid[same]
+            bad[open_[~same]] = mid[~same]
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
     """How many blocks there are, and the blocks; each comes to the driver when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")

@@ -156,3 +156,79 @@ def test_empty_tables(spark):
     assert contamination(docs, items).collect() == []
     row = contamination(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items).first()
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated, row.longest_match) == (2, 0, 0, False, 0)
+
+
+def naive_longest(item, docs, window):
+    """(words, place) of each item suffix's longest match over all documents laid one after another, the first of equals."""
+    sequence = []
+    for d in docs:
+        sequence += [*d, None]
+    out = []
+    for k in range(len(item)):
+        best = (0, -1)
+        for p in range(len(sequence)):
+            n = 0
+            while k + n < len(item) and p + n < len(sequence) and sequence[p + n] == item[k + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, p)
+        out.append(best)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=3), st.lists(st.text("abc", max_size=60), min_size=1, max_size=4), st.sampled_from([1, 3, 10]))
+def test_repeats_against_brute_force(items, docs, window):
+    """Words of one letter, so that items and documents repeat themselves."""
+    as_text = lambda x: " ".join(x).encode()
+    test = Suffixes([(str(k), as_text(x)) for k, x in enumerate(items)], window)
+    words_ = [[w.encode() for w in d] for d in docs]
+    shard = ShardMatches(test, words_)
+    hit, names = [np.zeros(len(d), dtype=bool) for d in docs], [set() for _ in docs]
+    longest = shard.mark(hit, names)
+    for k, d in enumerate(docs):
+        want, found, best = set(), set(), (0, -1)
+        for name, item in enumerate(items):
+            n = min(window, len(item))
+            for i in range(len(item) - n + 1 if n else 0):
+                for p in range(len(d) - n + 1):
+                    if d[p : p + n] == item[i : i + n]:
+                        want |= set(range(p, p + n))
+                        found.add(str(name))
+                        size = n
+                        while n == window and p + size < len(d) and i + size < len(item) and d[p + size] == item[i + size]:
+                            size += 1
+                        best = max(best, (size, p), key=lambda x: (x[0], -x[1]))
+        assert set(np.flatnonzero(hit[k]).tolist()) == want and names[k] == found
+        assert longest[k] == best
+    if len(test.rows):
+        sizes, places = shard.of_suffixes()
+        laid = [w for d in words_ for w in [*d, None]]
+        at = 0
+        for item in items:
+            for k, (n, p) in enumerate(naive_longest([w.encode() for w in item], words_, window)):
+                assert sizes[at + k] == n
+                if n >= window:
+                    assert places[at + k] == p
+                elif n:
+                    assert laid[places[at + k] : places[at + k] + n] == [w.encode() for w in item[k : k + n]]
+            at += len(item)
+
+
+def test_long_items_and_documents_of_one_word():
+    """5,000 equal words against 20,000 of them: linear, in time and memory."""
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    tracemalloc.start()
+    test = Suffixes([("song", b"a " * 5000), ("other", b"b a " * 2000)])
+    shard = ShardMatches(test, [[b"a"] * 20_000, [b"b", b"a"] * 9_000, [b"c"] * 50])
+    hit, names = [np.zeros(n, dtype=bool) for n in (20_000, 18_000, 50)], [set(), set(), set()]
+    longest = shard.mark(hit, names)
+    sizes, places = shard.of_suffixes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - start < 5 and peak < 500e6
+    assert longest == [(5000, 0), (4000, 0), (0, -1)] and names == [{"song"}, {"other"}, set()] and hit[0].all() and hit[1].all() and not hit[2].any()
+    assert sizes[:5000].tolist() == list(range(5000, 0, -1)) and set(places[:4990].tolist()) == {0}
