@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from granary.functions.dates import calendar_label, fiscal_quarter, fiscal_year, period_kind, period_label
 from granary.operators import figures as G
 from granary.operators.sinks import known_or_null, merge_columns, replace_series, upsert
-from granary.sources.landing import landed, stored
+from granary.operators.stores import Store
+from granary.sources.landing import landed, landing_path, stored
 from granary.sources.tables import table
 
 TAGS = {"revenue": "Revenues", "gross_profit": "GrossProfit", "eps_diluted": "EarningsPerShareDiluted"}
@@ -222,7 +223,21 @@ o AS (SELECT o_custkey AS k, o_orderstatus AS s, o_orderkey AS v, o_totalprice A
 old AS (SELECT k, s, max(v) AS v FROM o WHERE v % 3 <> 1 GROUP BY k, s),
 new AS (SELECT * FROM o WHERE v % 3 <> 0)"""
 
-QUERIES = {f.__name__: f for f in (fin_build_figures, fin_latest_fact, fin_year_end_month, fin_coverage, fin_metric_series, fin_revenue_last_n_quarters, fin_latest_metric, fin_qoq_growth, fin_yoy_growth, fin_margin_trend, fin_compare_tickers, fin_available_metrics, fin_truth, financial_evidence, fin_tag_choice, fin_periods, sink_upsert_latest, sink_replace_series, sink_merge_columns, sink_skip_existing, sink_known_document)}
+
+def store_of_orders(spark, d):
+    """The old orders in a store, after an upsert of the new ones, a replaced third of the series and a delete: what a
+    reader sees after three writes that each touch some buckets only."""
+    old, new = _old_new(spark, d)
+    path = landing_path(spark, "store")
+    store = Store.create(spark, path, old.schema, ["k", "s"], buckets=16)
+    store.upsert(old)
+    store.upsert(new.select("k", "s", "v"), latest="v")
+    store.replace(new.where("k % 3 = 0").select("k", "s", (-F.col("v")).alias("v")))
+    store.delete(old.where("k % 5 = 0").select("k", "s"))
+    return store.read()
+
+
+QUERIES = {f.__name__: f for f in (store_of_orders, fin_build_figures, fin_latest_fact, fin_year_end_month, fin_coverage, fin_metric_series, fin_revenue_last_n_quarters, fin_latest_metric, fin_qoq_growth, fin_yoy_growth, fin_margin_trend, fin_compare_tickers, fin_available_metrics, fin_truth, financial_evidence, fin_tag_choice, fin_periods, sink_upsert_latest, sink_replace_series, sink_merge_columns, sink_skip_existing, sink_known_document)}
 ORACLES = {
     "fin_build_figures": f"WITH {_FACTS} SELECT * FROM f",
     "fin_latest_fact": f"WITH {_FACTS} SELECT ticker, tag, kind, CAST(y AS INT) AS fiscal_year, CAST(qtr AS INT) AS fiscal_qtr, round(val, 4) AS val, period_end, accn, filed FROM latest",
@@ -256,6 +271,13 @@ WITH o AS (
 p AS (SELECT *, CAST(year(e) + CASE WHEN month(e) > fye THEN 1 ELSE 0 END AS INT) AS fy, CAST(((month(e) - fye + 11) % 12) // 3 + 1 AS INT) AS q FROM o)
 SELECT o_orderkey, CASE WHEN n BETWEEN 80 AND 100 THEN 'Q' WHEN n BETWEEN 170 AND 190 THEN 'H' WHEN n BETWEEN 260 AND 285 THEN '9M' WHEN n BETWEEN 340 AND 380 THEN 'FY' END AS kind,
   fy, q, 'FY' || fy || 'Q' || q AS label, 'FY' || year(e) || CASE WHEN fye = 1 THEN '' ELSE 'Q' || quarter(e) END AS calendar FROM p""",
+    "store_of_orders": f"""
+WITH {_OLD}, n AS (SELECT k, s, max(v) AS v FROM new GROUP BY k, s),
+up AS (SELECT * FROM n UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = old.k AND n.s = old.s)),
+rep AS (
+  SELECT k, s, -v AS v FROM new WHERE k % 3 = 0
+  UNION ALL SELECT * FROM up WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k % 3 = 0 AND new.k = up.k AND new.s = up.s))
+SELECT * FROM rep WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k % 5 = 0 AND old.k = rep.k AND old.s = rep.s)""",
     "sink_upsert_latest": f"WITH {_OLD}, n AS (SELECT k, s, max(v) AS v FROM new GROUP BY k, s) SELECT * FROM n UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = old.k AND n.s = old.s)",
     "sink_replace_series": f"WITH {_OLD} SELECT k, s, v FROM new UNION ALL SELECT k, s, v FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k = old.k AND new.s = old.s)",
     "sink_merge_columns": f"WITH {_OLD}, n AS (SELECT k, s, round(max(p), 2) AS p FROM new GROUP BY k, s) SELECT k, s, v, p FROM old FULL JOIN n USING (k, s)",

@@ -31,9 +31,9 @@ def section_spans(spark, d):
 
 
 def chunked_documents(spark, d):
-    """Chunks of 60 words with an overlap of 12 of every document."""
+    """Chunks of 60 words with an overlap of 12 of every document, with a digest of their verbatim text."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("section"), "text")
-    return P.chunk(texts, 60, 12).select("chunk_id", "n_tokens", F.length("text").alias("chars"))
+    return P.chunk(texts, 60, 12).select("chunk_id", "chunk_index", "n_tokens", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def _releases(spark, d):
@@ -254,8 +254,8 @@ WITH RECURSIVE lines AS (
     SELECT doc_id, lang, unnest(range(len(a))) AS n, trim(unnest(a), E' \t\n\r\x0b\x0c') AS x FROM (SELECT doc_id, lang, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\f\r]') AS a FROM documents))
   WHERE x <> ''),
 cut AS (SELECT doc_id, lang, n, x, w, unnest(range(0, len(w), 60)) AS k FROM lines),
-units AS (SELECT doc_id, lang, n, k, least(60, len(w) - k) AS size, CASE WHEN len(w) <= 60 THEN length(x) ELSE length(array_to_string(w[k + 1 : k + 60], ' ')) END AS chars FROM cut),
-d AS (SELECT doc_id, any_value(lang) AS lang, list(size ORDER BY n, k) AS z, list(chars ORDER BY n, k) AS c FROM units GROUP BY doc_id),
+units AS (SELECT doc_id, lang, n, k, least(60, len(w) - k) AS size, CASE WHEN len(w) <= 60 THEN x ELSE regexp_extract_all(x, '\S+(?:\s+\S+){0,59}')[k // 60 + 1] END AS unit FROM cut),
+d AS (SELECT doc_id, any_value(lang) AS lang, list(size ORDER BY n, k) AS z, list(unit ORDER BY n, k) AS c FROM units GROUP BY doc_id),
 r AS (
   SELECT doc_id, 0 AS k, range(1, 1 + greatest(1, len(list_filter(range(1, len(z) + 1), lambda e: list_sum(z[1 : e]) <= 60)))) AS u FROM d
   UNION ALL
@@ -266,6 +266,7 @@ r AS (
         SELECT *, list_transform(range(1, len(before) + 1), lambda m: list_sum(list_transform(before[len(before) - m + 1 :], lambda y: z[y]))) AS ends FROM (
           SELECT doc_id, k, z, u[len(u)] + 1 AS nxt, u[1 : len(u) - 1] AS before FROM r JOIN d USING (doc_id) WHERE u[len(u)] < len(z))))))
 SELECT doc_id || '::' || coalesce(nullif(trim(regexp_replace(lower(lang), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'body') || '::' || printf('%04d', k) AS chunk_id,
-  CAST(list_sum(list_transform(u, lambda y: z[y])) AS INT) AS n_tokens, CAST(list_sum(list_transform(u, lambda y: c[y])) + len(u) - 1 AS INT) AS chars
+  CAST(k AS INT) AS chunk_index, CAST(list_sum(list_transform(u, lambda y: z[y])) AS INT) AS n_tokens,
+  CAST(length(array_to_string(list_transform(u, lambda y: c[y]), chr(10))) AS INT) AS chars, sha256(array_to_string(list_transform(u, lambda y: c[y]), chr(10))) AS text_sha256
 FROM r JOIN d USING (doc_id)""",
 }

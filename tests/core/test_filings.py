@@ -127,3 +127,22 @@ def test_guidance_and_tokens(spark):
     df = spark.createDataFrame(rows, "t string, p string")
     assert [r[0] for r in df.select(guided_period(outlook_block(F.col("t")))).collect()] == [p for _, p in rows]
     assert spark.createDataFrame([("The 10-K, of 1.5 U.S. a x-",)], "t string").select(tokens(F.col("t"))).first()[0] == ["10-k", "1.5", "u.s"]
+
+
+def test_chunks_are_slices_of_their_text(spark):
+    """Lines longer than a chunk keep their spaces; tokens may be a subword tokenizer's."""
+    import random
+
+    rnd = random.Random(1)
+    text = "\n".join(rnd.choice(["", " "]) + "".join(rnd.choice(["a", "bc", "d\u00a0e", "f,", "g"]) + rnd.choice([" ", "  ", "\t", " \u2003"]) for _ in range(rnd.randint(1, 70))) for _ in range(30))
+    lines = [x.strip() for x in text.splitlines()]
+    letters = lambda line: [(k, k + 1) for k, c in enumerate(line) if not c.isspace()] + [(0, 0)]
+    df = spark.createDataFrame([("d", "s", text)], "id string, section string, text string")
+    for options in ({}, {"spans": letters}):
+        rows = chunk(df, 20, 6, **options).orderBy("chunk_index").collect()
+        units = [u for r in rows for u in r.text.split("\n")]
+        assert all(any(u in line for line in lines) for u in units) and any("\t" in u for u in units)
+        assert all(r.n_tokens <= 20 for r in rows)
+        assert [r.chunk_index for r in rows] == list(range(len(rows)))
+    kept = chunk(df, 20, 0).orderBy("chunk_index").collect()
+    assert "".join("".join(r.text for r in kept).split()) == "".join(text.split())
