@@ -58,7 +58,7 @@ def test_a_failed_write_leaves_the_old_table(spark, store):
     with pytest.raises(Exception, match="no"):
         store.upsert(broken)
     with pytest.raises(ValueError):
-        store.write(spark.createDataFrame([(7, "a", 1, 1.0)], SCHEMA), lambda old, new: new.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50))).cast("long")))
+        store.write(spark.createDataFrame([(7, "a", 1, 1.0)], SCHEMA), lambda old, new: new.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long")))))
     assert store.version() == 1 and rows(store.read()) == old
     assert store.upsert(spark.createDataFrame([], SCHEMA)) == 1
 
