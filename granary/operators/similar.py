@@ -1,7 +1,8 @@
-"""Groups of similar vectors, of any size: pairs in blocks, components, and what is folded inside a component.
+"""Groups of similar vectors, of any size: links in blocks, components, and what is folded inside a component.
 
-Equal vectors of a group are one class, so copies are never compared with each other. Classes that are similar are found
-by matrix products of bounded blocks; only items of one component of these pairs can influence each other.
+Equal vectors of a group are one class, so copies are never compared with each other. Matrix products of bounded blocks find
+which classes are similar, and leave no more links than connect them: a thousand near copies make a few thousand links, not
+half a million pairs. Only items of one component can influence each other.
 """
 
 from __future__ import annotations
@@ -42,27 +43,47 @@ def stacked(side: pd.DataFrame, width: int) -> np.ndarray:
     return np.stack(side["v"].to_list()) if len(side) else np.zeros((0, width))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim), a < b: the pairs of one group with an inner product of at least `threshold`.
-
-    vectors: group, id (unique over all groups), v (doubles). Vectors with a null are in no pair. A matrix product finds candidates; their products
-    are then summed again in element order.
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of enough true cells of a matrix to connect all rows and columns that its true cells connect."""
+    rows, columns = [], []
+    new_rows, new_columns = np.ones(near.shape[0], dtype=bool), np.ones(near.shape[1], dtype=bool)
+    for start in range(near.shape[0]):
+        if not new_rows[start]:
+            continue
+        new_rows[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            reached = np.flatnonzero(near[x] & new_columns)
+            new_columns[reached] = False
+            rows += [x] * len(reached)
+            columns += reached.tolist()
+            for y in reached.tolist():
+                more = np.flatnonzero(near[:, y] & new_rows)
+                new_rows[more] = False
+                rows += more.tolist()
+                columns += [y] * len(more)
+                todo += more.tolist()
+    return np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
+
+
+def links(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of one group with an inner product of at least `threshold`, enough to connect all that such
+    pairs connect; of two blocks no more than they have rows.
+
+    vectors: group, id (a long, unique over all groups), v (doubles). Vectors with a null are in no pair. A pair that
+    rounding leaves in doubt counts, as what is connected is looked at again.
     """
-    kind = vectors.schema["id"].dataType.simpleString()
-
     def meet(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         width = len(left["v"].iat[0]) if len(left) else 0
         v, w = stacked(left, width), stacked(right, width)
-        found = ~(v @ w.T < threshold - 1e-5) if len(v) and len(w) else np.zeros((len(v), len(w)), dtype=bool)
-        x, y = np.nonzero(np.triu(found, 1) if same else found)
-        sim = np.zeros(len(x))
-        for k in range(width):
-            sim += v[x, k] * w[y, k]
-        return pd.DataFrame({"x": left["id"].to_numpy()[x], "y": right["id"].to_numpy()[y], "sim": sim})
+        near = v @ w.T >= threshold - 1e-9 if len(v) and len(w) else np.zeros((len(v), len(w)), dtype=bool)
+        if same:
+            np.fill_diagonal(near, True)  # row and column are one
+        x, y = forest(near)
+        return pd.DataFrame({"x": left["id"].to_numpy()[x], "y": right["id"].to_numpy()[y]})
 
     whole = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull())).select("group", "id", "v")
-    pairs = met_in_blocks(whole, meet, f"x {kind}, y {kind}, sim double", block)
-    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim").where(F.col("sim") >= threshold)
+    return met_in_blocks(whole, meet, "x long, y long", block).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -103,39 +124,39 @@ def with_class(items: DataFrame, known: DataFrame, apart: Column) -> DataFrame:
 # --- greedy order --------------------------------------------------------------
 
 
-def leaders(members: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def leaders(members: DataFrame, labels: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(group, article_id, target) of the items of components: the item that each copy, or displaced original, points to.
 
-    A component streams through one task, its pairs first, then its items by published_at and article_id. What stays is
-    held by class. Only the pairs of one component are in memory.
+    A component's items stream through one task by published_at and article_id; in memory are the vectors of those that
+    stay, and an item is compared with these alone.
     """
-    link = labels.select(F.col("node").alias("class"), "label")
-    edges = pairs.select(F.col("a").alias("class"), "b", "sim").join(link, "class").select("label", F.lit(0).alias("kind"), "class", "b", "sim")
-    items = members.join(link, "class").select("label", F.lit(1).alias("kind"), "class", "group", "article_id", "published_at", "redirect", "self")
-    rows = edges.unionByName(items, allowMissingColumns=True).repartition("label").sortWithinPartitions("label", "kind", "published_at", "article_id")
+    link = labels.select(F.col("node").alias("class"), "label").join(known.select("class", "v"), "class")
+    items = members.join(link, "class").select("label", "group", "article_id", "published_at", "redirect", "v")
+    rows = items.repartition("label").sortWithinPartitions("label", "published_at", "article_id").drop("published_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, near, stay, came = None, {}, {}, 0
+        label, names, stay = None, [], np.zeros((0, 0))
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
+                v = np.array(r["v"])
                 if r["label"] != label:
-                    label, near, stay, came = r["label"], {}, {}, 0
-                own = r["class"]
-                if r["kind"] == 0:
-                    near.setdefault(own, []).append((r["b"], r["sim"]))
-                    near.setdefault(r["b"], []).append((own, r["sim"]))
+                    label, names, stay = r["label"], [], np.zeros((8, len(v)))
+                sims = stay[: len(names)] @ v
+                best = int(sims.argmax()) if len(names) else -1
+                copy = best >= 0 and sims[best] > 0 and sims[best] >= threshold
+                replaces = copy and names[best][1] and not r["redirect"]
+                if copy and not replaces:
+                    out.append((r["group"], r["article_id"], names[best][0]))
                     continue
-                here = [(-sim, x) for other, sim in [(own, r["self"]), *near.get(own, ())] for x in stay.get(other, ())]
-                sim, best = min(here, key=lambda x: (x[0], x[1][0]), default=(0, None))
-                if best is None or best[2] and not r["redirect"]:
-                    stay.setdefault(own, []).append((came, r["article_id"], r["redirect"], own))
-                    came += 1
-                if best is not None and best[2] and not r["redirect"]:  # takes its place
-                    stay[best[3]].remove(best)
-                    out.append((r["group"], best[1], r["article_id"]))
-                elif best is not None:
-                    out.append((r["group"], r["article_id"], best[1]))
+                if replaces:
+                    out.append((r["group"], names[best][0], r["article_id"]))
+                    stay[best : len(names) - 1] = stay[best + 1 : len(names)]
+                    del names[best]
+                if len(names) == len(stay):
+                    stay = np.concatenate([stay, np.zeros_like(stay)])
+                stay[len(names)] = v
+                names.append((r["article_id"], r["redirect"]))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["group", "article_id", "target"])
 
@@ -151,15 +172,14 @@ def copies(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     self_sim = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     apart = ~F.coalesce((self_sim >= threshold) & (self_sim > 0), F.lit(False))
     known = classes(items, apart)
-    members = with_class(items.withColumn("self", self_sim), known, apart)
-    pairs = landed(similar_pairs(known.select("group", F.col("class").alias("id"), "v"), max(threshold, 5e-324), block), "pairs")
-    labels = connected(pairs)
+    members = with_class(items, known, apart)
+    labels = connected(links(known.select("group", F.col("class").alias("id"), "v"), threshold, block))
     lone = members.join(labels.select(F.col("node").alias("class")), "class", "left_anti")
     by_time = F.struct("published_at", "article_id")
     heads = lone.groupBy("class").agg(F.min(F.struct("published_at", "article_id", "redirect")).alias("first"), F.min(F.when(~F.col("redirect"), by_time)).alias("plain"))
     heads = heads.select("class", F.when(F.col("first.redirect"), F.coalesce("plain.article_id", "first.article_id")).otherwise(F.col("first.article_id")).alias("target"))
     same = lone.join(heads, "class").where(F.col("article_id") != F.col("target")).select("group", "article_id", "target")
-    pointers = landed(leaders(members, labels, pairs), "pointers")
+    pointers = landed(leaders(members, labels, known, threshold), "pointers")
     after = pointers.select("group", F.col("article_id").alias("target"), F.col("target").alias("later"))
     return pointers.join(after, ["group", "target"], "left").select("group", "article_id", F.coalesce("later", "target").alias("target")).unionByName(same)
 
@@ -215,8 +235,7 @@ def linked(items: DataFrame, threshold: float, linkage: Callable[[np.ndarray, fl
     apart = ~F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     known = classes(items, apart)
     members = with_class(items, known, apart)
-    pairs = similar_pairs(known.select("group", F.col("class").alias("id"), "v"), threshold - 1e-9, block)
-    labels = connected(landed(pairs.select("a", "b"), "pairs"))
+    labels = connected(links(known.select("group", F.col("class").alias("id"), "v"), threshold, block))
     sizes = labels.groupBy("label").agg((F.count("*") > most).alias("large"))
     nodes = landed(known.join(labels.join(sizes, "label").select(F.col("node").alias("class"), "label", "large"), "class").select("label", "large", "class", "v", "size"), "nodes")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from granary.operators import news as N
-from granary.operators.similar import connected
+from granary.operators.similar import connected, links
 
 SCHEMA = "ticker string, article_id string, published_at long, url string, vector array<double>"
 
@@ -41,6 +41,17 @@ def test_copies_over_many_tasks_equal_the_greedy_order(spark, seed, n, copies, b
     assert promoted > 5
 
 
+def test_links_grow_with_the_rows_not_with_the_pairs(spark):
+    """600 near copies: fewer links than rows for every two blocks, and all of them connected."""
+    gen = np.random.default_rng(1)
+    v = np.array([1.0, 0, 0, 0]) + gen.normal(size=(600, 4)) * 0.01
+    df = spark.createDataFrame([("g", k, [float(x) for x in row / np.linalg.norm(row)]) for k, row in enumerate(v)], "group string, id long, v array<double>")
+    for block, blocks in ((1500, 1), (200, 3)):
+        found = links(df, 0.9, block)
+        assert found.count() <= 600 * blocks * 2
+        assert {r.label for r in connected(found).collect()} == {0} and connected(found).count() == 600
+
+
 def test_copies_of_vectors_that_are_not_like_themselves(spark):
     rows = [("A", f"x{k}", k, None, v) for k, v in enumerate([[0.0, 0.0], [0.0, 0.0], [0.1, 0.0], [0.1, 0.0], [3.0, 0.0], [0.5, 0.0]])]
     got = {r.article_id: r.duplicate_of for r in N.mark_copies(spark.createDataFrame(rows, SCHEMA), 0.9).collect()}
