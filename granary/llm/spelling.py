@@ -97,7 +97,7 @@ def merged(words: DataFrame, light: DataFrame) -> DataFrame:
     before, rest, whole = F.substring(word, F.lit(1), at), F.substring(word, at + 2, size), F.substring(word, at + 1, size)
     inside = at < size
     copies = words.join(light.groupBy("word_id").agg(F.collect_list(F.struct("at", "heavy")).alias("light")), "word_id").select("word", "n", F.explode("light").alias("edge"))
-    copies = written(copies.select("word", "n", "edge.at", F.char("edge.heavy").alias("letter")), "copies")
+    copies = written(copies.select("word", "n", "edge.at", F.decode(F.unhex(F.lpad(F.hex("edge.heavy"), 8, "0")), "UTF-32").alias("letter")), "copies")
     last_of_run = F.substring(word, at + 1, F.lit(1)) != F.substring(word, at + 2, F.lit(1))
     passed = F.array(F.when(inside & letter.isNotNull(), F.concat(before, letter, rest)), F.when(inside & last_of_run, F.concat(before, rest)), F.when(letter.isNotNull(), F.concat(before, letter, whole)))
     met = copies.select("word", "n", F.explode(F.array_compact(passed)).alias("near")).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")

@@ -57,7 +57,7 @@ def checked(spark, words, **options):
     assert {tuple(r) for r in got} == naive_groups(words)
 
 
-@pytest.mark.parametrize("seed,alphabet,most_hot", [(0, "ab", 20_000), (1, "abc", 3), (2, "aabéÿ", 50), (3, "abcdefghij", 10**9)])
+@pytest.mark.parametrize("seed,alphabet,most_hot", [(0, "ab", 20_000), (1, "abc", 3), (2, "aabéÿжЯ\U0001f600", 50), (3, "abcdefghij", 10**9)])
 def test_random_words_against_brute_force(spark, seed, alphabet, most_hot):
     rnd = random.Random(seed)
     words = {"".join(rnd.choices(alphabet, k=rnd.randint(1, 9))): rnd.choice([5, 5, 6, 30, 200, 1000]) for _ in range(700)}
