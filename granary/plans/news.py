@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.functions.text import display_headline, names_company, normal_headline, topic
 from granary.operators import news as N
+from granary.sources import feeds
 from granary.sources.landing import landed
 from granary.sources.tables import table
 
@@ -105,6 +106,32 @@ def news_collect(spark, d):
     return _collected(spark, d).select("ticker", "feed", "pos", "url", "source", "topic", "article_id")
 
 
+def _feeds(spark, d):
+    """Feed documents made of the events, up to 60 of a kind in each: RSS and Atom in turn. Titles stand as CDATA or escaped,
+    some items have no publisher, and every 13th no date that is one."""
+    k, even = F.col("event_id"), F.col("event_id") % 2 == 0
+    shown = F.concat(F.lit("Q&A <"), k.cast("string"), F.lit("> on "), "event_type")
+    escaped = F.replace(F.replace(shown, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title = F.when(even, F.concat(F.lit("<title><![CDATA["), shown, F.lit("]]></title>"))).otherwise(F.concat(F.lit("<title> "), escaped, F.lit("</title>")))
+    link = F.concat(F.lit("https://example.com/?id="), k.cast("string"), F.lit("&amp;v=1"))
+    rss_date = F.when(k % 13 == 0, F.lit("soon")).when(even, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise(F.concat(F.date_format(F.col("ts") + F.expr("interval 2 hours"), "d MMM yy HH:mm:ss"), F.lit(" +0200")))
+    atom_date = F.when(k % 13 == 0, F.lit("")).when(even, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(F.concat(F.date_format(F.col("ts") - F.expr("interval 5 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:00")))
+    named = F.col("user_id") % 11 != 0
+    who = F.concat(F.lit("s"), (F.col("user_id") % 23).cast("string"))
+    none = F.lit("")
+    rss = F.concat(F.lit("<item>"), title, F.lit("<link> "), link, F.lit(" </link>"), F.when(named, F.concat(F.lit('<source url="https://example.com">'), who, F.lit("</source>"))).otherwise(none), F.lit("<pubDate>"), rss_date, F.lit("</pubDate></item>"))
+    atom = F.concat(F.lit("<entry>"), title, F.lit('<link rel="self" href="https://example.com/feed"/><link rel="alternate" href="'), link, F.lit('"/>'), F.when(named, F.concat(F.lit("<source><title>"), who, F.lit("</title></source>"))).otherwise(none), F.lit("<published>"), atom_date, F.lit("</published></entry>"))
+    part = F.floor(k / 60)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("ticker"), part.alias("part"), F.struct(k.alias("k"), F.when(part % 2 == 0, rss).otherwise(atom).alias("x")).alias("i"))
+    whole = rows.groupBy("ticker", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["x"]), "\n").alias("body"))
+    xml = F.when(F.col("part") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel><title>all</title>'), "body", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), "body", F.lit("</feed>")))
+    return whole.select("ticker", "part", xml.alias("xml"))
+
+
+def feed_items(spark, d):
+    return feeds.items(_feeds(spark, d)).withColumn("at", F.unix_timestamp("published_at").cast("string")).drop("published_at")
+
+
 def feed_histogram(spark, d):
     return N.feed_histogram(_collected(spark, d))
 
@@ -176,7 +203,7 @@ got AS (
   SELECT ticker, feed, pos, url, source, CASE WHEN named THEN 'earnings' END AS topic FROM top WHERE url IS NOT NULL AND ts >= TIMESTAMP '2024-01-01' AND (named OR feed = 'ir')
   QUALIFY row_number() OVER (PARTITION BY ticker, url ORDER BY feed_order, pos) = 1)"""
 
-QUERIES = {f.__name__: f for f in (news_event_rollup, news_ranked_events, news_window_top8, news_summaries, news_context, news_counts, exact_dedup_first, near_dup_edges, near_dup_greedy, cluster_events, headline_functions, news_collect, feed_histogram, article_bodies, normalized_vectors)}
+QUERIES = {f.__name__: f for f in (news_event_rollup, news_ranked_events, news_window_top8, news_summaries, news_context, news_counts, exact_dedup_first, near_dup_edges, near_dup_greedy, cluster_events, headline_functions, news_collect, feed_items, feed_histogram, article_bodies, normalized_vectors)}
 ORACLES = {
     "news_event_rollup": f"WITH {_ARTICLES}, {_ALL} SELECT ticker, event_id, n_live, n_duplicates, array_to_string(src, ',') AS sources, first_day, last_day, primary_id, score, topic FROM r",
     "news_ranked_events": f"WITH {_ARTICLES}, {_EVENTS.format(cond='published_at >= TIMESTAMP ' + repr('2024-01-20'))} SELECT ticker, CAST(row_number() OVER w AS INT) AS rank, event_id, score, topic FROM r WINDOW w AS (PARTITION BY ticker ORDER BY score DESC, first_at, event_id) QUALIFY row_number() OVER w <= 5",
@@ -214,6 +241,11 @@ WITH h(ticker, headline, normal, shown, topic, relevant) AS (VALUES
   ('XYZ', 'xyz wins merger vote - Bloomberg News', 'wins merger vote', 'xyz wins merger vote', 'deal', true))
 SELECT s.source, h.* FROM h CROSS JOIN (SELECT DISTINCT source FROM documents) s""",
     "news_collect": f"WITH {_COLLECTED} SELECT ticker, feed, pos, url, source, topic, sha1(url) AS article_id FROM got",
+    "feed_items": """
+SELECT event_type AS ticker, event_id // 60 AS part, CAST(row_number() OVER (PARTITION BY event_type, event_id // 60 ORDER BY event_id) - 1 AS INT) AS pos,
+  'https://example.com/?id=' || event_id || '&v=1' AS url, 'Q&A <' || event_id || '> on ' || event_type AS headline,
+  CASE WHEN user_id % 11 <> 0 THEN 's' || (user_id % 23) END AS source, CASE WHEN event_id % 13 <> 0 THEN CAST(CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS VARCHAR) END AS at
+FROM events""",
     "feed_histogram": f"WITH {_COLLECTED} SELECT ticker, feed, count(*) AS n FROM got GROUP BY ALL",
     "article_bodies": f"""
 WITH {_COLLECTED}, r AS (SELECT ticker, feed, pos, CASE WHEN feed = 'yahoo' THEN 'https://news.google.com/' || pos ELSE url END AS url FROM got)
