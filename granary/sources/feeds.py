@@ -92,9 +92,10 @@ def _escaped(text: Column) -> Column:
 
 
 def _mended(text: Column) -> Column:
-    """Entities that only HTML knows become characters, other lone ampersands are escaped."""
+    """Entities that only HTML knows become characters, other lone ampersands are escaped; text without either stays."""
+    strange = f"&(?!{_XML_ENTITY})"
     shielded = F.regexp_replace(text, f"&({_XML_ENTITY})", "&amp;$1")
-    return F.regexp_replace(decode_entities(shielded), f"&(?!{_XML_ENTITY})", "&amp;")
+    return F.when(text.rlike(strange), F.regexp_replace(decode_entities(shielded), strange, "&amp;")).otherwise(text)
 
 
 def lenient(xml: Column) -> Column:
