@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.config import STOPWORDS
 from granary.operators import retrieval as R
+from granary.operators.encoder import Encoder, encoded, fit_encoder
 from granary.sources.landing import landed, stored
 from granary.sources.tables import table
 
@@ -93,6 +94,34 @@ def compared_modes(spark, d):
     return rows.select("mode", "query_id", "rank", "id", "score")
 
 
+def encoder(spark: SparkSession, d: str) -> Encoder:
+    """The encoder trained on the corpus, once in an application for each state of the table's files."""
+    return stored(spark, "encoder", [f"{d}/documents.parquet"], lambda: fit_encoder(corpus(spark, d)))
+
+
+def text_searcher(spark: SparkSession, d: str) -> R.Searcher:
+    """The corpus with vectors of its own texts; questions are encoded as they are asked."""
+    found = stored(spark, "text_vectors", [f"{d}/documents.parquet"], lambda: encoded(corpus(spark, d), encoder(spark, d)))
+    return R.Searcher(corpus(spark, d), found, index(spark, d), encode=encoder(spark, d).column(spark))
+
+
+def text_dense_topk(spark, d):
+    return text_searcher(spark, d).search("dense", items(spark, d))
+
+
+def text_eval_by_mode(spark, d):
+    """What retrieval_eval_by_mode measures, by mode, with vectors of the texts themselves."""
+    s, asked = text_searcher(spark, d), items(spark, d)
+    arms = {"dense": landed(s.dense(asked)), "bm25": landed(s.bm25(asked))}
+    arms["hybrid"] = landed(R.rrf(arms["dense"], arms["bm25"]))
+    arms["rerank"] = R.rerank(R.hydrate(arms["hybrid"], s.corpus).where("trim(text) != ''"), asked, top=R.DENSE_TOP)
+    rows = None
+    for name, hits in arms.items():
+        one = hits.withColumn("mode", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return R.aggregate_scores(R.evaluate(rows, landed(judgements(spark, d)), ["mode"]), [("mode",)])
+
+
 def _arms(spark, d):
     """The hits of each of R.MODES, all as deep as the widest: the rerank arm orders every hybrid hit that has a text."""
     found = {"dense": landed(dense_topk(spark, d)), "bm25": landed(bm25_topk(spark, d))}
@@ -232,7 +261,7 @@ SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg
   round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness, median(took) AS latency_ms
 FROM rows GROUP BY GROUPING SETS ((mode), (category, mode))"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, text_dense_topk, text_eval_by_mode, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
 ORACLES = {
     "bm25_topk": f"WITH {_BASE}, {_bm25()} {_CONTENT} bm25",
     "bm25_filtered_topk": f"WITH {_BASE}, {_bm25(_NARROW)} {_CONTENT} bm25",
