@@ -21,7 +21,7 @@ from granary.functions.text import tokens
 from granary.sources.landing import landed, spread
 
 BUCKETS, WIDTH, EXTRA, ROUNDS, SEED = 1 << 13, 64, 16, 2, 42
-CHUNK = 1 << 16  # tokens that are multiplied at once
+CHUNK = 1 << 16  # tokens, or entries of rows, that are looked at together
 PARTS = 16
 
 
@@ -30,24 +30,57 @@ def bag(text: Column, buckets: int) -> Column:
     return F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
 
 
-def _weighted(flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, row, bucket, weight) of the entries of unit TF-IDF rows, by row and bucket, a bounded number of tokens at once.
-
-    lengths: tokens of each row, none of them 0.
-    """
+def _pieces(lengths: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, entries, row of each entry) of lists of some lengths, a bounded number of entries at once, but whole rows."""
     ends, first = np.cumsum(lengths), 0
     while first < len(lengths):
         start = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, side="right")))
-        row = np.repeat(np.arange(last - first), lengths[first:last])
-        key, count = np.unique(row * np.int64(len(weights)) + flat[start : ends[last - 1]], return_counts=True)
-        row, bucket = np.divmod(key, len(weights))
-        w = (1 + np.log(count)) * weights[bucket]
-        length = np.sqrt(np.bincount(row, w * w))
-        yield slice(first, last), row, bucket, np.divide(w, length[row], out=np.zeros_like(w), where=length[row] > 0)
+        yield slice(first, last), slice(start, ends[last - 1]), np.repeat(np.arange(last - first), lengths[first:last])
         first = last
 
 
+def _counted(row: np.ndarray, flat: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the different buckets of each row, by row and bucket."""
+    key, count = np.unique(row * np.int64(buckets) + flat, return_counts=True)
+    return *np.divmod(key, buckets), count
+
+
+def _unit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, each row at unit length."""
+    w = (1 + np.log(count)) * weights[bucket]
+    length = np.sqrt(np.bincount(row, w * w))
+    return np.divide(w, length[row], out=np.zeros_like(w), where=length[row] > 0)
+
+
+def _counts(buckets: int):
+    """Batches of bags -> batches of their different buckets with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bag")
+            flat = np.asarray(lists.flatten())
+            for rows, part, row in _pieces(np.asarray(lists.value_lengths())):
+                row, bucket, count = _counted(row, flat[part], buckets)
+                ends = pa.array(np.searchsorted(row, np.arange(rows.stop - rows.start + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (bucket, count)], names=["bucket", "count"])
+
+    return run
+
+
+def _frequencies(buckets: int):
+    """Batches of counted bags -> for a task, in how many of its rows each bucket is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            df += np.bincount(np.asarray(batch.column("bucket").flatten()), minlength=buckets)
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen])], names=["bucket", "df"])
+
+    return run
+
+
 def _projected(row: np.ndarray, bucket: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     return np.add.reduceat(w[:, None] * basis[bucket], starts, axis=0)
@@ -62,10 +95,10 @@ def _gram_product(bags: DataFrame, weights: np.ndarray, q: np.ndarray) -> np.nda
         weights, q = shared.value
         total = np.zeros_like(q)
         for batch in batches:
-            lists = batch.column("bag")
-            if not len(lists):
-                continue
-            for _, row, bucket, w in _weighted(np.asarray(lists.flatten()), np.asarray(lists.value_lengths()), weights):
+            buckets, counts = (np.asarray(batch.column(c).flatten()) for c in ("bucket", "count"))
+            for _, part, row in _pieces(np.asarray(batch.column("bucket").value_lengths())):
+                bucket = buckets[part]
+                w = _unit(row, bucket, counts[part], weights)
                 rows = _projected(row, bucket, w, q)
                 order = np.argsort(bucket, kind="stable")
                 starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -105,8 +138,9 @@ class Encoder:
             out = pd.Series([None] * len(bags), dtype=object)
             if len(some):
                 flat = np.concatenate([np.asarray(bags.iloc[k]) for k in some])
-                for rows, row, bucket, w in _weighted(flat, lengths[some], weights):
-                    v = _projected(row, bucket, w, basis)
+                for rows, part, row in _pieces(lengths[some]):
+                    row, bucket, count = _counted(row, flat[part], len(weights))
+                    v = _projected(row, bucket, _unit(row, bucket, count, weights), basis)
                     size = np.linalg.norm(v, axis=1)
                     for k, x, n in zip(some[rows], v, size, strict=True):
                         if n > 1e-9:
@@ -135,8 +169,9 @@ def fit_encoder(corpus: DataFrame, text_col: str = "text", buckets: int = BUCKET
     """
     if not 0 < width <= width + extra <= buckets:
         raise ValueError("width and extra must fit the buckets")
-    bags = landed(spread(corpus.select(F.col(text_col))).select(bag(F.col(text_col), buckets).alias("bag")).where("size(bag) > 0"), "bags")
-    seen = bags.select(F.explode(F.array_distinct("bag")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).collect()  # at most `buckets` rows
+    bags = spread(corpus.select(F.col(text_col))).select(bag(F.col(text_col), buckets).alias("bag")).where("size(bag) > 0")
+    bags = landed(bags.mapInArrow(_counts(buckets), "bucket array<int>, count array<int>"), "bags")
+    seen = bags.mapInArrow(_frequencies(buckets), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()  # at most `buckets` rows
     df = np.zeros(buckets)
     for r in seen:
         df[r["bucket"]] = r["df"]

@@ -99,10 +99,10 @@ def encoder(spark: SparkSession, d: str) -> Encoder:
     return stored(spark, "encoder", [f"{d}/documents.parquet"], lambda: fit_encoder(corpus(spark, d)))
 
 
-def text_searcher(spark: SparkSession, d: str) -> R.Searcher:
-    """The corpus with vectors of its own texts; questions are encoded as they are asked."""
+def text_searcher(spark: SparkSession, d: str, index: R.Index | None = None) -> R.Searcher:
+    """The corpus with vectors of its own texts; questions are encoded as they are asked. Only words need the index."""
     found = stored(spark, "text_vectors", [f"{d}/documents.parquet"], lambda: encoded(corpus(spark, d), encoder(spark, d)))
-    return R.Searcher(corpus(spark, d), found, index(spark, d), encode=encoder(spark, d).column(spark))
+    return R.Searcher(corpus(spark, d), found, index, encode=encoder(spark, d).column(spark))
 
 
 def text_dense_topk(spark, d):
@@ -111,7 +111,7 @@ def text_dense_topk(spark, d):
 
 def text_eval_by_mode(spark, d):
     """What retrieval_eval_by_mode measures, by mode, with vectors of the texts themselves."""
-    s, asked = text_searcher(spark, d), items(spark, d)
+    s, asked = text_searcher(spark, d, index(spark, d)), items(spark, d)
     arms = {"dense": landed(s.dense(asked)), "bm25": landed(s.bm25(asked))}
     arms["hybrid"] = landed(R.rrf(arms["dense"], arms["bm25"]))
     arms["rerank"] = R.rerank(R.hydrate(arms["hybrid"], s.corpus).where("trim(text) != ''"), asked, top=R.DENSE_TOP)
