@@ -21,7 +21,7 @@ from granary.functions.text import tokens
 from granary.sources.landing import landed, spread
 
 BUCKETS, WIDTH, EXTRA, ROUNDS, SEED = 1 << 13, 64, 16, 2, 42
-CHUNK = 1 << 16  # tokens, or entries of rows, that are looked at together
+CHUNK, ROWS = 1 << 16, 256  # tokens or entries, and rows, that are looked at together
 PARTS = 16
 
 
@@ -31,11 +31,11 @@ def bag(text: Column, buckets: int) -> Column:
 
 
 def _pieces(lengths: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """(rows, entries, row of each entry) of lists of some lengths, a bounded number of entries at once, but whole rows."""
+    """(rows, entries, row of each entry) of lists of some lengths, a bounded number of entries and rows at once, but whole rows."""
     ends, first = np.cumsum(lengths), 0
     while first < len(lengths):
         start = ends[first] - lengths[first]
-        last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, side="right")))
+        last = max(first + 1, min(first + ROWS, int(np.searchsorted(ends, start + CHUNK, side="right"))))
         yield slice(first, last), slice(start, ends[last - 1]), np.repeat(np.arange(last - first), lengths[first:last])
         first = last
 
@@ -81,9 +81,12 @@ def _frequencies(buckets: int):
     return run
 
 
-def _projected(row: np.ndarray, bucket: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    return np.add.reduceat(w[:, None] * basis[bucket], starts, axis=0)
+def _matrix(row: np.ndarray, bucket: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and the rows over these."""
+    used, at = np.unique(bucket, return_inverse=True)
+    a = np.zeros((row[-1] + 1, len(used)))
+    a[row, at] = w
+    return used, a
 
 
 def _gram_product(bags: DataFrame, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -98,11 +101,8 @@ def _gram_product(bags: DataFrame, weights: np.ndarray, q: np.ndarray) -> np.nda
             buckets, counts = (np.asarray(batch.column(c).flatten()) for c in ("bucket", "count"))
             for _, part, row in _pieces(np.asarray(batch.column("bucket").value_lengths())):
                 bucket = buckets[part]
-                w = _unit(row, bucket, counts[part], weights)
-                rows = _projected(row, bucket, w, q)
-                order = np.argsort(bucket, kind="stable")
-                starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                total[bucket[order][starts]] += np.add.reduceat(w[order, None] * rows[row[order]], starts, axis=0)
+                used, a = _matrix(row, bucket, _unit(row, bucket, counts[part], weights))
+                total[used] += a.T @ (a @ q[used])
         parts = np.array_split(total, PARTS)
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "task", "sums"])
@@ -140,7 +140,8 @@ class Encoder:
                 flat = np.concatenate([np.asarray(bags.iloc[k]) for k in some])
                 for rows, part, row in _pieces(lengths[some]):
                     row, bucket, count = _counted(row, flat[part], len(weights))
-                    v = _projected(row, bucket, _unit(row, bucket, count, weights), basis)
+                    used, a = _matrix(row, bucket, _unit(row, bucket, count, weights))
+                    v = a @ basis[used]
                     size = np.linalg.norm(v, axis=1)
                     for k, x, n in zip(some[rows], v, size, strict=True):
                         if n > 1e-9:
