@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
 from granary.functions.text import bound, occurrences, tokens
+from granary.operators.graph import BEAM, Graph, search_shards
 from granary.operators.postings import blocks_of, query_blocks, search_blocks, shard_of, shards_for
 from granary.sources.landing import landed, landing_path, spread
 
@@ -240,6 +241,37 @@ def _meet(shared, top: int, names: list[str]):
     return run
 
 
+def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Row by row, as dense() scores them."""
+    return _rounded(_in_order(v, q) / (np.sqrt(_in_order(q, q)) * np.sqrt(_in_order(v, v))))
+
+
+def dense_graph(graph: Graph, queries: DataFrame, top: int = DENSE_TOP, keep: Column | None = None, vectors: DataFrame | None = None, beam: int = BEAM, id_col: str = "id", block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, rank, id, score): what dense() gives, but by walks over a standing graph, so a hit may be missed.
+
+    `keep` is a condition on the columns of `vectors`, which holds the graph's ids; it acts before the cut. Scores are
+    exact. Zero vectors have no cosine and are never hits; queries that are null, zero or hold a null or a non-finite
+    number have none. A wider beam misses less and costs in proportion.
+    """
+    spark = graph.rows.sparkSession
+    kept = None
+    if keep is not None:
+        if vectors is None:
+            raise ValueError("a filter needs the table whose columns it reads")
+        ids = vectors.where(keep).select(F.col(id_col).alias("id")).where("id is not null")
+        kept = ids.groupBy(shard_of(F.col("id"), F.lit(graph.shards)).alias("shard")).agg(F.collect_set("id").alias("kept"))  # at most a shard's ids
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    asked = queries.where((F.size("vector") > 0) & F.forall("vector", finite)).select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    kind = asked.schema["query_id"].dataType
+    found = None
+    for names, q in _blocks(asked, block_bytes):
+        hits = search_shards(graph, kept, spark.sparkContext.broadcast((pa.array(names, to_arrow_type(kind)), q)), kind, top, beam, _cosine)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("id", graph.rows.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())]))
+    return ranked(found, top, "id").select("query_id", "rank", "id", "score")
+
+
 def _rounded(x: np.ndarray) -> np.ndarray:
     """To six decimals, halves away from zero."""
     return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5), x) / 1e6
@@ -311,7 +343,8 @@ class Searcher:
 
     keep is a condition on the columns of corpus and vectors alike; prefix is put before a query's text where a model
     encodes it (encode: a column function from text to vector), not before passages. Queries: (query_id, text, vector);
-    the vector column isn't read where there is an encoder.
+    the vector column isn't read where there is an encoder. With a graph of the vectors, the dense arm walks it (fast, may
+    miss hits); without one it is exact.
     """
 
     corpus: DataFrame
@@ -321,9 +354,12 @@ class Searcher:
     encode: Callable[[Column], Column] | None = None
     prefix: str = ""
     scorer: Callable[[Column, Column], Column] = lexical_score
+    graph: Graph | None = None
 
     def dense(self, queries: DataFrame) -> DataFrame:
         asked = queries if self.encode is None else queries.withColumn("vector", self.encode(F.concat(F.lit(self.prefix), F.col("text"))))
+        if self.graph is not None:
+            return dense_graph(self.graph, asked, keep=self.keep, vectors=self.vectors)
         return dense(self.vectors, asked, keep=self.keep)
 
     def bm25(self, queries: DataFrame) -> DataFrame:

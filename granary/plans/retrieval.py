@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from granary.config import STOPWORDS
 from granary.operators import retrieval as R
 from granary.operators.encoder import Encoder, encoded, fit_encoder
+from granary.operators.graph import Graph, build_graph
 from granary.sources.landing import landed, stored
 from granary.sources.tables import table
 
@@ -74,6 +75,21 @@ def dense_filtered_topk(spark, d):
     return R.dense(vectors(spark, d), asked(spark, d), keep=F.col("label").isin(1, 3, 5))
 
 
+def graph(spark: SparkSession, d: str) -> Graph:
+    """The graphs of the vectors, built once in an application for each state of the table's files."""
+    return stored(spark, "graph", [f"{d}/embeddings.parquet"], lambda: build_graph(vectors(spark, d)))
+
+
+def graph_topk(spark, d):
+    """dense_topk by walks over the graphs; a hit may be missed, so there is no SQL."""
+    return R.Searcher(corpus(spark, d), vectors(spark, d), graph=graph(spark, d)).search("dense", asked(spark, d))
+
+
+def graph_filtered_topk(spark, d):
+    """dense_filtered_topk by walks over the graphs."""
+    return R.Searcher(corpus(spark, d), vectors(spark, d), keep=F.col("label").isin(1, 3, 5), graph=graph(spark, d)).search("dense", asked(spark, d))
+
+
 def hybrid_rrf(spark, d):
     return R.rrf(dense_topk(spark, d), bm25_topk(spark, d), anchor=False)
 
@@ -261,7 +277,7 @@ SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg
   round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness, median(took) AS latency_ms
 FROM rows GROUP BY GROUPING SETS ((mode), (category, mode))"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, text_dense_topk, text_eval_by_mode, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, graph_topk, graph_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, text_dense_topk, text_eval_by_mode, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
 ORACLES = {
     "bm25_topk": f"WITH {_BASE}, {_bm25()} {_CONTENT} bm25",
     "bm25_filtered_topk": f"WITH {_BASE}, {_bm25(_NARROW)} {_CONTENT} bm25",
