@@ -19,6 +19,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores in front until no column is called so (names are equal whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -35,12 +43,6 @@ def count_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """Non-overlapping occurrences of a term, whatever the case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return ((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term)).cast("int")
-
-
 def topic(headline: Column) -> Column:
     low = F.lower(headline)
     return F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in TOPICS.items()))

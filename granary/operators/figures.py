@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions.dates import fiscal_quarter, fiscal_year, pct_change, period_kind, period_label
+from granary.functions.text import free_name
 from granary.sources.landing import landed
 
 #: Candidate tags of each metric in order, units, metrics whose parts add up, and forms that count.
@@ -153,8 +154,8 @@ def margin_trend(rows: DataFrame, ticker: str, n_quarters: int = 8) -> DataFrame
 
 
 def compare_tickers(rows: DataFrame, tickers: list[str], metric: str = "revenue", n_quarters: int = 1) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"), F.desc("fiscal_qtr")))
-    return rows.where(F.col("ticker").isin(*tickers) & (F.col("metric") == metric) & (F.col("fiscal_qtr") > 0)).withColumn("nth", nth).where(F.col("nth") <= n_quarters)
+    nth, held = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"), F.desc("fiscal_qtr"))), free_name("nth", rows.columns)
+    return rows.where(F.col("ticker").isin(*tickers) & (F.col("metric") == metric) & (F.col("fiscal_qtr") > 0)).withColumn(held, nth).where(F.col(held) <= n_quarters).drop(held)
 
 
 def available_metrics(rows: DataFrame, ticker: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.config import OVERLAP_TOKENS, TARGET_TOKENS
-from granary.functions.text import count_words, date_of, guided_period, html_lines, outlook_block, slug
+from granary.functions.text import count_words, date_of, free_name, guided_period, html_lines, outlook_block, slug
 
 #: Items of interest by form, and the part they must stand in.
 SECTIONS = {
@@ -27,10 +27,12 @@ def earnings_releases(form: Column, items: Column) -> Column:
 
 
 def choose_filings(filings: DataFrame, limits: dict[str, int], by: str = "ticker", form: str = "form", order: tuple = ()) -> DataFrame:
-    """The newest `limits[form]` filings of each form, stable by the order columns."""
+    """The newest `limits[form]` filings of each form, stable by the order columns. Their rank is nth; where there is a
+    column of that name, it stays, and the rank has underscores in front."""
     rank = F.row_number().over(Window.partitionBy(by, form).orderBy(*order))
     most = F.coalesce(*(F.when(F.col(form) == f, F.lit(n)) for f, n in limits.items()), F.lit(0))
-    return filings.withColumn("nth", rank).where(F.col("nth") <= most)
+    nth = free_name("nth", filings.columns)
+    return filings.withColumn(nth, rank).where(F.col(nth) <= most)
 
 
 def exhibit_or_primary(cells: DataFrame, filings: DataFrame) -> DataFrame:
@@ -197,4 +199,5 @@ def guidance(candidates: DataFrame) -> DataFrame:
 def latest_guidance(rows: DataFrame, limit: int = 3) -> DataFrame:
     """The `limit` most recently given rows of each company, newest first; ties go by period and document."""
     nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("given_on"), "fiscal_period", "source_doc_id"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth").orderBy("ticker", F.desc("given_on"), "fiscal_period", "source_doc_id")
+    held = free_name("nth", rows.columns)
+    return rows.withColumn(held, nth).where(F.col(held) <= limit).drop(held).orderBy("ticker", F.desc("given_on"), "fiscal_period", "source_doc_id")

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
-from granary.functions.text import bound, occurrences, tokens
+from granary.functions.terms import term_counts
+from granary.functions.text import bound, tokens
 from granary.operators.graph import BEAM, Graph, search_shards
 from granary.operators.postings import blocks_of, query_blocks, search_blocks, shard_of, shards_for
 from granary.sources.landing import landed, landing_path, spread
@@ -434,19 +435,32 @@ def aggregate_scores(scores: DataFrame, levels: list[tuple[str, ...]]) -> DataFr
 
 def relevant_chunks(chunks: DataFrame, any_terms: list[str], all_terms: list[str] = (), without: list[str] = (), min_hits: int = 2, specific: int = 18, keep: Column | None = None, text_col: str = "text") -> DataFrame:
     """Chunks that are about something: all of all_terms, one of any_terms, none of `without` (case apart); and
-    min_hits occurrences of any_terms in all, or one of a term of `specific` characters. % and _ in terms match freely."""
-    text = F.col(text_col)
+    min_hits occurrences of any_terms in all, or one of a term of `specific` characters. % and _ in terms match freely.
+
+    One pass over a text finds all plain terms, however many they are; only terms that match freely are tried one by one.
+    """
+    text, cond = F.col(text_col), F.lit(True)
+    free = lambda t: any(c in t for c in "%_\\")
     like = lambda t: text.ilike(f"%{t}%")
-    cond = F.lit(True) if keep is None else keep
-    for t in all_terms:
+    rows = chunks if keep is None else chunks.where(keep)
+    plain = [[t for t in terms if not free(t)] for terms in (all_terms, without)]
+    terms = [*any_terms, *plain[0], *plain[1]]
+    some, needed, barred = len(any_terms), len(any_terms) + len(plain[0]), len(terms)
+    for t in filter(free, all_terms):
         cond = cond & like(t)
-    for t in without:
+    for t in filter(free, without):
         cond = cond & ~like(t)
-    if any_terms:
-        one, total, sure = F.lit(False), F.lit(0), F.lit(False)
-        for t in any_terms:
-            one, total = one | like(t), total + occurrences(text, t)
-            if len(t) >= specific:
-                sure = sure | (occurrences(text, t) > 0)
-        cond = cond & one & ((total >= min_hits) | sure)
-    return chunks.where(cond)
+
+    def found(hits: Column) -> Column:
+        within = lambda a, b: F.filter(hits, lambda h: (h["at"] >= a) & (h["at"] < b))
+        out = (F.size(within(some, needed)) == needed - some) & (F.size(within(needed, barred)) == 0)
+        if not any_terms:
+            return out
+        one = F.size(within(0, some)) > 0
+        for t in filter(free, any_terms):
+            one = one | like(t)
+        total = F.aggregate(within(0, some), F.lit(0), lambda n, h: n + h["n"])
+        sure = F.exists(within(0, some), lambda h: F.length(h["term"]) >= specific)
+        return out & one & ((total >= min_hits) | sure)
+
+    return rows.where(cond).where(bound(term_counts(chunks.sparkSession, text, terms), found)) if terms else rows.where(cond)

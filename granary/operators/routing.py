@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.config import COMPANIES
+from granary.functions.text import free_name
 
 #: The words of each signal, as patterns.
 SIGNALS = {
@@ -92,34 +93,44 @@ def with_model(routed: DataFrame, responses: DataFrame, key: str) -> DataFrame:
     """Routed questions in which a model decides where no rule did. responses: (key, response); null: unavailable.
 
     method becomes llm where the response names a route, llm_invalid where it names none, and llm_unavailable where there
-    is no response; the route of the last two stays FILING_RAG.
+    is no response; the route of the last two stays FILING_RAG. Other columns stay, whatever they are called.
     """
-    asked = routed.join(responses.select(key, F.col("response").alias("model_response")), key, "left")
-    open_, named = F.col("method") == "no_rule_default", labelled_route(F.col("model_response"))
-    method = F.when(F.col("model_response").isNull(), "llm_unavailable").when(named.isNull(), "llm_invalid").otherwise("llm")
-    out = asked.withColumn("named", named).withColumn("route", F.when(open_, F.coalesce("named", F.lit("FILING_RAG"))).otherwise(F.col("route")))
-    return out.withColumn("method", F.when(open_, method).otherwise(F.col("method"))).drop("named", "model_response")
+    said = free_name("said", [*routed.columns, key])
+    asked = routed.join(responses.select(key, F.col("response").alias(said)), key, "left")
+    named = labelled_route(F.col(said))
+    method = F.when(F.col(said).isNull(), "llm_unavailable").when(named.isNull(), "llm_invalid").otherwise("llm")
+    open_ = F.col("method") == "no_rule_default"
+    out = {"route": F.when(open_, F.coalesce(named, F.lit("FILING_RAG"))).otherwise(F.col("route")), "method": F.when(open_, method).otherwise(F.col("method"))}
+    return asked.withColumns(out).drop(said)
 
 
 def route(questions: DataFrame, now: Column, query: str = "query") -> DataFrame:
-    """questions with tickers, window_days, date_from, news_signal, method, route and plan.
+    """questions with tickers, window_days, date_from, news_signal, method, route and plan; other columns stay as they are.
 
     Where no rule decides, the route is FILING_RAG and the method no_rule_default; the model's seam is outside plans.
     date_from bounds only NEWS and CROSS_SOURCE.
     """
     text = F.coalesce(F.col(query), F.lit(""))
-    signals = questions.withColumns({name: matches(text, p) for name, p in SIGNALS.items()}).withColumns({"tickers": tickers(text), "window_days": window_days(text)})
-    numeric, news, filing, narrative = (F.col(c) for c in ("numeric", "news", "filing", "narrative"))
-    several, recent = F.size("tickers") > 1, F.col("window_days").isNotNull()
+    held = free_name("signals", questions.columns)
+    found = F.struct(*(matches(text, p).alias(name) for name, p in SIGNALS.items()), tickers(text).alias("tickers"), window_days(text).alias("window_days"))
+    numeric, news, filing, narrative, reconcile, compare, named, days = (F.col(held)[c] for c in ("numeric", "news", "filing", "narrative", "reconcile", "compare", "tickers", "window_days"))
+    several, recent = F.size(named) > 1, days.isNotNull()
     rule = (
-        F.when(F.col("reconcile") & (news | filing), "CROSS_SOURCE")
-        .when(several & (F.col("compare") | numeric | filing | news), "CROSS_SOURCE")
+        F.when(reconcile & (news | filing), "CROSS_SOURCE")
+        .when(several & (compare | numeric | filing | news), "CROSS_SOURCE")
         .when(numeric & (narrative | filing), "MIXED")
         .when(numeric & ~news, "NUMERIC")
         .when(news | (recent & ~filing), "NEWS")
         .when(filing, "FILING_RAG")
     )
-    out = signals.withColumn("rule", rule).withColumn("route", F.coalesce("rule", F.lit("FILING_RAG"))).withColumn("method", F.when(F.col("rule").isNull(), "no_rule_default").otherwise("rule"))
-    bounded = F.col("route").isin("NEWS", "CROSS_SOURCE")
-    out = out.withColumn("date_from", F.when(bounded, F.date_sub(F.to_date(now), F.col("window_days")))).withColumn("plan", F.when(F.col("route").isin("NUMERIC", "MIXED", "CROSS_SOURCE"), plan(text, F.col("tickers"))))
-    return out.withColumn("news_signal", news | recent).drop("rule", "news", "numeric", "filing", "narrative", "reconcile", "compare")
+    chosen = F.coalesce(rule, F.lit("FILING_RAG"))
+    out = {
+        "tickers": named,
+        "window_days": days,
+        "route": chosen,
+        "method": F.when(rule.isNull(), "no_rule_default").otherwise("rule"),
+        "date_from": F.when(chosen.isin("NEWS", "CROSS_SOURCE"), F.date_sub(F.to_date(now), days)),
+        "plan": F.when(chosen.isin("NUMERIC", "MIXED", "CROSS_SOURCE"), plan(text, named)),
+        "news_signal": news | recent,
+    }
+    return questions.withColumn(held, found).withColumns(out).drop(held)

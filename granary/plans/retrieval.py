@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.config import STOPWORDS
+from granary.functions.terms import term_hits
 from granary.operators import retrieval as R
 from granary.operators.encoder import Encoder, encoded, fit_encoder
 from granary.operators.graph import Graph, build_graph
@@ -193,6 +194,12 @@ def relevance_rule(spark, d):
     return rows.select("id", "source")
 
 
+def term_frequencies(spark, d):
+    """In how many documents the long words of the items stand, alone or inside other words, and how often."""
+    words = items(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))).alias("term"))
+    return term_hits(corpus(spark, d), words).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+
+
 def hydrated_hits(spark, d):
     return R.hydrate(bm25_topk(spark, d).where("rank <= 6"), corpus(spark, d)).select("query_id", "rank", "id", F.substring("text", 1, 1800).alias("text"))
 
@@ -277,7 +284,7 @@ SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg
   round(avg(hit), 6) AS hit, round(avg(ceiling), 6) AS ceiling, round(avg(freshness), 6) AS freshness, median(took) AS latency_ms
 FROM rows GROUP BY GROUPING SETS ((mode), (category, mode))"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, graph_topk, graph_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, text_dense_topk, text_eval_by_mode, retrieval_pool, retrieval_eval_by_mode, relevance_rule, hydrated_hits, manifest)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_dated_topk, corpus_stats_idf, dense_topk, dense_filtered_topk, graph_topk, graph_filtered_topk, hybrid_rrf, hybrid_rrf_anchored, reranked, compared_modes, text_dense_topk, text_eval_by_mode, retrieval_pool, retrieval_eval_by_mode, relevance_rule, term_frequencies, hydrated_hits, manifest)}
 ORACLES = {
     "bm25_topk": f"WITH {_BASE}, {_bm25()} {_CONTENT} bm25",
     "bm25_filtered_topk": f"WITH {_BASE}, {_bm25(_NARROW)} {_CONTENT} bm25",
@@ -306,6 +313,10 @@ SELECT id, source FROM c
 WHERE (length(t) - length(replace(t, 'tion', ''))) // 4 + (length(t) - length(replace(t, 'and the ', ''))) // 8
     + (length(t) - length(replace(t, 'the the the the the', ''))) // 19 >= 8
   OR contains(t, 'the the the the the')""",
+    "term_frequencies": """
+WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS term FROM benchmark),
+hits AS (SELECT term, (length(t) - length(replace(t, term, ''))) // length(term) AS n FROM (SELECT lower(text) AS t FROM documents), terms WHERE contains(t, term))
+SELECT term, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY term""",
     "hydrated_hits": f"WITH {_BASE}, {_bm25()} SELECT query_id, CAST(rank AS INT) AS rank, id, coalesce(text, '')[1:1800] AS text FROM bm25 LEFT JOIN documents ON id = doc_id WHERE rank <= 6",
     "manifest": "SELECT lang, source, count(*) AS n, min(doc_id) AS first FROM documents WHERE lang IN ('de', 'fr') GROUP BY ALL",
 }
