@@ -8,8 +8,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: More characters of terms than this aren't sent to the tasks.
-MOST_CHARACTERS = 16 << 20
+#: More characters of terms than this do not go to a task at once: its automaton takes some 50 bytes for each.
+MOST_CHARACTERS = 1 << 20
 
 
 def term_counts(spark: SparkSession, text: Column, terms: list[str]) -> Column:

@@ -433,6 +433,20 @@ def aggregate_scores(scores: DataFrame, levels: list[tuple[str, ...]]) -> DataFr
     return scores.groupingSets([[F.col(c) for c in level] for level in levels], *map(F.col, keys)).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS), *timed)
 
 
+def evaluate_modes(searcher: Searcher, queries: DataFrame, judgements: DataFrame, k: int = 5, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """Scores of each mode with latency_ms, the measured time of its search over the number of queries.
+
+    A mode runs for all queries at once, so that time is an average, not a single query's. The first failure of a mode is
+    an error here, as its scores would be zeros.
+    """
+    hits, said = compare_modes(searcher, queries, modes=modes)
+    if failed := [f"{x['mode']}: {x['error']}" for x in said if x["error"]]:
+        raise RuntimeError("; ".join(failed))
+    n = max(1, queries.count())
+    took = F.coalesce(*(F.when(F.col("mode") == x["mode"], F.lit(x["latency_ms"] / n)) for x in said))
+    return aggregate_scores(evaluate(hits, judgements, ["mode"], k).withColumn("latency_ms", took), [("mode",)])
+
+
 def relevant_chunks(chunks: DataFrame, any_terms: list[str], all_terms: list[str] = (), without: list[str] = (), min_hits: int = 2, specific: int = 18, keep: Column | None = None, text_col: str = "text") -> DataFrame:
     """Chunks that are about something: all of all_terms, one of any_terms, none of `without` (case apart); and
     min_hits occurrences of any_terms in all, or one of a term of `specific` characters. % and _ in terms match freely.

@@ -171,3 +171,13 @@ def test_brief_and_report(spark):
     scores = spark.createDataFrame([("bm25", None, 2, 0.5, 0.25, 1.0, 1.0, 0.5, 12.0), ("bm25", "odd", 1, 0.5, 0.25, 0.5, 1.0, 0.5, 12.0)], "mode string, category string, n long, recall double, precision double, mrr double, hit double, freshness double, latency_ms double")
     report = S.results_markdown(scores, "r1", R.MODES)
     assert "| `bm25` | 0.500 | 0.250 | 1.000 | 1.000 | 0.500 | 12 |" in report and "| odd | 0.500 |" in report and "`dense`" not in report
+
+
+def test_modes_are_timed_as_they_run(spark):
+    s = R.Searcher(chunks(spark), vectors(spark), R.build_index(chunks(spark)))
+    judged = spark.createDataFrame([(1, "b", True), (2, "c", False)], "query_id int, id string, current boolean")
+    got = {r["mode"]: r for r in R.evaluate_modes(s, asked(spark), judged).collect()}
+    assert set(got) == set(R.MODES) and all(r.latency_ms > 0 and r.n == 2 for r in got.values())
+    assert got["bm25"].recall == 1.0 and got["dense"].recall == 0.5
+    with pytest.raises(RuntimeError):
+        R.evaluate_modes(s, asked(spark).drop("vector"), judged, modes=("bm25", "dense"))
