@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,16 @@ def pack_block(lengths: list[int], capacity: int = 1024) -> tuple[list[tuple[int
     total = sum(lengths)
     rest = total % capacity
     sizes = [capacity] * (total // capacity) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
-    room, used = np.array(sizes, dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-    cost = np.zeros(len(sizes))
+    room, used, cost = list(sizes), [0] * len(sizes), [0.0] * len(sizes)
+    rooms, by_cost = np.array(room, dtype=np.int64), np.array(cost)  # the same for scans
     rows: list[tuple[int, int, int, int, int]] = []
 
     def put(doc: int, start: int, n: int, seq: int) -> None:
-        rows.append((doc, start, n, seq, int(used[seq])))
+        rows.append((doc, start, n, seq, used[seq]))
         used[seq] += n
         room[seq] -= n
         cost[seq] += costs(n)
+        rooms[seq], by_cost[seq] = room[seq], cost[seq]
 
     seq, items = 0, []
     for doc, n in enumerate(lengths):
@@ -58,14 +60,39 @@ def pack_block(lengths: list[int], capacity: int = 1024) -> tuple[list[tuple[int
         if n % capacity:
             items.append((n % capacity, doc, whole * capacity))
     items.sort(key=lambda x: (-x[0], x[1]))
+    # Pieces get shorter, so a sequence without room for one waits for the first piece that it can hold. Entries whose cost
+    # or room is no longer the sequence's own are stale.
+    heap: list[tuple[float, int]] = []
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k, r in enumerate(room):
+        waiting[r].append(k)
+    longest = capacity + 1
     for n, doc, start in items:
-        while n:
-            fits = np.where(room >= n, cost, np.inf)
-            at = int(fits.argmin())
-            if fits[at] == np.inf:
-                at = int(np.where(room > 0, cost, np.inf).argmin())
-            part = min(n, int(room[at]))
+        for r in range(n, longest):
+            for k in waiting[r]:
+                if room[k] == r:
+                    heappush(heap, (cost[k], k))
+        longest = n
+
+        def settle(k: int, least: int = n) -> None:
+            if room[k] >= least:
+                heappush(heap, (cost[k], k))
+            else:
+                waiting[room[k]].append(k)
+
+        while heap and (cost[heap[0][1]] != heap[0][0] or room[heap[0][1]] < n):
+            heappop(heap)
+        if heap:
+            at = heappop(heap)[1]
+            put(doc, start, n, at)
+            settle(at)
+            continue
+        while n:  # cut: each part but the last fills a sequence, so there are at most as many cuts as sequences
+            fits = rooms >= n
+            at = int(np.where(fits if fits.any() else rooms > 0, by_cost, np.inf).argmin())
+            part = min(n, room[at])
             put(doc, start, part, at)
+            settle(at)
             n, start = n - part, start + part
     return rows, len(sizes)
 

@@ -1,10 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.language_id import MARGIN, LanguageModel, Predictor, calibrate, fit_language_model, in_unseen_letters, keep_known_languages, predict_languages, softmax, words_of
+from granary.llm.language_id import MARGIN, LanguageModel, Predictor, calibrate, fit_language_model, in_unseen_letters, keep_known_languages, predict_languages, softmax, subwords, words_of
 from granary.llm.queries_docs import held_out, op4_language_id
 
 SYLLABLES = {"aa": ["ba", "na", "ta", "ka"], "bb": ["eux", "ille", "eau"], "cc": ["sch", "ung", "keit"]}
@@ -34,6 +35,23 @@ def test_learns_rejects_and_keeps(spark):
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [5, None, 5]
 
 
+def test_predictions_against_sums_over_subwords_one_by_one(spark):
+    docs = spark.createDataFrame(corpus(200), "doc_id long, text string, lang string, score double")
+    model = fit_language_model(docs)
+    texts = ["naka bata eaueux", "schung x", "eau " * 500 + "ta", "Keit-KEIT 7 kéit", "naka bata eaueux"]
+    for text, (lang, score, rejected) in zip(texts, Predictor(model).predict(texts), strict=True):
+        total, n = [0.0] * len(model.languages), 0
+        for word in words_of(text):
+            for bucket in subwords(word):
+                n += 1
+                for k in range(len(total)):
+                    total[k] += float(model.scores[bucket][k])
+        odds = [math.exp(t / n * model.scale) for t in total]
+        best = max(range(len(odds)), key=lambda k: odds[k])
+        assert lang == model.languages[best] and score == pytest.approx(odds[best] / sum(odds), rel=1e-9)
+        assert rejected == (score < model.threshold)
+
+
 def test_without_labels_and_on_empty_tables(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = fit_language_model(docs)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -66,6 +67,13 @@ def test_block_against_a_naive_packer(lengths, capacity):
     assert pack_block(lengths, capacity) == naive(lengths, capacity)
 
 
+def test_a_block_of_tiny_documents_is_quick():
+    start = time.time()
+    rows, n = pack_block([1] * (1 << 18) + [0] * 1000)
+    assert n == 256 and len(rows) == 1 << 18 and len({(r[3], r[4]) for r in rows}) == 1 << 18
+    assert time.time() - start < 5
+
+
 def test_very_long_texts(spark):
     texts = ["x" + " " * 1_100_000 + "a", "\n" * 1_500_000, "a" * 300_000, "a b " * 300_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
