@@ -167,7 +167,9 @@ def write_graph(vectors: DataFrame, path: str, id_col: str = "id", vector_col: s
         return _shard_row(key, table, to_arrow_type(kind), arrow)
 
     placed = rows.withColumns({"shard": shard_of(F.col("id"), F.lit(shards)), "width": F.size("v")})
-    placed.groupBy("shard", "width").applyInArrow(build, schema).withColumn("shards", F.lit(shards)).write.mode("overwrite").parquet(path)
+    dealt = placed.repartition(min(shards, 8 * spark.sparkContext.defaultParallelism), "shard")
+    built = dealt.groupBy("shard", "width").applyInArrow(build, schema).withColumn("shards", F.lit(shards))
+    built.write.mode("overwrite").option("maxRecordsPerFile", 1).parquet(path)  # rows are large: no reader's batch holds two
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
