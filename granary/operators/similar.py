@@ -124,6 +124,23 @@ def with_class(items: DataFrame, known: DataFrame, apart: Column) -> DataFrame:
 # --- greedy order --------------------------------------------------------------
 
 
+def nearest_of(rows: np.ndarray, v: np.ndarray) -> tuple[int, float]:
+    """The first row of the greatest inner product with v, and that product, summed in element order as SQL engines do.
+
+    A matrix product sums in an order of its own, so it only picks the rows that rounding may leave nearest; -1 of none.
+    """
+    if not len(rows):
+        return -1, 0.0
+    rough = rows @ v
+    slack = 1e-14 * len(v) * (np.abs(v).max(initial=0.0) * np.abs(rows).max(initial=0.0) * len(v))
+    at = np.flatnonzero(rough >= rough.max() - slack)
+    if not len(at):  # not a number
+        return -1, 0.0
+    exact = np.cumsum(rows[at] * v, axis=1)[:, -1]
+    best = int(exact.argmax())
+    return int(at[best]), float(exact[best])
+
+
 def leaders(members: DataFrame, labels: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(group, article_id, target) of the items of components: the item that each copy, or displaced original, points to.
 
@@ -142,9 +159,8 @@ def leaders(members: DataFrame, labels: DataFrame, known: DataFrame, threshold:
                 v = np.array(r["v"])
                 if r["label"] != label:
                     label, names, stay = r["label"], [], np.zeros((8, len(v)))
-                sims = stay[: len(names)] @ v
-                best = int(sims.argmax()) if len(names) else -1
-                copy = best >= 0 and sims[best] > 0 and sims[best] >= threshold
+                best, sim = nearest_of(stay[: len(names)], v)
+                copy = sim > 0 and sim >= threshold
                 replaces = copy and names[best][1] and not r["redirect"]
                 if copy and not replaces:
                     out.append((r["group"], r["article_id"], names[best][0]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from granary.operators import news as N
-from granary.operators.similar import connected, links
+from granary.operators.similar import connected, links, nearest_of
 
 SCHEMA = "ticker string, article_id string, published_at long, url string, vector array<double>"
 
@@ -108,3 +108,21 @@ def test_connected_against_a_walk(spark):
     got = {r.node: r.label for r in connected(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
     assert got == want
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_nearest_is_that_of_sums_in_element_order():
+    """Rows that differ in the order of their products only: the sums differ by rounding, and SQL's order decides."""
+    gen, other = np.random.default_rng(3), 0
+    for _ in range(200):
+        products = gen.normal(size=64)
+        rows, v = np.array([gen.permutation(products) for _ in range(12)]), np.ones(64)
+        sums = []
+        for row in rows.tolist():
+            total = 0.0
+            for x in row:
+                total += x
+            sums.append(total)
+        assert nearest_of(rows, v) == (sums.index(max(sums)), max(sums))
+        other += int((rows @ v).argmax()) != sums.index(max(sums))
+    assert other > 20
+    assert nearest_of(np.zeros((0, 2)), np.ones(2)) == (-1, 0.0)
