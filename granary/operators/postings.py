@@ -44,6 +44,14 @@ def block_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("term", T.StringType()), *packed, T.StructField("ids", T.ArrayType(id_type))])
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of runs of values of these sizes, as one array over the values themselves; a null at the end."""
+    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize, [values.nbytes]]).astype(np.int64)
+    known = np.packbits(np.arange(len(sizes) + 1) < len(sizes), bitorder="little")
+    packed = pa.Array.from_buffers(pa.large_binary(), len(sizes) + 1, [pa.py_buffer(known.tobytes()), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+    return packed.cast(pa.binary())
+
+
 def blocks_of(impacts: DataFrame, shards: int) -> DataFrame:
     """impacts (id, term, impact) -> a row for each shard and term, and one of each shard's ids in order.
 
@@ -58,20 +66,20 @@ def blocks_of(impacts: DataFrame, shards: int) -> DataFrame:
         rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
         terms = table.column("term").combine_chunks().dictionary_encode()
         text, term, impact = rank[ids.indices.to_numpy()], terms.indices.to_numpy(), table.column("impact").to_numpy()
-        by = np.lexsort((text, term))
+        by = np.argsort(term.astype(np.int64) * len(order) + text, kind="stable")
         text, term, impact = text[by], term[by], impact[by]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(text) != 0)]))
         text, term, impact = text[new], term[new], np.add.reduceat(impact, new)
         start = np.flatnonzero(np.concatenate([[True], np.diff(term) != 0]))
-        rows: list[list] = [[], [], [], []]
-        for a, z in zip(start.tolist(), [*start[1:].tolist(), len(term)], strict=True):
-            most = np.maximum.reduceat(impact[a:z], np.arange(0, z - a, BLOCK))
-            for column, values in zip(rows, (text[a:z], impact[a:z], text[a:z:BLOCK], most), strict=True):
-                column.append(values.tobytes())
-        names = terms.dictionary.take(pa.array(term[start])).to_pylist()
-        shard, n = key[0].as_py(), len(names) + 1
+        size = np.diff(np.append(start, len(term)))
+        blocks = -(-size // BLOCK)
+        block = np.repeat(start, blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        most = np.maximum.reduceat(impact, block)
+        columns = [_packed(v, n) for v, n in ((text, size), (impact, size), (text[block], blocks), (most, blocks))]
+        names = pa.concat_arrays([terms.dictionary.take(pa.array(term[start])), pa.array([TEXTS])])
+        shard, n = key[0].as_py(), len(names)
         id_lists = pa.ListArray.from_arrays(pa.array([0] * n + [len(order)], pa.int32()), ids.dictionary.take(order))
-        return pa.Table.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([*names, TEXTS]), *(pa.array([*column, None], pa.binary()) for column in rows), id_lists], names=schema.names)
+        return pa.Table.from_arrays([pa.array([shard] * n, pa.int32()), names, *columns, id_lists], names=schema.names)
 
     dealt = impacts.select(shard_of(F.col("id"), F.lit(shards)).alias("shard"), "id", "term", "impact")
     return dealt.groupBy("shard").applyInArrow(build, schema).sortWithinPartitions("term", "shard")

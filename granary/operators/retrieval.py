@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.config import BM25_B, BM25_EPSILON, BM25_K1, DENSE_TOP, FINAL_TOP, RRF_K, SPARSE_TOP
 from granary.functions.terms import term_counts
-from granary.functions.text import bound, tokens
+from granary.functions.text import bound, token_counts, tokens
 from granary.operators.graph import BEAM, Graph, search_shards
 from granary.operators.postings import blocks_of, query_blocks, search_blocks, shard_of, shards_for
 from granary.sources.landing import landed, landing_path, spread
 
-QUERY_BYTES = 8 << 20
+QUERY_BYTES, TEXT_BYTES = 8 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,15 +73,27 @@ def ranked(hits: DataFrame, top: int, *ties: str, score: str = "score") -> DataF
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl) of every term of every text; texts without tokens have no row.
 
-    A text is one row, so its terms are counted there, as runs of its sorted tokens: nothing is exchanged.
+    A text is one row, so its terms are counted there: nothing is exchanged. Batches hold a bounded number of bytes.
     """
-    def counted(t: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: (k == 0) | (F.get(t, k) != F.get(t, k - 1)))
-        run = lambda starts: F.transform(starts, lambda k, n: F.struct(F.get(t, k).alias("term"), (F.coalesce(F.get(starts, n + 1), F.size(t)) - k).alias("tf"), F.size(t).alias("dl")))
-        return F.when(F.size(t) > 0, bound(first, run))
+    rows = spread(corpus.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")))
+    schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
 
-    rows = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return rows.select("id", F.inline(bound(F.array_sort(tokens(F.col("text"))), counted))).select("id", "term", "tf", "dl")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(texts):
+                held = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, held + TEXT_BYTES, "right")))
+                counts = [token_counts(t.as_py()) for t in texts[at:to]]
+                of = np.repeat(np.arange(at, to), [len(c) for c in counts])
+                dl = np.repeat(np.array([sum(c.values()) for c in counts], dtype=np.int32), [len(c) for c in counts])
+                terms, tf = pa.array(list(chain.from_iterable(counts)), pa.string()), pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), terms, tf, pa.array(dl)], names=schema.names)
+                at = to
+
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions.text import tokens
 from granary.operators import retrieval as R
 from granary.operators.postings import BLOCK, Shard, blocks_of, search_blocks
+from granary.operators.retrieval import postings
 
 
 def naive(impacts, asked, top, allowed=None):
@@ -74,3 +76,11 @@ def test_bm25_of_many_blocks_of_queries_and_an_empty_corpus(spark):
     assert one == many and len({r[0] for r in one}) == 20
     assert R.bm25(docs.limit(0), queries).count() == 0 and R.bm25(docs, queries.limit(0)).count() == 0
     assert {r.id for r in R.bm25(docs, queries, keep=F.col("id") < 9).collect()} <= set(range(9))
+
+
+def test_terms_are_counted_as_the_column_of_tokens_has_them(spark):
+    texts = ["The 10-K, the 10-k. 1.5 and u.s. - a.b..c -d- x", "Kelvin İstanbul café über-bär 3² a_b", "", None, ".-.", "end.\nEnd\tend-", "aa " * 400_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(r.id, t): (r.t.count(t), len(r.t)) for r in rows.select("id", tokens(F.col("text")).alias("t")).where("id < 6").collect() for t in r.t} | {(6, "aa"): (400_000, 400_000)}
+    assert {(r.id, r.term): (r.tf, r.dl) for r in postings(rows).collect()} == want
+    assert "MapInArrow" in postings(rows)._jdf.queryExecution().executedPlan().toString()
