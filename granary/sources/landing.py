@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LANDED: dict[str, list[str]] = {}
 _STORED: dict[str, dict[tuple, object]] = {}
 Made = TypeVar("Made")
+#: Rows of a task whose work on each row is long.
+ROWS_A_TASK = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +69,10 @@ def fingerprint(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
     return path, len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where it has fewer partitions than that: a small file that is one task's work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows_a_task: int | None = None) -> DataFrame:
+    """df dealt to all cores where it has fewer partitions than that: a small file that is one task's work. With
+    rows_a_task, dealt to as many tasks as keep each at about that, so that a task doesn't grow with the table."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if rows_a_task:
+        tasks = max(tasks, -(-df.count() // rows_a_task))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
