@@ -30,7 +30,9 @@ from granary.llm.common import slices
 BUCKETS, WIDTH = 1 << 14, 16
 SAMPLE, REJECT, UNSEEN, UNKNOWN = 4000, 0.001, 0.999, "und"
 HELD, MARGIN = 5, 0.25
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
+#: Bytes of text that are cut into words at a time.
+SLICE_BYTES = 1 << 20
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -139,7 +141,7 @@ def fit_language_model(docs: DataFrame, learn: Column | None = None, id_col: str
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", max_bytes=SLICE_BYTES):
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
             texts, draws = part.column("text").to_pylist(), part.column("draw").to_pylist()
@@ -213,7 +215,7 @@ def _predictions(df: DataFrame, model: LanguageModel, text_col: str, schema: T.S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, max_bytes=SLICE_BYTES):
             yield rows(part, predictor.predict(part.column(text_col).to_pylist()))
 
     return df.mapInArrow(run, schema)
