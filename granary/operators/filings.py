@@ -20,6 +20,8 @@ SECTIONS = {
 _ITEM = r"(?i)^item\s+(1a|1b|1c|7a|9a|9b|10|11|12|13|14|15|[1-9])\.?(\s|$)"
 _WORD = re.compile(r"\S+")
 _PART = r"(?i)^part\s+(iv|iii|ii|i)\b"
+#: Chunks that a task holds before it hands them on: so many characters of text or rows.
+HELD_CHARS, HELD_ROWS = 1 << 20, 1 << 13
 
 
 def earnings_releases(form: Column, items: Column) -> Column:
@@ -132,18 +134,28 @@ def chunk(texts: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_
     """(id, section, text) and, if there, n -> (chunk_id, id, section, chunk_index, n_tokens, text).
 
     The number in chunk_id counts within a section, chunk_index over all sections of the document in order of n (without
-    n: of the section's name). A fold over lines, so it runs in Arrow batches; a text is never split over tasks. Tokens are
+    n: of the section's name). A fold over lines, so it runs in Arrow batches, text by text, and hands chunks
+    on in small batches of its own; a text is never split over tasks. Tokens are
     words, or what `spans` gives as places of characters, such as a subword tokenizer's. Every line of a chunk is a line of
     the text or a part of one, as it is written there. Null and blank texts have no chunk; an empty table gives none; other columns are not read.
     """
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["id", "n", "section", "k", "n_tokens", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for b in batches:
-            rows = []
-            for key, n, section, text in zip(*(b.column(c).to_pylist() for c in ("id", "n", "section", "text")), strict=True):
+            for row in zip(*(b.column(c) for c in ("id", "n", "section", "text")), strict=True):
+                key, n, section, text = (x.as_py() for x in row)
                 units = units_of(text, target, spans)
-                rows += [(key, n, section, k, sum(units[j][1] for j in c), "\n".join(units[j][0] for j in c)) for k, c in enumerate(pack(units, target, overlap))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["id", "n", "section", "k", "n_tokens", "text"])
+                for k, c in enumerate(pack(units, target, overlap)):
+                    rows.append((key, n, section, k, sum(units[j][1] for j in c), "\n".join(units[j][0] for j in c)))
+                    chars += len(rows[-1][-1])
+                    if chars >= HELD_CHARS or len(rows) >= HELD_ROWS:
+                        yield packed(rows)
+                        rows, chars = [], 0
+        if rows:
+            yield packed(rows)
 
     nth = F.col("n").cast("int") if "n" in texts.columns else F.lit(None).cast("int")
     done = texts.select(F.col("id").cast("string").alias("id"), nth.alias("n"), "section", "text").mapInArrow(run, "id string, n int, section string, k int, n_tokens int, text string")

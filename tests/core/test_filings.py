@@ -1,11 +1,12 @@
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions.dates import fiscal_quarter, fiscal_year, period_kind
 from granary.functions.text import guided_period, html_to_text, outlook_block, tokens
-from granary.operators.filings import chunk, exhibit_or_primary, guidance, guidance_candidates, index_cells, latest_guidance, pack, sections
+from granary.operators.filings import chunk, exhibit_or_primary, guidance, guidance_candidates, index_cells, latest_guidance, pack, sections, units_of
 from granary.sources.tables import html_files
 
 
@@ -146,3 +147,20 @@ def test_chunks_are_slices_of_their_text(spark):
         assert [r.chunk_index for r in rows] == list(range(len(rows)))
     kept = chunk(df, 20, 0).orderBy("chunk_index").collect()
     assert "".join("".join(r.text for r in kept).split()) == "".join(text.split())
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    """What a task holds doesn't grow with the rows of an Arrow batch, nor with what overlaps make of one text."""
+    caught, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, through=kind.mapInArrow: caught.append(f) or through(self, f, *a))
+    words = " ".join(["word"] * 30)
+    texts = ["\n".join([f"{k} {words}"] * 10) for k in range(1500)] + [None, " "] + ["\n".join([words] * 3000), "\n".join(["a"] * 30_000)] + ["b"] * 9000
+    df = spark.createDataFrame([(f"{k:05d}", "s", x) for k, x in enumerate(texts)], "id string, section string, text string").coalesce(1)
+    got = chunk(df, 60, 12).orderBy("id", "chunk_index").select("id", "n_tokens", "text").collect()
+    wanted = [(f"{k:05d}", sum(u[j][1] for j in c), "\n".join(u[j][0] for j in c)) for k, x in enumerate(texts) for u in [units_of(x, 60)] for c in pack(u, 60, 12)]
+    assert [tuple(r) for r in got] == wanted
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k:05d}" for k in range(len(texts))]), pa.array([None] * len(texts), pa.int32()), pa.array(["s"] * len(texts)), pa.array(texts)], ["id", "n", "section", "text"])
+    sizes = [(b.num_rows, b.column("text").nbytes) for b in caught[0](iter([batch, batch.slice(1500, 2), batch.slice(0, 0), batch]))]
+    assert sum(n for n, _ in sizes) == 2 * len(wanted)
+    assert max(x for _, x in sizes) < 1.2 * 2**20 and max(n for n, _ in sizes) <= 1 << 13 and len(sizes) < 20
+    assert list(caught[0](iter([batch.slice(1500, 2)]))) == [] and chunk(df.where("id = '01500' or id = '01501'")).count() == 0
